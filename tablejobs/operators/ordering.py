@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.types import quote
-from ..session import materialize
+from ..session import materialize, small_frame
 
 # A top-n merges n rows per task in one task. Beyond this many rows (offset
 # included) positions come from a range-partitioned sort instead.
@@ -39,8 +39,8 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str = "pos") ->
     for row in counts:
         starts.append((row._part, total))
         total += row["count"]
-    # One row per shuffle partition, counted above: small enough to broadcast.
-    offsets = F.broadcast(spark.createDataFrame(starts, "_part long, _start long"))
+    # One row per shuffle partition; a local relation, so its size is known.
+    offsets = small_frame(spark, starts, "_part long, _start long")
     inside = F.col("_at").bitwiseAND((1 << _PARTITION_BITS) - 1)
     return (sorted_rows.withColumn("_part", part).join(offsets, "_part")
             .select(*[quote(c) for c in df.columns], (F.col("_start") + inside).alias(name)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalars import contains_text
 from ..functions.types import quote
+from ..session import small_frame
 
 MATCH = "table_name string, column_name string, value string, row string"
 
@@ -47,4 +48,4 @@ def find_in_tables(spark: SparkSession, frames: dict[str, DataFrame], needle: st
         for table, df in list(frames.items())[:max_tables]:
             if text_columns(df):
                 parts.append(find_in_table(df, table, needle, (keys or {}).get(table), per_table))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], MATCH)
+    return reduce(DataFrame.unionByName, parts) if parts else small_frame(spark, [], MATCH)

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from ..functions.types import quote
 from ..operators.reshape import reshape
-from ..session import Namespace, create_namespace, delete_path
+from ..session import Namespace, create_namespace, delete_path, small_frame
 from ..sinks import store
 from ..sources.tables import table_location, table_names
 from .transfer import TransferOptions, transfer
@@ -44,4 +44,4 @@ def create_table(spark: SparkSession, ns: Namespace, table: str, ddl: str) -> No
     """An empty table from a column list such as ``id long, name string``."""
     if store.exists(spark, ns, table):
         raise ValueError(f"table {table} exists")
-    store.write_table(ns, table, spark.createDataFrame([], ddl))
+    store.write_table(ns, table, small_frame(spark, [], ddl))

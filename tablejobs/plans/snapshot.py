@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import SparkSession, types as T
 
-from ..session import Namespace
+from ..session import Namespace, small_frame
 from ..sinks import store
 from ..sources import tables as source_tables
 
@@ -28,7 +28,7 @@ def take_snapshot(spark: SparkSession, source: dict, names: list[str], path: str
         df.write.parquet(f"{path}/tables/{name}")
         rows = spark.read.schema(df.schema).parquet(f"{path}/tables/{name}").count()
         entries.append((name, rows, df.schema.json()))
-    spark.createDataFrame(entries, MANIFEST).coalesce(1).write.json(f"{path}/manifest")
+    small_frame(spark, entries, MANIFEST).coalesce(1).write.json(f"{path}/manifest")
     return len(entries), time.monotonic() - start
 
 

@@ -54,7 +54,7 @@ class TransferResult:
     stats: list[tuple]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.stats, STATS)
+        return session.small_frame(spark, self.stats, STATS)
 
     @property
     def transferred(self) -> list[str]:
@@ -151,7 +151,7 @@ def transfer(spark: SparkSession, source: dict, target: Namespace,
         if opts.checkpoint is not None and status == "ok":
             # A folder per table: tables that finish together write apart.
             name = hashlib.sha256(table.encode()).hexdigest()[:32]
-            record = spark.createDataFrame([stat], STATS).coalesce(1)
+            record = session.small_frame(spark, [stat], STATS)
             record.write.mode("overwrite").json(f"{opts.checkpoint}/{name}")
         return stat
 

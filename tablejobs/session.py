@@ -8,7 +8,9 @@ import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -112,6 +114,14 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Driver-side facts (statistics, schema rows) as a local relation, whose
+    size the optimizer knows when it picks a join."""
+    schema = T.StructType.fromDDL(ddl)
+    data = [dict(zip(schema.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(data, to_arrow_schema(schema)), schema)
+
+
 @dataclass(frozen=True)
 class Namespace:
     """A Spark database plus the folder its table versions are written to."""

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.types import quote
+from ..session import small_frame
 from . import tables
 
 DESCRIBE = ("table_name string, position int, column_name string, data_type string, "
@@ -40,7 +41,7 @@ def describe(spark: SparkSession, frames: dict[str, DataFrame],
                          f.nullable and f.name not in fixed,
                          defaults.get((table, f.name)),
                          "PRI" if f.name in keys.get(table, []) else ""))
-    return spark.createDataFrame(rows, DESCRIBE)
+    return small_frame(spark, rows, DESCRIBE)
 
 
 def null_counts(df: DataFrame, table: str) -> DataFrame:
@@ -77,4 +78,4 @@ def describe_measured(spark: SparkSession, frames: dict[str, DataFrame],
                          defaults.get((table, f.name)),
                          "PRI" if f.name in keys.get(table, []) else "",
                          n.row_count, n.null_count))
-    return spark.createDataFrame(rows, DESCRIBE + ", row_count long, null_count long")
+    return small_frame(spark, rows, DESCRIBE + ", row_count long, null_count long")

@@ -8,7 +8,7 @@ from tablejobs.operators import checks
 from tablejobs.operators.project import ColumnMapping
 from tablejobs.plans import namespaces, snapshot
 from tablejobs.plans.transfer import TransferOptions, checkpoint_path, transfer, transfer_totals
-from tablejobs.session import Namespace, scratch_namespace, scratch_path
+from tablejobs.session import scratch_namespace, scratch_path, small_frame
 from tablejobs.sinks import store
 from tablejobs.sources.tables import read_table
 
@@ -53,7 +53,7 @@ def transfer_modes(spark, sf):
         step("append", where="o_orderstatus = 'F'")
         step("truncate", truncate_target=True, where="o_orderstatus = 'P'")
         step("drop", drop_target=True)
-    return spark.createDataFrame(parts, "step string, table_name string, n_rows long")
+    return small_frame(spark, parts, "step string, table_name string, n_rows long")
 
 
 @query("""
@@ -209,5 +209,3 @@ GROUP BY c_mktsegment, o_orderstatus
 def copy_join_group(spark, sf):
     return copy_orders(spark, sf)
 
-
-__all__ = ["Namespace", "copy_orders"]

@@ -71,9 +71,9 @@ def json_view(spark, sf):
 
 @query("""
 WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
-r AS (SELECT doc_id, h, unnest(range(0, length(h) // 2, 16)) AS at FROM d),
-c AS (SELECT doc_id, at, substr(h, CAST(at * 2 + 1 AS BIGINT), 32) AS part FROM r)
-SELECT doc_id, printf('%08x', at) AS offset,
+r AS (SELECT doc_id, h, unnest(range(0, length(h) // 2, 16)) AS pos FROM d),
+c AS (SELECT doc_id, pos, substr(h, CAST(pos * 2 + 1 AS BIGINT), 32) AS part FROM r)
+SELECT doc_id, printf('%08x', pos) AS offset,
        rtrim(regexp_replace(part, '(..)', '\\1 ', 'g')) AS bytes,
        array_to_string(list_transform(range(0, length(part) // 2), lambda j:
          CASE WHEN substr(part, CAST(j * 2 + 1 AS BIGINT), 2) BETWEEN '20' AND '7E'
