@@ -184,3 +184,8 @@ def _q(name: str) -> str:
 
 
 quote = _q
+
+
+def text(value: str) -> str:
+    """A string as a Spark SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.types import quote
+from ..functions.types import quote, text
+from ..sources.catalog import null_counts
 from .merge import duplicate_keys
 
 
@@ -42,20 +43,14 @@ unique_violations = duplicate_keys
 
 def not_null_report(df: DataFrame, table: str, required: list[str]) -> DataFrame:
     """NULL count of each required column, in one pass."""
-    counted = df.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count(F.col(quote(c))).alias(f"_n{i}") for i, c in enumerate(required)])
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                               (F.col("_rows") - F.col(f"_n{i}")).alias("n_null"))
-                      for i, c in enumerate(required)])
-    return counted.select(F.explode(cells).alias("c")).select(
-        F.lit(table).alias("table_name"), "c.column_name", "c.n_null",
-        (F.col("c.n_null") == 0).alias("ok"))
+    return null_counts(df, table, required).selectExpr(
+        "table_name", "column_name", "null_count AS n_null", "null_count = 0 AS ok")
 
 
 def row_counts(frames: dict[str, DataFrame], name: str = "n_rows") -> DataFrame:
     """table_name and row count of each table."""
     return reduce(DataFrame.unionByName, [
-        df.agg(F.count(F.lit(1)).alias(name)).select(F.lit(table).alias("table_name"), name)
+        df.selectExpr(f"{text(table)} AS table_name", f"count(1) AS {quote(name)}")
         for table, df in frames.items()])
 
 

@@ -36,6 +36,8 @@ def build_session(master: str | None = None, app: str = "tablejobs", **conf) ->
         "spark.sql.parquet.aggregatePushdown": "true",
         "spark.scheduler.mode": "FAIR",
         "spark.ui.enabled": "false",
+        # Call-site capture costs milliseconds for every Column made in Python.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.types import quote
+from ..functions.types import quote, text
 from ..session import small_frame
 from . import tables
 
@@ -20,10 +20,9 @@ def catalogue(spark: SparkSession, spec: dict, names: list[str] | None = None) -
     parts = []
     for name in names or tables.table_names(spark, spec):
         size = tables.table_bytes(spark, spec, name)
-        parts.append(tables.read_table(spark, spec, name).agg(F.count(F.lit(1)).alias("row_count"))
-                     .select(F.lit(name).alias("name"), F.lit("TABLE").alias("object_type"),
-                             F.lit(label).alias("schema_name"),
-                             F.lit(size).cast("long").alias("size_bytes"), "row_count"))
+        parts.append(tables.read_table(spark, spec, name).selectExpr("count(1) AS row_count").selectExpr(
+            f"{text(name)} AS name", "'TABLE' AS object_type", f"{text(label)} AS schema_name",
+            f"{size}L AS size_bytes", "row_count"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -44,17 +43,15 @@ def describe(spark: SparkSession, frames: dict[str, DataFrame],
     return small_frame(spark, rows, DESCRIBE)
 
 
-def null_counts(df: DataFrame, table: str) -> DataFrame:
+def null_counts(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
     """table_name, column_name, row_count, null_count in one pass over ``df``."""
-    names = df.columns
-    counted = df.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count(F.col(quote(n))).alias(f"_n{i}") for i, n in enumerate(names)])
-    cells = F.array(*[F.struct(F.lit(n).alias("column_name"),
-                               (F.col("_rows") - F.col(f"_n{i}")).alias("null_count"))
-                      for i, n in enumerate(names)])
-    return (counted.select("_rows", F.explode(cells).alias("c"))
-            .select(F.lit(table).alias("table_name"), "c.column_name",
-                    F.col("_rows").alias("row_count"), "c.null_count"))
+    columns = columns or df.columns
+    counted = df.selectExpr("count(1) AS _rows", *[
+        f"count({quote(c)}) AS _n{i}" for i, c in enumerate(columns)])
+    cells = ", ".join(f"{text(c)}, _rows - _n{i}" for i, c in enumerate(columns))
+    return counted.selectExpr(
+        f"{text(table)} AS table_name", "_rows AS row_count",
+        f"stack({len(columns)}, {cells}) AS (column_name, null_count)")
 
 
 def describe_measured(spark: SparkSession, frames: dict[str, DataFrame],
