@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.types import quote
 from ..operators.merge import ConflictError, duplicate_keys, edit_states, existing_keys
@@ -10,6 +10,8 @@ from ..session import Namespace, materialize
 from ..sinks import store
 from ..sources.tables import table_location
 
+STATES = ("modified", "added", "deleted")
+
 
 def apply_edits(spark: SparkSession, ns: Namespace, table: str, changes: DataFrame,
                 keys: list[str]) -> dict[str, int]:
@@ -26,10 +28,11 @@ def apply_edits(spark: SparkSession, ns: Namespace, table: str, changes: DataFra
     inserts = changes.where("op = 'insert'")
     if not duplicate_keys(inserts, keys).isEmpty() or not existing_keys(base, inserts, keys).isEmpty():
         raise ConflictError(f"the batch adds rows whose {keys} exist")
-    states = materialize(edit_states(base, changes, keys), "edited")
+    # Counted while the new version is written, in the same pass.
+    seen = Observation()
+    states = edit_states(base, changes, keys).observe(seen, *[
+        F.count_if(F.col("row_state") == s).alias(s) for s in STATES])
     kept = states.where("row_state IS NULL OR row_state <> 'deleted'")
     store.write_table(ns, table, kept.select(*[quote(c) for c in base.columns]), location)
-    found = {r.row_state: r["count"] for r in
-             states.where("row_state IS NOT NULL").groupBy("row_state").count().collect()}
-    counts = {state: found.get(state, 0) for state in ("modified", "added", "deleted")}
+    counts = {s: seen.get[s] for s in STATES}
     return {**counts, "affected": sum(counts.values())}

@@ -105,6 +105,14 @@ def clear_scratch(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_folder(spark)}/tablejobs-{spark.sparkContext.applicationId}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer tasks than half the cores out to all cores, for
+    expressions that are heavy per row. A scan of a large table has tasks enough
+    and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

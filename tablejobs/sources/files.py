@@ -45,13 +45,15 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
     if form == "wrapped":
         name = next((n for n in ("rows", "data") if n in df.columns), None)
-        if name is None:
-            raise ValueError(message)
-        item = df.schema[name].dataType.elementType
+        item = getattr(df.schema[name].dataType, "elementType", None) if name else None
         if isinstance(item, T.ArrayType):
             lists = df.select(F.posexplode(name).alias("pos", "cells"))
             return _require_rows(_named_rows(lists), message)
+        if not isinstance(item, T.StructType):
+            raise ValueError(message)
         df = df.select(F.inline(name))
+    if not df.columns:
+        raise ValueError(message)
     text = [(F.to_json(F.col(quote(f.name))) if not isinstance(f.dataType, T.StringType)
              else F.col(quote(f.name))).alias(f.name) for f in df.schema.fields]
     return _require_rows(df.select(text), message)

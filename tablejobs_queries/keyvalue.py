@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tablejobs.operators import keyvalue as kv
+from tablejobs.session import spread
 
 from .base import load_table, query
 
@@ -42,17 +43,17 @@ def snapshot(spark, sf, kinds=("string", "hash", "list", "set", "zset", "stream"
             load_table(spark, sf, "customer"), "cust", ["c_custkey"], "hash", "hash",
             F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"),
                          F.lit("nation"), text_of("c_nationkey"))),
-        "list": lambda: _entries(load_table(spark, sf, "documents"), "doc", ["doc_id"], "list",
+        "list": lambda: _entries(spread(load_table(spark, sf, "documents")), "doc", ["doc_id"], "list",
                                  "list", F.split("text", "\n")),
-        "set": lambda: _entries(load_table(spark, sf, "documents"), "words", ["doc_id"], "set",
+        "set": lambda: _entries(spread(load_table(spark, sf, "documents")), "words", ["doc_id"], "set",
                                 "set", F.array_distinct(F.split("text", " "))),
         "zset": lambda: _entries(
-            load_table(spark, sf, "embeddings"), "vec", ["vec_id"], "zset", "zset",
+            spread(load_table(spark, sf, "embeddings")), "vec", ["vec_id"], "zset", "zset",
             F.transform("embedding", lambda x, i: F.struct(
                 F.concat(F.lit("d"), i.cast("string")).alias("member"),
                 x.cast("double").alias("score")))),
         "stream": lambda: _entries(
-            load_table(spark, sf, "conversations"), "talk", ["conv_id", "turn"], "stream", "stream",
+            spread(load_table(spark, sf, "conversations")), "talk", ["conv_id", "turn"], "stream", "stream",
             F.transform(F.split("text", " "), lambda w, i: F.struct(
                 F.concat(text_of("turn"), F.lit("-"), i.cast("string")).alias("id"),
                 F.create_map(F.lit("role"), F.col("role"), F.lit("word"), w).alias("fields")))),
