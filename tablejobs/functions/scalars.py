@@ -71,12 +71,30 @@ def json_view(c: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(c)), c)
 
 
-def hex_view(c: Column) -> Column:
-    """Hex of each UTF-16 unit, two digits at least, 16 units per line."""
+_PAIRS = "(..)" * 16
+_SPACED = " ".join(f"${i}" for i in range(1, 17))
+
+
+def _latin_hex(c: Column) -> Column:
+    """Lines of 16 hex pairs for text of one-byte characters: whole lines by one
+    match each, the pairs of the last line one by one."""
+    digits = F.lower(F.hex(F.encode(c, "ISO-8859-1")))
+    whole = F.floor(F.length(digits) / 32).cast("int") * 32
+    lines = F.regexp_replace(F.substring(digits, F.lit(1), whole), _PAIRS, _SPACED + "\n")
+    rest = F.regexp_replace(F.substring(digits, whole + 1, F.lit(32)), "(..)", "$1 ")
+    return F.concat(lines, rest)
+
+
+def _wide_hex(c: Column) -> Column:
     units = F.regexp_replace(
         F.lower(F.hex(F.encode(c, "UTF-16BE"))),
         "00([0-9a-f]{2})|0([0-9a-f]{3})|([0-9a-f]{4})", "$1$2$3 ")
-    lines = F.regexp_replace(units, "((?:[0-9a-f]+ ){15}[0-9a-f]+) ", "$1\n")
+    return F.regexp_replace(units, "((?:[0-9a-f]+ ){15}[0-9a-f]+) ", "$1\n")
+
+
+def hex_view(c: Column) -> Column:
+    """Hex of each UTF-16 unit, two digits at least, 16 units per line."""
+    lines = F.when(c.rlike(r"[^\x00-\xFF]"), _wide_hex(c)).otherwise(_latin_hex(c))
     return F.rtrim(lines, F.lit(" \n"))
 
 
@@ -103,7 +121,8 @@ def hex_lines(df: DataFrame, key: str, data: Column, width: int = 16) -> DataFra
     return rows.select(
         key,
         F.lower(F.lpad(F.hex(F.col("_at")), 8, "0")).alias("offset"),
-        F.rtrim(F.regexp_replace(F.hex(chunk), "(..)", "$1 ")).alias("bytes"),
+        F.rtrim(F.regexp_replace(F.rpad(F.hex(chunk), 2 * width, " "), "(..)" * width, " ".join(
+            f"${i}" for i in range(1, width + 1)))).alias("bytes"),
         F.regexp_replace(F.decode(chunk, "ISO-8859-1"), r"[^\x20-\x7E]", ".").alias("ascii"))
 
 

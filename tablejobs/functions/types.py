@@ -135,10 +135,12 @@ def hex_text(c: Column) -> Column:
 
 def hex_to_bytes(c: Column) -> Column:
     """Hex text to bytes; characters that are no hex digits are dropped, and so
-    is a last single digit."""
-    digits = F.regexp_replace(F.regexp_replace(c, "^0[xX]", ""), "[^0-9a-fA-F]", "")
+    is a last single digit. Clean text is decoded without the clean-up."""
+    body = F.when(c.startswith("0x") | c.startswith("0X"), F.substr(c, F.lit(3))).otherwise(c)
+    digits = F.regexp_replace(body, "[^0-9a-fA-F]+", "")
     even = F.substring(digits, F.lit(1), (F.floor(F.length(digits) / 2) * 2).cast("int"))
-    return F.unhex(even)
+    clean = F.when(F.length(body) % 2 == 0, F.unhex(body))
+    return F.coalesce(clean, F.unhex(even))
 
 
 def display(df: DataFrame) -> DataFrame:

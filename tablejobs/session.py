@@ -105,12 +105,12 @@ def clear_scratch(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_folder(spark)}/tablejobs-{spark.sparkContext.applicationId}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan of fewer tasks than half the cores out to all cores, for
-    expressions that are heavy per row. A scan of a large table has tasks enough
-    and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+def spread(df: DataFrame, low: int = 1 << 20, high: int = 1 << 30) -> DataFrame:
+    """Deal a small input out to all cores, for expressions that are heavy per
+    row: a file of one row group is one task otherwise. An input over ``high``
+    bytes has tasks enough and is not shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if low <= size <= high else df
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
