@@ -104,7 +104,8 @@ def ordered_list(df: DataFrame, keys: list[str], order: list[str], item: str,
     small = (rows.join(large, keys, "left_anti").groupBy(*keys).agg(packed(order).alias(name))
              .withColumn("piece", F.lit(0).cast("long")))
     numbered = number_rows(rows.join(large, keys, "left_semi"), [*keys, *order], "_pos")
-    firsts = numbered.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    # At most one row per max_items rows; written, so the join knows its size.
+    firsts = materialize(numbered.groupBy(*keys).agg(F.min("_pos").alias("_first")), "firsts")
     pieces = (numbered.join(firsts, keys)
               .withColumn("piece", F.floor((F.col("_pos") - F.col("_first")) / max_items))
               .groupBy(*keys, "piece").agg(packed(["_pos"]).alias(name)))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import session
@@ -37,6 +35,7 @@ class TransferOptions:
     mappings: list[ColumnMapping] = field(default_factory=list)
     when_null: bool = False
     portable_types: bool = False
+    rebalance: bool = False
     error_mode: str = "skip"
     parallelism: int = 4
     keys: dict[str, list[str]] = field(default_factory=dict)
@@ -95,7 +94,11 @@ def prepared(spark: SparkSession, source: dict, table: str, opts: TransferOption
         df = row_limit(df, opts.limit, opts.keys.get(table) or df.columns)
     if opts.mappings:
         df = map_columns(df, opts.mappings, opts.when_null)
-    return to_lattice(df) if opts.portable_types else df
+    if opts.portable_types:
+        df = to_lattice(df)
+    # Off unless asked for: a copy needs no shuffle. With a filter that keeps
+    # little of each split it pays, as AQE then merges rows into few files.
+    return df.hint("rebalance") if opts.rebalance else df
 
 
 def _mapped_keys(table: str, opts: TransferOptions) -> list[str]:
@@ -139,14 +142,11 @@ def transfer(spark: SparkSession, source: dict, target: Namespace,
 
     def run(table: str) -> tuple:
         start, size, rows, status, error = time.monotonic(), 0, 0, "ok", None
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"copy-{table}")
         try:
             rows = copy_table(spark, source, target, table, opts)
             size = source_tables.table_bytes(spark, source, table)
         except Exception as e:
             status, error = "error", str(e).split("\n")[0]
-        finally:
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
         stat = (table, rows, size, int((time.monotonic() - start) * 1000), status, error)
         if opts.checkpoint is not None and status == "ok":
             # A folder per table: tables that finish together write apart.
@@ -162,8 +162,7 @@ def transfer(spark: SparkSession, source: dict, target: Namespace,
             if stats[-1][4] == "error":
                 break
     else:
-        with ThreadPoolExecutor(max(opts.parallelism, 1)) as pool:
-            stats = list(pool.map(inheritable_thread_target(spark)(run), todo))
+        stats = session.in_parallel(spark, run, todo, opts.parallelism)
     result = TransferResult(stats)
     if opts.checkpoint is not None and not result.errors:
         session.delete_path(spark, opts.checkpoint)

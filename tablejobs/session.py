@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -113,6 +116,23 @@ def spread(df: DataFrame, low: int = 1 << 20, high: int = 1 << 30) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if low <= size <= high else df
 
 
+def in_parallel(spark: SparkSession, job: Callable, items: list, at_once: int) -> list:
+    """Run ``job`` for each item, some at a time, each in its own FAIR pool, so
+    that a small table's job does not wait for a large one's tasks."""
+    context = spark.sparkContext
+
+    def run(place, item):
+        context.setLocalProperty("spark.scheduler.pool", f"job-{place % at_once}")
+        try:
+            return job(item)
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    at_once = max(at_once, 1)
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), range(len(items)), items))
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablejobs.operators.merge import merge_edits
 from tablejobs.operators.ordering import number_rows
 from tablejobs.plans.load import import_file
 from tablejobs.plans.namespaces import create_table
@@ -40,6 +41,36 @@ def csv_lines(spark, sf):
     return docs.select("doc_id", files.csv_record(docs).alias("line"))
 
 
+@query("""
+SELECT CAST(doc_id AS VARCHAR) || ',' ||
+       CASE WHEN regexp_matches(text, '[",\n\r]') THEN '"' || replace(text, '"', '""') || '"'
+            ELSE text END || ',' || CASE WHEN lang = 'de' THEN 'German' ELSE lang END AS line
+FROM documents WHERE source <> (SELECT min(source) FROM documents)
+""")
+def csv_edited(spark, sf):
+    """A table with buffered edits as CSV: edits merged, deleted rows left out."""
+    docs = load_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    first = docs.agg(F.min("source").alias("source"))
+    nothing = F.array().cast("array<string>")
+    edits = (docs.where("lang = 'de'").withColumn("lang", F.lit("German"))
+             .withColumn("op", F.lit("update")).withColumn("set", F.array(F.lit("lang"))))
+    gone = (docs.join(first, "source").select(*docs.columns).withColumn("op", F.lit("delete"))
+            .withColumn("set", nothing))
+    merged = merge_edits(docs, edits.unionByName(gone), ["doc_id"]).drop("source")
+    return merged.select(files.csv_record(merged).alias("line"))
+
+
+@query("""
+SELECT CAST(json_object('doc_id', doc_id, 'text', text, 'lang', nullif(lang, 'en')) AS VARCHAR) AS line
+FROM documents
+""")
+def json_export(spark, sf):
+    path = scratch_path(spark, "json")
+    files.write_json(load_table(spark, sf, "documents").select(
+        "doc_id", "text", F.nullif("lang", F.lit("en")).alias("lang")), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query("""
 SELECT doc_id, text, nullif(lang, 'en') AS lang, n_chars FROM documents
 """)

@@ -152,6 +152,21 @@ def insert_select(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("""
+SELECT c_nationkey, count(*) AS n_rich FROM customer WHERE c_acctbal > 5000 GROUP BY c_nationkey
+""")
+def create_view(spark, sf):
+    """A permanent view over a stored table, queried by name."""
+    path = scratch_path(spark, "view")
+    load_table(spark, sf, "customer").write.parquet(path)
+    with scratch_namespace(spark) as ns:
+        spark.catalog.createTable(f"`{ns.name}`.customer", path=path, source="parquet")
+        sql.run_sql(spark, f"CREATE VIEW `{ns.name}`.rich AS SELECT * FROM `{ns.name}`.customer "
+                           "WHERE c_acctbal > 5000")
+        return sql.run_sql(spark, "SELECT c_nationkey, count(*) AS n_rich "
+                                  f"FROM `{ns.name}`.rich GROUP BY c_nationkey")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1e12")
 def empty_select(spark, sf):
     """A query without rows still has its columns."""
