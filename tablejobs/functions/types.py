@@ -135,8 +135,10 @@ def hex_text(c: Column) -> Column:
 
 def hex_to_bytes(c: Column) -> Column:
     """Hex text to bytes; characters that are no hex digits are dropped, and so
-    is a last single digit. Clean text is decoded without the clean-up."""
+    is a last single digit. Text that is clean but for spaces and line breaks is
+    decoded without the pattern match."""
     body = F.when(c.startswith("0x") | c.startswith("0X"), F.substr(c, F.lit(3))).otherwise(c)
+    body = F.replace(F.replace(body, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
     digits = F.regexp_replace(body, "[^0-9a-fA-F]+", "")
     even = F.substring(digits, F.lit(1), (F.floor(F.length(digits) / 2) * 2).cast("int"))
     clean = F.when(F.length(body) % 2 == 0, F.unhex(body))

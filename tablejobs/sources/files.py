@@ -36,33 +36,34 @@ def _json_form(spark: SparkSession, path: str) -> str:
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON file, all columns text: an array of objects, an object
-    with ``rows`` or ``data``, or arrays whose first one holds the names."""
-    form = _json_form(spark, path)
+    """Rows of JSON files, all columns text: an array of objects, an object with
+    ``rows`` or ``data``, or arrays whose first one holds the names. A file that
+    is no JSON fails the scan.
+    """
     message = "JSON must contain at least one row"
+    whole = spark.read.text(path, wholetext=True)
+    parsed = lambda schema: F.from_json("value", schema, {"mode": "FAILFAST"})
+    form = _json_form(spark, path)
     if form == "arrays":
-        return _require_rows(_array_rows(spark, path), message)
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+        lists = whole.select(F.posexplode(parsed("array<array<string>>")).alias("pos", "cells"))
+        return _require_rows(_named_rows(lists), message)
+    found = (spark.read.option("multiLine", True).option("primitivesAsString", True)
+             .json(path).schema)
     if form == "wrapped":
-        name = next((n for n in ("rows", "data") if n in df.columns), None)
-        item = getattr(df.schema[name].dataType, "elementType", None) if name else None
+        name = next((n for n in ("rows", "data") if n in found.names), None)
+        item = getattr(found[name].dataType, "elementType", None) if name else None
         if isinstance(item, T.ArrayType):
-            lists = df.select(F.posexplode(name).alias("pos", "cells"))
+            schema = T.StructType().add(name, T.ArrayType(T.ArrayType(T.StringType())))
+            lists = whole.select(F.posexplode(parsed(schema)[name]).alias("pos", "cells"))
             return _require_rows(_named_rows(lists), message)
-        if not isinstance(item, T.StructType):
-            raise ValueError(message)
-        df = df.select(F.inline(name))
-    if not df.columns:
+        rows = parsed(T.StructType().add(name, T.ArrayType(item)))[name] if name else None
+    else:
+        item, rows = found, parsed(T.ArrayType(found))
+    if not isinstance(item, T.StructType) or not item.names:
         raise ValueError(message)
     text = [(F.to_json(F.col(quote(f.name))) if not isinstance(f.dataType, T.StringType)
-             else F.col(quote(f.name))).alias(f.name) for f in df.schema.fields]
-    return _require_rows(df.select(text), message)
-
-
-def _array_rows(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    rows = F.from_json("value", "array<array<string>>")
-    return _named_rows(whole.select(F.posexplode(rows).alias("pos", "cells")))
+             else F.col(quote(f.name))).alias(f.name) for f in item.fields]
+    return _require_rows(whole.select(F.inline(rows)).select(text), message)
 
 
 def _named_rows(lists: DataFrame) -> DataFrame:

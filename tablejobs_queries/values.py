@@ -38,11 +38,11 @@ def bytes_display_zero(spark, sf):
 @query("SELECT doc_id, text AS back, octet_length(encode(text)) AS n_bytes FROM documents")
 def hex_round_trip(spark, sf):
     """Bytes to hex, spaced out as an editor shows it, and back."""
-    spaced = F.regexp_replace(types.hex_text(F.encode("text", "UTF-8")), "(?<!^)(..)", "$1 ")
-    data = types.hex_to_bytes(spaced)
-    return spread(load_table(spark, sf, "documents")).select(
-        "doc_id", F.decode(data, "UTF-8").alias("back"),
-        F.octet_length(data).alias("n_bytes"))
+    spaced = F.regexp_replace(types.hex_text(F.encode("text", "UTF-8")), "(..)", "$1 ")
+    return (spread(load_table(spark, sf, "documents")).select("doc_id", spaced.alias("shown"))
+            .select("doc_id", types.hex_to_bytes(F.col("shown")).alias("data"))
+            .select("doc_id", F.decode("data", "UTF-8").alias("back"),
+                    F.octet_length("data").alias("n_bytes")))
 
 
 @query("""

@@ -69,6 +69,11 @@ def test_json_needs_rows(spark, tmp_path, text):
         scans.read_json_rows(spark, put(tmp_path / "d.json", text))
 
 
+def test_json_that_is_no_json_fails(spark, tmp_path):
+    with pytest.raises(Exception):
+        scans.read_json_rows(spark, put(tmp_path / "d.json", '[{"a": 1}, {"a": ')).collect()
+
+
 def test_import_casts_and_fails_whole(spark, ns, tmp_path):
     namespaces.create_table(spark, ns, "t", "id long, name string, score double")
     good = put(tmp_path / "g.csv", "id,name,score\n1,NULL,1.5\n2,,\n")
