@@ -72,7 +72,8 @@ def transfer_stats(spark, sf):
 
 
 @query("""
-SELECT 1 AS n_tables, (SELECT count(*) FROM customer) AS n_rows, 1 AS n_errors
+SELECT CAST(1 AS BIGINT) AS n_tables, (SELECT count(*) FROM customer) AS n_rows,
+       CAST(1 AS BIGINT) AS n_errors
 """)
 def transfer_stop(spark, sf):
     """The job ends at the missing table."""

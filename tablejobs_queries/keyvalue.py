@@ -187,8 +187,8 @@ def kv_counts(spark, sf):
 
 @query(f"""
 SELECT upper(type) AS object_type, count(*) AS n_keys,
-       CASE type WHEN 'string' THEN 8 WHEN 'hash' THEN 9 WHEN 'list' THEN 10 WHEN 'set' THEN 11
-                 WHEN 'zset' THEN 12 ELSE 13 END AS place
+       CAST(CASE type WHEN 'string' THEN 8 WHEN 'hash' THEN 9 WHEN 'list' THEN 10 WHEN 'set' THEN 11
+                 WHEN 'zset' THEN 12 ELSE 13 END AS BIGINT) AS place
 FROM ({_KEYS}) GROUP BY type
 """)
 def kv_type_counts(spark, sf):

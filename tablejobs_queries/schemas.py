@@ -137,7 +137,8 @@ def schema_compare(spark, sf):
 
 
 @query("""
-SELECT 1 AS n_match, 6 AS n_differ, 1 AS extra_in_source, 1 AS extra_in_target,
+SELECT CAST(1 AS BIGINT) AS n_match, CAST(6 AS BIGINT) AS n_differ,
+       CAST(1 AS BIGINT) AS extra_in_source, CAST(1 AS BIGINT) AS extra_in_target,
        '1 tables match, 6 differ, 1 extra in source, 1 extra in target' AS summary
 """)
 def compare_summary(spark, sf):

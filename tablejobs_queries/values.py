@@ -35,7 +35,7 @@ def bytes_display_zero(spark, sf):
     return types.display(part)
 
 
-@query("SELECT doc_id, text AS back, octet_length(encode(text)) AS n_bytes FROM documents")
+@query("SELECT doc_id, text AS back, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes FROM documents")
 def hex_round_trip(spark, sf):
     """Bytes to hex, spaced out as an editor shows it, and back."""
     spaced = F.regexp_replace(types.hex_text(F.encode("text", "UTF-8")), "(..)", "$1 ")
