@@ -22,15 +22,24 @@ def _cells(df: DataFrame, keys: list[str]) -> list[str]:
 def _edits_by_key(changes: DataFrame, keys: list[str], cells: list[str]) -> DataFrame:
     """One row per edited key: deleted flag, and per cell a set flag and the
     last value. Plain aggregates, so many edits of one key combine before the
-    shuffle."""
-    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
-    out = [F.max(F.col("op") == "delete").alias("_deleted")]
+    shuffle. Without ``seq`` a key has one update at most, taken whole."""
+    edits = changes.where(F.col("op") != "insert").groupBy(*keys)
+    deleted = F.max(F.col("op") == "delete").alias("_deleted")
+    if "seq" not in changes.columns:
+        update = F.when(F.col("op") == "update", F.struct("set", *[quote(c) for c in cells]))
+        edits = edits.agg(deleted, F.any_value(update, True).alias("_edit"))
+        return edits.select(*keys, "_deleted", *[
+            column for i, c in enumerate(cells) for column in (
+                F.array_contains("_edit.set", c).alias(f"_set{i}"),
+                F.col(f"_edit.{quote(c)}").alias(f"_new{i}"))])
+    out, last = [deleted], []
     for i, c in enumerate(cells):
         is_set = (F.col("op") == "update") & F.array_contains("set", c)
         out.append(F.max(is_set).alias(f"_set{i}"))
-        value = F.max_by(F.struct(F.col(quote(c)).alias("v")), F.when(is_set, seq))
-        out.append(value.alias(f"_new{i}"))
-    return changes.where(F.col("op") != "insert").groupBy(*keys).agg(*out)
+        value = F.max_by(F.struct(F.col(quote(c)).alias("v")), F.when(is_set, F.col("seq")))
+        out.append(value.alias(f"_last{i}"))
+        last += [F.col(f"_set{i}"), F.col(f"_last{i}.v").alias(f"_new{i}")]
+    return edits.agg(*out).select(*keys, "_deleted", *last)
 
 
 def edit_states(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,7 +57,7 @@ def edit_states(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     changed, out = [], [F.col(quote(k)) for k in keys]
     for i, c in enumerate(cells):
-        old, new = F.col(quote(c)), F.col(f"_new{i}.v")
+        old, new = F.col(quote(c)), F.col(f"_new{i}")
         dirty = F.coalesce(F.col(f"_set{i}"), F.lit(False)) & (text(old) != text(new))
         changed.append(dirty)
         out.append(F.when(dirty, new).otherwise(old).alias(c))

@@ -40,6 +40,14 @@ def test_last_edit_of_a_cell_wins_and_null_can_be_set(spark):
     assert merged[1] == ("last", 7) and merged[2] == (None, 2)
 
 
+def test_edits_without_a_sequence(spark):
+    changes = spark.createDataFrame([
+        (1, "A", None, "update", ["v", "w"], 1), (2, "B", None, "update", ["v"], 1),
+        (2, None, None, "delete", [], 1), (4, "D", 0, "update", ["v"], 1)], CHANGES).drop("seq")
+    assert rows(merge.merge_edits(base(spark), changes, ["id"])) == [
+        (1, "A", None), (3, None, 3), (4, "D", 4)]
+
+
 def test_batch_counts_and_writes(spark, ns):
     store.write_table(ns, "t", base(spark))
     changes = spark.createDataFrame([
