@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablejobs.session import load_table
 
-from . import substrings
+from . import containment, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +28,32 @@ def query(sql: str | None = None):
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (substrings.remove_repeats(load_table(spark, sf_dir, "documents"), window=35)
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+@query()
+def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.encode_documents(load_table(spark, sf_dir, "documents"),
+                                   public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+_SHINGLES = r"""
+  SELECT DISTINCT {id}, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS i
+        FROM (SELECT {id}, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM {table})
+        WHERE len(w) >= 5)"""
+
+
+@query(f"""
+WITH d AS ({_SHINGLES.format(id='doc_id', table='documents')}),
+     b AS ({_SHINGLES.format(id='item_id', table='benchmark')}),
+     n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared,
+       count(*)::double / n_shingles AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
+""")
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.find_contained(load_table(spark, sf_dir, "documents"),
+                                      load_table(spark, sf_dir, "benchmark"), threshold=0.8)
