@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablejobs.session import load_table
 
-from . import containment, substrings, tokens
+from . import containment, mixing, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,25 @@ GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.find_contained(load_table(spark, sf_dir, "documents"),
                                       load_table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+     s0 AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source),
+     s1 AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::double AS w,
+                   3 * source_size AS cap, sum(source_size) OVER () AS total FROM s0),
+     s2 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::double
+                   / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+     s3 AS (SELECT source, source_size, least(cap::double, w * max(level) OVER ()) AS target, cap FROM s2),
+     s AS (SELECT *, least(cap, round(target)::bigint) AS quota FROM s3),
+     p AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.quota,
+                  (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::varchar), d.size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::bigint AS b
+           FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size::bigint AS size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE
+         (quota // source_size) * size + least(b, quota % source_size) - least(b - size, quota % source_size)
+       END::bigint AS taken FROM p
+""")
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(load_table(spark, sf_dir, "documents"))
