@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablejobs.session import load_table
 
-from . import containment, mixing, substrings, tokens
+from . import containment, mixing, private, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +79,13 @@ SELECT doc_id, size::bigint AS size, source_size, target,
 """)
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(load_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("private_spans", lambda s: s["kind"].isin(*private.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return (found.select("doc_id", base.alias("base"), private.joined(F.col("private_spans")).alias("spans"))
+            .select("doc_id", *[count(k).alias(f"n_{k}") for k in private.BASE_KINDS],
+                    F.sha2(private.joined(F.col("base")), 256).alias("base_sha256"), "spans"))
