@@ -92,6 +92,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id",
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hits = _columns(batch), batch.column("places")
+            copied = batch.column("copied").to_numpy(zero_copy_only=False)
             for words in slices(batch.column("text")):
                 hashes = words.hashes()
                 found = runs(hashes, window)
@@ -105,6 +106,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id",
                 where = np.flatnonzero(use)
                 place = words.place()[where].astype(np.int32)
                 text = np.searchsorted(words.first, where, "right") - 1 + words.lo
+                place = np.where(copied[text], np.int32(-1), place)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(found[where])), pa.array((second[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                      pa.array(keys[0][text]), pa.array(keys[1][text]), pa.array(place)],
@@ -119,12 +121,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id",
                 words = (texts[i].as_py() or "").encode().split()
                 n = len(words)
                 if starts[i].is_valid:
-                    edge = np.zeros(n + 1, dtype=np.int32)
                     at = starts[i].values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    words = [w for w, k in zip(words, keep.tolist()) if k]
+                    if at.min() < 0:  # a copy
+                        words = words if n < window else []
+                    else:
+                        edge = np.zeros(n + 1, dtype=np.int32)
+                        edge[at] += 1
+                        edge[at + window] -= 1
+                        keep = np.cumsum(edge[:-1]) == 0
+                        words = [w for w, k in zip(words, keep.tolist()) if k]
                 text = b" ".join(words)
                 out.append((None if ks[i] & 1 else ids[i], n, n - len(words), text.decode(),
                             hashlib.sha256(text).hexdigest()))
@@ -133,15 +138,28 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id",
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
                 ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
+    # Documents whose whole text stands elsewhere too, and one of each such text.
+    text_key = ["k2", "t", "n"]
+    keyed = texts.select("id", "k", F.col("k").bitwiseAND(-2).alias("k2"), F.xxhash64("text").alias("t"),
+                         F.length("text").alias("n")).where("n > 0")
+    groups = keyed.groupBy(*text_key).agg(F.count("*").alias("c"), F.min(F.struct("id", "k")).alias("one")).where("c > 1")
+    copies = materialize(
+        keyed.join(groups, text_key).select("id", "k", (F.struct("id", "k") == F.col("one")).alias("chosen")).distinct(),
+        "copies")
+
     places = texts.mapInArrow(anchors, "anchor long, id long, k int, place int")
     repeated = places.groupBy("anchor").count().where("count > 1").select("anchor")
-    hits = materialize(places.join(repeated, "anchor", "left_semi")
-                       .groupBy("id", "k").agg(F.collect_set("place").alias("places")), "anchors")
-
-    candidates = (texts.join(hits, ["id", "k"]).select("id", "k", "text", "places")
-                  .mapInArrow(windows, "w long, w2 int, id long, k int, place int"))
+    found = (places.join(repeated, "anchor", "left_semi")
+             .groupBy("id", "k").agg(F.collect_set("place").alias("places")))
+    hits = materialize(found.join(copies, ["id", "k"], "left").where("chosen IS NULL OR chosen")
+                       .select("id", "k", "places", F.col("chosen").isNotNull().alias("copied")), "anchors")
+
+    # Rows that repeat both id and text are one key here; they are copies.
+    candidates = texts.join(hits, ["id", "k"]).select("id", "k", "text", "places", "copied").mapInArrow(
+        windows, "w long, w2 int, id long, k int, place int")
     twice = candidates.groupBy("w", "w2").count().where("count > 1").select("w", "w2")
-    starts = (candidates.join(twice, ["w", "w2"], "left_semi")
+    starts = (candidates.where("place >= 0").join(twice, ["w", "w2"], "left_semi").select("id", "k", "place")
+              .unionByName(copies.select("id", "k", F.lit(-1).alias("place")))
               .groupBy("id", "k").agg(F.collect_set("place").alias("starts")))
     return (texts.join(starts, ["id", "k"], "left").select("id", "k", "text", "starts")
             .mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
