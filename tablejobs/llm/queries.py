@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablejobs.session import load_table
 
-from . import containment, mixing, private, substrings, tokens
+from . import containment, licences, mixing, private, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,38 @@ def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (found.select("doc_id", base.alias("base"), private.joined(F.col("private_spans")).alias("spans"))
             .select("doc_id", *[count(k).alias(f"n_{k}") for k in private.BASE_KINDS],
                     F.sha2(private.joined(F.col("base")), 256).alias("base_sha256"), "spans"))
+
+
+def _licence_values() -> str:
+    rows = []
+    for i, (name, text) in enumerate(licences.TEMPLATES):
+        rows += [f"({i}, '{name}', '{b}')" for b in licences.template_bigrams(text)]
+    return ", ".join(rows)
+
+
+@query(rf"""
+WITH t AS (SELECT * FROM (VALUES {_licence_values()}) AS v(t, licence, b)),
+     tn AS (SELECT t, licence, count(*) AS n FROM t GROUP BY ALL),
+     d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS x FROM documents),
+     u AS (SELECT r, 'text' AS unit, 0 AS place, x FROM d
+           UNION ALL SELECT r, 'paragraph', generate_subscripts(p, 1) - 1, unnest(p)
+                     FROM (SELECT r, string_split_regex(x, '\n *\n[ \n]*') AS p FROM d)
+           UNION ALL SELECT r, 'line', generate_subscripts(p, 1) - 1, unnest(p) FROM (SELECT r, string_split(x, chr(10)) AS p FROM d)),
+     w AS (SELECT r, unit, place, list_filter(string_split_regex(x, '[ \n]+'), lambda y: y <> '') AS w FROM u),
+     b AS (SELECT DISTINCT r, unit, place, w[i] || ' ' || w[i + 1] AS b
+           FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1)),
+     n AS (SELECT r, unit, place, count(*) AS n FROM b GROUP BY ALL),
+     m AS (SELECT r, unit, place, t, count(*) AS c FROM b JOIN t USING (b) GROUP BY ALL),
+     s AS (SELECT r, unit, place, licence, max(2.0::double * c / (n.n + tn.n)) AS dice
+           FROM m JOIN n USING (r, unit, place) JOIN tn USING (t) GROUP BY ALL HAVING dice >= 0.9 - 1e-9)
+SELECT doc_id, coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence), '') AS licences,
+       count(dice) AS n_units, max(dice) AS best_dice
+FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id
+""")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_licences(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    units = F.col("licence_units")
+    return found.select("doc_id", units).select(
+        "doc_id", F.array_join(F.array_sort(F.array_distinct(units["licence"])), ",").alias("licences"),
+        F.size(units).cast("long").alias("n_units"), F.array_max(units["dice"]).alias("best_dice"))
