@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablejobs.session import load_table
 
-from . import containment, licences, mixing, private, substrings, tokens
+from . import containment, licences, mixing, private, substrings, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,3 +124,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", units).select(
         "doc_id", F.array_join(F.array_sort(F.array_distinct(units["licence"])), ",").alias("licences"),
         F.size(units).cast("long").alias("n_units"), F.array_max(units["dice"]).alias("best_dice"))
+
+
+#: Fixed values of the query.
+URL_RULES = [urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"),
+             urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"),
+             urls.Rule("block", "com", "/de/")]
+
+
+@query()
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load_table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("rejected"))
+    return urls.filter_urls(load_table(spark, sf_dir, "pages"), URL_RULES, labels)
