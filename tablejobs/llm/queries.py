@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablejobs.session import load_table
 
-from . import containment, licences, mixing, private, substrings, tokens, urls
+from . import containment, licences, mixing, private, substrings, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +137,21 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load_table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("rejected"))
     return urls.filter_urls(load_table(spark, sf_dir, "pages"), URL_RULES, labels)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is for testing: its labels are never learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    labels = load_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    return toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))

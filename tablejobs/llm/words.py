@@ -45,6 +45,20 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(256)
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[:128] = 0x20
+_FOLD[0x61:0x7B] = _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 letters in lower case and all other
+    ASCII as spaces."""
+    out = _FOLD[data]
+    accent = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[1:][accent] += 0x20
+    return out
+
+
 @dataclass
 class Words:
     """The words of texts ``lo`` .. ``hi`` - 1 of a batch.
@@ -73,22 +87,28 @@ class Words:
         """How many words from each word on, itself included, its text has."""
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first ``most``."""
         global _POWERS
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
         lengths = self.ends - self.starts
+        if most is not None:
+            lengths = np.minimum(lengths, most)
         if (longest := int(lengths.max())) > len(_POWERS):
             _POWERS = _powers(longest)
         begins = np.cumsum(lengths) - lengths
         place = np.arange(int(lengths.sum())) - np.repeat(begins, lengths)
-        values = _BYTE_VALUE[self.data[~_SEPARATOR[self.data]]] * _POWERS[place]
-        return mix(np.add.reduceat(values, begins))
+        if most is None:
+            data = self.data[~_SEPARATOR[self.data]]
+        else:
+            data = self.data[place + np.repeat(self.starts, lengths)]
+        return mix(np.add.reduceat(_BYTE_VALUE[data] * _POWERS[place], begins))
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of a text column, some texts at a time."""
+def slices(texts: pa.Array, folded: bool = False, limit: int = SLICE_BYTES) -> Iterator[Words]:
+    """The words of a text column, some texts at a time; ``folded`` ones are of
+    letters only, in lower case."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -102,6 +122,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         chunk = data[offsets[lo]:offsets[hi]]
+        chunk = fold(chunk) if folded else chunk
         bounds = offsets[lo:hi + 1] - offsets[lo]
         inside = ~_SEPARATOR[chunk]
         begin, end = inside.copy(), inside.copy()
