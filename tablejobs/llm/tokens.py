@@ -33,6 +33,7 @@ from tablejobs.session import scratch_path
 BLOCK = 128
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 16
+_WHOLE_BYTES = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 _SCHEMA = ("part int, seq int, first long, n_ids long, doc_ids array<long>, doc_tokens array<int>, "
            "blocks array<int>, payload binary")
@@ -58,6 +59,10 @@ def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, np.ndarr
     packed: list[bytes] = [b""] * m
     for w in np.unique(widths).tolist():
         rows = np.flatnonzero(widths == w)
+        if w in _WHOLE_BYTES:  # the same bytes, without going by bits
+            for r, value in zip(rows.tolist(), rest[rows].astype(_WHOLE_BYTES[w])):
+                packed[r] = value.tobytes()
+            continue
         bits = ((rest[rows, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
         bits = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little") if w else np.zeros((len(rows), 0), np.uint8)
         for i, r in enumerate(rows.tolist()):
@@ -95,6 +100,9 @@ def unpack(payload: bytes, starts: np.ndarray, begin: int, end: int) -> np.ndarr
         if w:
             rows = np.flatnonzero(widths == w)
             packed = data[(starts[rows] + 6)[:, None] + np.arange(BLOCK * w // 8)]
+            if w in _WHOLE_BYTES:
+                out[rows] = packed.view(_WHOLE_BYTES[w])
+                continue
             bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
             value = np.zeros((len(rows), BLOCK), dtype=np.uint32)
             for b in range(w):
@@ -113,9 +121,7 @@ def unpack(payload: bytes, starts: np.ndarray, begin: int, end: int) -> np.ndarr
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ɏ]")
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
-_SPACED = re.compile(rf" [{_LETTERS}]+")
-_BARE = re.compile(rf"[{_LETTERS}]+")
+_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
 
 
 class Encoder:
@@ -126,7 +132,7 @@ class Encoder:
     are encoded together. At most ``keep`` pieces are kept.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -143,21 +149,20 @@ class Encoder:
         for i in range(0, len(pieces), 2000):
             some = pieces[i:i + 2000]
             got = self.tokenizer.encode(between + between.join(some), add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(some) * step + 1))
-            for j, piece in enumerate(some):
-                a = step * j + step - 1
-                self.known[piece] = ids[cut[a]:cut[a + 1]].tobytes()
+            ids = np.array(got.ids, dtype="<u4").tobytes()
+            cut = 4 * np.searchsorted(np.array(got.word_ids), np.arange(len(some) * step + 1))
+            begin, end = cut[step - 1::step][:len(some)].tolist(), cut[step::step].tolist()
+            self.known.update(zip(some, (ids[a:b] for a, b in zip(begin, end))))
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > self.keep:
             self.known.clear()
         spaced, bare = [], []
         for p in pieces:
-            if _SPACED.fullmatch(p):
-                spaced.append(p)
-            elif _BARE.fullmatch(p):
+            if p.isalpha():
                 bare.append(p)
+            elif p[0] == " " and p[1:].isalpha():
+                spaced.append(p)
             else:
                 self.known[p] = self._whole(p)
         self._joined(spaced, "")
