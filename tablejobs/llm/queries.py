@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablejobs.session import load_table
 
-from . import containment, licences, mixing, neighbours, private, substrings, tokens, toxicity, urls
+from . import containment, licences, mixing, neighbours, private, similar, substrings, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_documents(load_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
