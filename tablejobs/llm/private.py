@@ -3,7 +3,7 @@ scored by the words nearby.
 
 A kind has a pattern that proposes spans, a check that a match must pass, and
 context words. A confirmed match starts from the kind's score; a context word
-shortly before it raises that. Matches are leftmost and do not overlap within a
+shortly before it, and after the kind's match before, raises that. Matches are leftmost and do not overlap within a
 kind; one that fails its check is dropped and its text not tried again.
 
 At scale: one map-only pass of DataFrame functions, with no shuffle. The

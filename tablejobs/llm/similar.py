@@ -263,10 +263,10 @@ def _exact(settings: Settings):
 
 def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id",
                       text_column: str = "text") -> DataFrame:
-    """For each row of ``docs``: its id, ``k`` (31 bits of its text's hash; with
-    the id it names the row), ``class_id`` (the lowest id that its links reach,
-    its own if it has none) and ``n_links``, the number of other rows of
-    similarity ``threshold`` or more.
+    """For each row of ``docs``: its id, ``k`` (a hash of its text; with the id it
+    names the row), ``class_key`` (a 64-bit name of its class), ``class_id`` (the
+    lowest id that its links reach, its own if it has none) and ``n_links``, the
+    number of other rows of similarity ``threshold`` or more.
 
     Null and empty texts have no words and are copies of each other; a text of
     fewer than five words is one shingle, so it links to texts of the same words
@@ -331,21 +331,19 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
              .withColumn("least", F.coalesce("least", "node")))
     lowest = named.groupBy("least").agg(F.min("low").alias("class_id"))
     by_node = named.join(lowest, "least").select(
-        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        "node", F.col("least").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return features.select("id", "k", "node").join(by_node, "node").select(
-        F.col("id").alias(id_column), "k", "class_id", "n_links")
+        F.col("id").alias(id_column), "k", "class_key", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id",
              text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, that of the lowest id (of rows with
-    that id, one); all columns stay. Rows without an id stay in classes that have
-    no ids: one of each text."""
+    """``docs`` with one row of each class, that of the lowest id (of rows without
+    an id only, one of them); all columns stay."""
     found = similar_documents(docs, settings, id_column, text_column)
-    kept = found.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(id_column, "k").distinct()
-    kept = kept.groupBy(id_column).agg(F.min("k").alias("k")).where(F.col(id_column).isNotNull()).unionByName(
-        kept.where(F.col(id_column).isNull()))
-    kept = kept.select(F.col(id_column).alias("_id"), F.col("k").alias("_k"))
+    kept = found.groupBy("class_key").agg(F.min(F.struct(
+        F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "k")).alias("one"))
+    kept = kept.select(F.col("one.id").alias("_id"), F.col("one.k").alias("_k"))
     texts = docs.withColumn("_own", F.coalesce(F.hash(text_column), F.lit(0)))
     return (texts.join(kept, texts[id_column].eqNullSafe(kept["_id"]) & (F.col("_own") == F.col("_k")))
-            .drop("_id", "_k", "_own").dropDuplicates([id_column, text_column]))
+            .dropDuplicates(["_id", "_k"]).drop("_id", "_k", "_own"))
