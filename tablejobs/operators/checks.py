@@ -38,7 +38,15 @@ def reference_report(checks: list[tuple[str, DataFrame, DataFrame, dict[str, str
     return reduce(DataFrame.unionByName, parts)
 
 
-unique_violations = duplicate_keys
+def unique_violations(df: DataFrame, keys: list[str], nulls_too: bool = False) -> DataFrame:
+    """Keys that occur more than once, with their row count. A key with a NULL
+    part repeats nothing; with ``nulls_too`` (a primary key is meant) rows with
+    such keys are reported as well, however often they occur."""
+    whole = duplicate_keys(df.dropna(subset=keys), keys)
+    if not nulls_too:
+        return whole
+    broken = reduce(lambda a, b: a | b, [F.col(quote(k)).isNull() for k in keys])
+    return whole.unionByName(df.where(broken).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 def not_null_report(df: DataFrame, table: str, required: list[str]) -> DataFrame:

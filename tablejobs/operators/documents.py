@@ -13,12 +13,24 @@ def document_keys(df: DataFrame, column: str) -> DataFrame:
     return keys.groupBy("key_name").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def flatten_documents(df: DataFrame, column: str, keep: list[str] = ()) -> DataFrame:
-    """One text column per key, in key order; the key list is one row per
-    distinct name and is read first, as a schema is."""
-    names = sorted(r.key_name for r in document_keys(df, column).select("key_name").collect())
-    return df.select(*keep, *[
-        F.get_json_object(quote(column), f"$['{n}']").alias(n) for n in names if n not in keep])
+def flatten_documents(df: DataFrame, column: str, keep: list[str] = (), names: list[str] | None = None,
+                      most: int = 10_000) -> DataFrame:
+    """One text column per key, in key order, from one parse of each document.
+
+    ``names`` are the wanted keys; without them they are read first, as a schema
+    is. More than ``most`` distinct keys are no schema, and fail: such documents
+    need the keys they are wanted for.
+    """
+    if names is None:
+        found = [r.key_name for r in document_keys(df, column).select("key_name").limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"the documents have over {most} distinct keys; name the wanted ones")
+        names = sorted(found)
+    names = [n for n in names if n not in keep]
+    if not names:
+        return df.select(*keep)
+    parsed = F.json_tuple(F.col(quote(column)), *names).alias(*[f"_{i}" for i in range(len(names))])
+    return df.select(*keep, parsed).select(*keep, *[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
 
 
 def to_documents(df: DataFrame, name: str = "document") -> DataFrame:

@@ -13,18 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 TYPE_ORDER = ("TABLE", "BASE TABLE", "VIEW", "FUNCTION", "PROCEDURE", "TRIGGER", "COLLECTION",
               "STRING", "HASH", "LIST", "SET", "ZSET", "STREAM")
 
-STREAM_VALUE_ENTRIES = 100  # a stream's whole value shows its first entries
-
 _KEY = ("key", "type", "ttl")
 
 
-def _paged(rows: DataFrame, at: str, page: int | None, size: int) -> DataFrame:
-    if page is None:
-        return rows
-    first = (page - 1) * size
-    return rows.where((F.col(at) >= first) & (F.col(at) < first + size))
-
-
 def _by_score(descending: bool) -> Column:
     ranked = F.sort_array(F.transform("zset", lambda e: F.struct(
         e["score"].alias("score"), e["member"].alias("member"))))
@@ -54,8 +45,12 @@ def kv_rows(snapshot: DataFrame, kind: str, page: int | None = None, size: int =
     if kind not in exploded:
         raise ValueError(f"unknown key type {kind}")
     values, columns = exploded[kind]
+    first = 0 if page is None else (page - 1) * size
+    if page is not None:  # only the page's elements become rows
+        values = F.slice(values, F.lit(first + 1), F.lit(size))
     rows = keys.select(*_KEY, F.posexplode(values).alias("_at", "_value"))
-    return _paged(rows, "_at", page, size).select(*_KEY, *columns(F.col("_value")))
+    rows = rows.withColumn("_at", F.col("_at") + first)
+    return rows.select(*_KEY, *columns(F.col("_value")))
 
 
 def element_count() -> Column:
@@ -137,13 +132,15 @@ def element_totals(snapshot: DataFrame) -> DataFrame:
                                         F.sum(element_count()).alias("n_elements"))
 
 
-def value_json(snapshot: DataFrame) -> DataFrame:
-    """The whole value of each key as JSON."""
+def value_json(snapshot: DataFrame, stream_entries: int | None = None) -> DataFrame:
+    """The whole value of each key as JSON; ``stream_entries`` cuts streams for
+    a caller that wants to see their first entries only."""
+    stream = F.col("stream") if stream_entries is None else F.slice("stream", 1, stream_entries)
     cases = {
-        "list": F.to_json("list"), "set": F.to_json("set"), "hash": F.to_json("hash"),
+        "list": F.to_json("list"), "set": F.to_json(F.array_sort("set")), "hash": F.to_json("hash"),
         "zset": F.to_json(F.transform(_by_score(False), lambda e: F.struct(
             e["member"].alias("member"), e["score"].alias("score")))),
-        "stream": F.to_json(F.slice("stream", 1, STREAM_VALUE_ENTRIES)),
+        "stream": F.to_json(stream),
         "string": F.to_json(F.array("str")).substr(F.lit(2), F.length(F.to_json(F.array("str"))) - 2),
     }
     value = F.lit(None).cast("string")

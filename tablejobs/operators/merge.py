@@ -22,17 +22,20 @@ def _cells(df: DataFrame, keys: list[str]) -> list[str]:
 def _edits_by_key(changes: DataFrame, keys: list[str], cells: list[str]) -> DataFrame:
     """One row per edited key: deleted flag, and per cell a set flag and the
     last value. Plain aggregates, so many edits of one key combine before the
-    shuffle. Without ``seq`` a key has one update at most, taken whole."""
+    shuffle. Without ``seq`` several updates of a key are put together cell by
+    cell; a cell that they set to different values fails the job."""
     edits = changes.where(F.col("op") != "insert").groupBy(*keys)
     deleted = F.max(F.col("op") == "delete").alias("_deleted")
-    if "seq" not in changes.columns:
-        update = F.when(F.col("op") == "update", F.struct("set", *[quote(c) for c in cells]))
-        edits = edits.agg(deleted, F.any_value(update, True).alias("_edit"))
-        return edits.select(*keys, "_deleted", *[
-            column for i, c in enumerate(cells) for column in (
-                F.array_contains("_edit.set", c).alias(f"_set{i}"),
-                F.col(f"_edit.{quote(c)}").alias(f"_new{i}"))])
     out, last = [deleted], []
+    if "seq" not in changes.columns:
+        for i, c in enumerate(cells):
+            is_set = (F.col("op") == "update") & F.array_contains("set", c)
+            value = F.when(is_set, F.struct(F.col(quote(c)).alias("v")))
+            out += [F.max(is_set).alias(f"_set{i}"), F.max(value).alias(f"_last{i}"), F.min(value).alias(f"_first{i}")]
+            same = F.col(f"_first{i}.v").eqNullSafe(F.col(f"_last{i}.v"))
+            clash = F.raise_error(F.lit(f"two edits of one row set {c} to different values"))
+            last += [F.col(f"_set{i}"), F.when(same, F.col(f"_last{i}.v")).otherwise(clash).alias(f"_new{i}")]
+        return edits.agg(*out).select(*keys, "_deleted", *last)
     for i, c in enumerate(cells):
         is_set = (F.col("op") == "update") & F.array_contains("set", c)
         out.append(F.max(is_set).alias(f"_set{i}"))
@@ -47,18 +50,18 @@ def edit_states(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
 
     ``changes`` has the table's columns plus ``op`` (update, delete, insert),
     ``set`` (array of the edited columns) and, if a row is edited twice, ``seq``.
-    An edit to the same text is no change; a deleted row stays deleted. The base
+    An edit to the same text is no change (NULL and empty text differ); a deleted
+    row stays deleted. The base
     is joined from the left, so a small change set is broadcast by size and the
     base is not shuffled.
     """
     cells = _cells(base, keys)
     edits = _edits_by_key(changes, keys, cells)
     joined = base.join(edits, keys, "left")
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     changed, out = [], [F.col(quote(k)) for k in keys]
     for i, c in enumerate(cells):
         old, new = F.col(quote(c)), F.col(f"_new{i}")
-        dirty = F.coalesce(F.col(f"_set{i}"), F.lit(False)) & (text(old) != text(new))
+        dirty = F.coalesce(F.col(f"_set{i}"), F.lit(False)) & ~old.cast("string").eqNullSafe(new.cast("string"))
         changed.append(dirty)
         out.append(F.when(dirty, new).otherwise(old).alias(c))
     any_changed = reduce(lambda a, b: a | b, changed, F.lit(False))

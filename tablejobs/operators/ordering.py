@@ -52,6 +52,19 @@ def sort_by(df: DataFrame, column: str, direction: str = "asc", keys: list[str]
     return df.orderBy(*_sort_keys(column, direction, keys))
 
 
+def _orderable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields
+            if not any(t in f.dataType.simpleString() for t in ("map<", "variant", "interval"))]
+
+
+def _total_order(df: DataFrame, column, direction, keys) -> list[Column]:
+    """The wanted order, then all other columns: rows that tie are equal, so
+    every path cuts the same rows at the same place."""
+    known = {column, *keys}
+    rest = [F.col(quote(c)).asc_nulls_first() for c in _orderable(df) if c not in known]
+    return _sort_keys(column, direction, keys) + rest
+
+
 def _sort_keys(column, direction, keys) -> list[Column]:
     first = []
     if column is not None:
@@ -69,13 +82,14 @@ def _slice(df: DataFrame, order: list[Column], skip: int, count: int, top_n: int
 
 def page(df: DataFrame, number: int, size: int = 100, column: str | None = None,
          direction: str = "asc", keys: list[str] = (), top_n: int = TOP_N_ROWS) -> DataFrame:
-    """Page ``number`` (from 1) of ``size`` rows."""
-    return _slice(df, _sort_keys(column, direction, keys), (number - 1) * size, size, top_n)
+    """Page ``number`` (from 1) of ``size`` rows. Ties, also without keys, are in
+    the order of the other columns, so pages neither share nor miss rows."""
+    return _slice(df, _total_order(df, column, direction, keys), (number - 1) * size, size, top_n)
 
 
 def row_limit(df: DataFrame, n: int, keys: list[str], top_n: int = TOP_N_ROWS) -> DataFrame:
     """The first ``n`` rows by key: a true maximum, whatever its size."""
-    return _slice(df, _sort_keys(None, "asc", keys), 0, n, top_n)
+    return _slice(df, _total_order(df, None, "asc", keys), 0, n, top_n)
 
 
 def page_total(df: DataFrame, size: int = 100) -> DataFrame:
@@ -85,16 +99,24 @@ def page_total(df: DataFrame, size: int = 100) -> DataFrame:
 
 
 def ordered_list(df: DataFrame, keys: list[str], order: list[str], item: str,
-                 name: str = "items", max_items: int = 100_000) -> DataFrame:
-    """Ordered array of ``item`` per group, with its ``piece`` number.
-
-    A group of up to ``max_items`` rows is one row with piece 0. A larger group
-    is cut into pieces of at most that many items, in order, so that no task
-    holds a group of unbounded size.
+                 name: str = "items", max_items: int = 100_000,
+                 max_bytes: int = 256 << 20) -> DataFrame:
+    """Ordered array of ``item`` per group, with its ``piece`` number; ties are in
+    the order of the items.
+
+    A group of up to ``max_items`` rows and ``max_bytes`` of item text is one row
+    with piece 0. A larger group is cut into pieces of as many items each as keep
+    to both on average, in order, so that no task holds a group of unbounded
+    size.
     """
     cols = list(dict.fromkeys([*keys, *order, item]))
     rows = df.select([quote(c) for c in cols])
-    large = rows.groupBy(*keys).count().where(F.col("count") > max_items).drop("count")
+    width = F.coalesce(F.sum(F.octet_length(F.col(quote(item)).cast("string"))), F.lit(0))
+    per_piece = F.least(F.lit(max_items).cast("long"),
+                        F.greatest(F.floor(F.col("_n") * max_bytes / F.greatest("_bytes", F.lit(1))), F.lit(1)))
+    large = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), width.alias("_bytes"))
+             .where((F.col("_n") > max_items) | (F.col("_bytes") > max_bytes))
+             .withColumn("_per", per_piece).drop("_n", "_bytes"))
     packed = lambda by: F.transform(F.sort_array(F.collect_list(F.struct(
         *[F.col(quote(c)).alias(f"_by{i}") for i, c in enumerate(by)],
         F.col(quote(item)).alias("_item")))), lambda x: x["_item"])
@@ -103,10 +125,10 @@ def ordered_list(df: DataFrame, keys: list[str], order: list[str], item: str,
     large = materialize(large, "large-groups")
     small = (rows.join(large, keys, "left_anti").groupBy(*keys).agg(packed(order).alias(name))
              .withColumn("piece", F.lit(0).cast("long")))
-    numbered = number_rows(rows.join(large, keys, "left_semi"), [*keys, *order], "_pos")
+    numbered = number_rows(rows.join(large, keys, "left_semi"), [*keys, *order, item], "_pos")
     # At most one row per max_items rows; written, so the join knows its size.
     firsts = materialize(numbered.groupBy(*keys).agg(F.min("_pos").alias("_first")), "firsts")
-    pieces = (numbered.join(firsts, keys)
-              .withColumn("piece", F.floor((F.col("_pos") - F.col("_first")) / max_items))
+    pieces = (numbered.join(firsts, keys).join(large, keys)
+              .withColumn("piece", F.floor((F.col("_pos") - F.col("_first")) / F.col("_per")))
               .groupBy(*keys, "piece").agg(packed(["_pos"]).alias(name)))
     return small.unionByName(pieces)

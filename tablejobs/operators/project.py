@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.types import quote
+from ..functions.types import quote, text as sql_text
 from .ordering import number_rows
 
 
@@ -58,25 +59,35 @@ def default_expression(raw: str | None, dtype: T.DataType) -> str | None:
     """
     if raw is None or not raw.strip() or "nextval" in raw.lower():
         return None
-    text = raw.rsplit("::", 1)[0].strip()
+    text = raw.strip()
+    quoted = re.match(r"'(?:[^']|'')*'", text)  # a cast follows the quoted text, not inside it
+    text = quoted.group() if quoted else text.split("::", 1)[0].strip()
     if text.upper() in ("NULL", ""):
         return None
     if text.strip("'").startswith("0000-00-00"):
         text = "'1970-01-01'"
     if text.upper() in ("NOW()", "SYSDATE", "SYSTIMESTAMP", "LOCALTIMESTAMP"):
         text = "CURRENT_TIMESTAMP"
+    if text.startswith("'"):
+        text = sql_text(text[1:-1].replace("''", "'"))
+    elif isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)) and not re.match(
+            r"(?i)current_|[a-z_]+\(", text):
+        text = sql_text(text)  # bare text
     return f"CAST({text} AS {dtype.simpleString()})"
 
 
-def fill_defaults(df: DataFrame, schema: T.StructType, defaults: dict[str, str]) -> DataFrame:
-    """Shape ``df`` to ``schema``: a column that is missing, or NULL, takes its
-    default."""
+def fill_defaults(df: DataFrame, schema: T.StructType, defaults: dict[str, str],
+                  when_null: bool = False) -> DataFrame:
+    """Shape ``df`` to ``schema``: a column that is missing takes its default;
+    with ``when_null`` a NULL does too."""
     have = set(df.columns)
     out = []
     for f in schema.fields:
         value = F.col(quote(f.name)).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
         text = default_expression(defaults.get(f.name), f.dataType)
-        if text is not None:
+        if text is not None and f.name not in have:
+            value = F.expr(text)
+        elif text is not None and when_null:
             value = F.coalesce(value, F.expr(text))
         out.append(value.alias(f.name))
     return df.select(out)

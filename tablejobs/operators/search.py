@@ -18,7 +18,7 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def find_in_table(df: DataFrame, table: str, needle: str, keys: list[str] | None,
-                  per_table: int | None = 5) -> DataFrame:
+                  per_table: int | None = None) -> DataFrame:
     """Hits in the text columns of one table, one per (row, column).
 
     The limit counts rows. With ``keys`` the first rows by key are taken (a
@@ -31,7 +31,7 @@ def find_in_table(df: DataFrame, table: str, needle: str, keys: list[str] | None
         rows = (rows.orderBy(*keys) if keys else rows).limit(per_table)
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(quote(c)).alias("value"))
                       for c in columns])
-    row = F.to_json(F.struct(*[F.col(quote(c)) for c in df.columns]))
+    row = F.to_json(F.struct(*[F.col(quote(c)) for c in df.columns]), {"ignoreNullFields": "false"})
     return (rows.select(row.alias("row"), F.explode(cells).alias("c"))
             .where(contains_text(F.col("c.value"), needle))
             .select(F.lit(table).alias("table_name"), "c.column_name", "c.value", "row"))
@@ -39,9 +39,10 @@ def find_in_table(df: DataFrame, table: str, needle: str, keys: list[str] | None
 
 def find_in_tables(spark: SparkSession, frames: dict[str, DataFrame], needle: str,
                    keys: dict[str, list[str]] | None = None,
-                   max_tables: int = 50, per_table: int | None = 5) -> DataFrame:
+                   max_tables: int | None = None, per_table: int | None = None) -> DataFrame:
     """Hits over many tables; tables without text columns are passed over. An
-    empty needle finds nothing."""
+    empty needle finds nothing. All tables and rows are searched unless the
+    caller sets a limit."""
     needle = needle.strip()
     parts = []
     if needle:

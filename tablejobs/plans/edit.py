@@ -8,7 +8,6 @@ from ..functions.types import quote
 from ..operators.merge import ConflictError, duplicate_keys, edit_states, existing_keys
 from ..session import Namespace, materialize
 from ..sinks import store
-from ..sources.tables import table_location
 
 STATES = ("modified", "added", "deleted")
 
@@ -23,7 +22,7 @@ def apply_edits(spark: SparkSession, ns: Namespace, table: str, changes: DataFra
     if not keys:
         raise ValueError(f"table {table} has no primary key")
     base = spark.table(store.qualified(ns, table))
-    location = table_location(spark, ns.name, table)
+    before = store.state(spark, ns, table)
     changes = materialize(changes, "changes")
     inserts = changes.where("op = 'insert'")
     if not duplicate_keys(inserts, keys).isEmpty() or not existing_keys(base, inserts, keys).isEmpty():
@@ -33,6 +32,6 @@ def apply_edits(spark: SparkSession, ns: Namespace, table: str, changes: DataFra
     states = edit_states(base, changes, keys).observe(seen, *[
         F.count_if(F.col("row_state") == s).alias(s) for s in STATES])
     kept = states.where("row_state IS NULL OR row_state <> 'deleted'")
-    store.write_table(ns, table, kept.select(*[quote(c) for c in base.columns]), location)
+    store.write_table(ns, table, kept.select(*[quote(c) for c in base.columns]), before)
     counts = {s: seen.get[s] for s in STATES}
     return {**counts, "affected": sum(counts.values())}

@@ -8,7 +8,7 @@ from ..functions.types import quote
 from ..operators.reshape import reshape
 from ..session import Namespace, create_namespace, delete_path, small_frame
 from ..sinks import store
-from ..sources.tables import table_location, table_names
+from ..sources.tables import table_names
 from .transfer import TransferOptions, transfer
 
 
@@ -31,9 +31,9 @@ def duplicate_namespace(spark: SparkSession, source: dict, name: str, root: str,
 
 def reshape_table(spark: SparkSession, ns: Namespace, table: str, **changes) -> int:
     """Rewrite a table with changed columns (see ``operators.reshape``)."""
-    location = table_location(spark, ns.name, table)
+    before = store.state(spark, ns, table)
     return store.write_table(ns, table, reshape(spark.table(store.qualified(ns, table)), **changes),
-                             location)
+                             before)
 
 
 def rename_table(spark: SparkSession, ns: Namespace, table: str, new_name: str) -> None:

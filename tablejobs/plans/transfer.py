@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,11 +40,14 @@ class TransferOptions:
     error_mode: str = "skip"
     parallelism: int = 4
     keys: dict[str, list[str]] = field(default_factory=dict)
+    order: dict[str, str] = field(default_factory=dict)
     checkpoint: str | None = None
 
     def __post_init__(self):
         if self.mode not in MODES:
             raise ValueError(f"unknown mode {self.mode}")
+        for table in self.tables:
+            store.check_strategy(self.conflict, self.keys.get(table))
         if self.error_mode not in ERROR_MODES:
             raise ValueError(f"unknown error mode {self.error_mode}")
 
@@ -87,6 +91,19 @@ def completed_tables(spark: SparkSession, checkpoint: str | None) -> set[str]:
     return {r.table_name for r in done.select("table_name").distinct().collect()}
 
 
+def transfer_id(spark: SparkSession, checkpoint: str | None) -> str | None:
+    """The id of the transfer that the checkpoint folder belongs to. It is in
+    the names of the folders the transfer writes, so that a resumed one knows a
+    table it has published but not recorded."""
+    if checkpoint is None:
+        return None
+    path = f"{checkpoint}/id"
+    if not session.path_exists(spark, f"{path}/_SUCCESS"):
+        made = session.small_frame(spark, [(uuid.uuid4().hex,)], "transfer string")
+        made.coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("transfer string").json(path).first()["transfer"]
+
+
 def prepared(spark: SparkSession, source: dict, table: str, opts: TransferOptions) -> DataFrame:
     """The rows of one table as the target gets them, as one lazy plan."""
     df = where_text(source_tables.read_table(spark, source, table), opts.where)
@@ -107,9 +124,10 @@ def _mapped_keys(table: str, opts: TransferOptions) -> list[str]:
 
 
 def copy_table(spark: SparkSession, source: dict, target: Namespace, table: str,
-               opts: TransferOptions) -> int:
+               opts: TransferOptions, job: str | None = None) -> int:
     """Copy one table; returns the rows taken from the source. The target shows
-    all of them or none."""
+    all of them or none. Rows for a table that exists are bound to its types; the
+    conflict strategy holds within the source too."""
     df = prepared(spark, source, table, opts)
     there = store.exists(spark, target, table)
     if opts.mode == "structure_only":
@@ -119,12 +137,16 @@ def copy_table(spark: SparkSession, source: dict, target: Namespace, table: str,
     if opts.mode == "data_only" and not there:
         raise LookupError(f"table '{table}' not found in target")
     fresh = not there or (opts.drop_target and opts.mode != "data_only")
+    keys, order = _mapped_keys(table, opts), opts.order.get(table)
     if fresh or opts.truncate_target:
+        before = None
         if not fresh:
-            columns = spark.table(store.qualified(target, table)).columns
-            df = df.select(*columns)
-        return store.write_table(target, table, df)
-    return store.load_rows(target, table, df, _mapped_keys(table, opts), opts.conflict)
+            before = store.state(spark, target, table)
+            df = store.bound(df, spark.table(store.qualified(target, table)).schema)
+        if keys:
+            df = store.one_of_each(df, keys, opts.conflict, order)
+        return store.write_table(target, table, df, before, job)
+    return store.load_rows(target, table, df, keys, opts.conflict, order, job)
 
 
 def transfer(spark: SparkSession, source: dict, target: Namespace,
@@ -139,11 +161,14 @@ def transfer(spark: SparkSession, source: dict, target: Namespace,
     """
     done = completed_tables(spark, opts.checkpoint)
     todo = [t for t in opts.tables if t not in done]
+    job = transfer_id(spark, opts.checkpoint)
 
     def run(table: str) -> tuple:
         start, size, rows, status, error = time.monotonic(), 0, 0, "ok", None
         try:
-            rows = copy_table(spark, source, target, table, opts)
+            # Published before a stop, but not recorded: nothing is left to copy.
+            if job is None or not store.written_by(spark, target, table, job):
+                rows = copy_table(spark, source, target, table, opts, job)
             size = source_tables.table_bytes(spark, source, table)
         except Exception as e:
             status, error = "error", str(e).split("\n")[0]

@@ -84,6 +84,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _hadoop_path(spark, path)
+    if not fs.rename(p, _hadoop_path(spark, to)[1]):
+        raise OSError(f"could not move {path} to {to}")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it.
 
@@ -108,14 +114,6 @@ def clear_scratch(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_folder(spark)}/tablejobs-{spark.sparkContext.applicationId}")
 
 
-def spread(df: DataFrame, low: int = 1 << 20, high: int = 1 << 30) -> DataFrame:
-    """Deal a small input out to all cores, for expressions that are heavy per
-    row: a file of one row group is one task otherwise. An input over ``high``
-    bytes has tasks enough and is not shuffled."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if low <= size <= high else df
-
-
 def in_parallel(spark: SparkSession, job: Callable, items: list, at_once: int) -> list:
     """Run ``job`` for each item, some at a time, each in its own FAIR pool, so
     that a small table's job does not wait for a large one's tasks."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..functions.scalars import number_text, sql_literal
 from ..functions.types import as_text, is_nested, quote
@@ -53,8 +53,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_documents(df: DataFrame, path: str) -> int:
     """One document per row; returns the number written."""
-    to_documents(df, "value").write.text(path)
-    return df.sparkSession.read.text(path).count()
+    written = Observation()
+    to_documents(df, "value").observe(written, F.count(F.lit(1)).alias("n_rows")).write.text(path)
+    return written.get["n_rows"]
 
 
 def _name(name: str) -> str:

@@ -3,7 +3,12 @@
 A table is an external parquet table. A change writes a new version folder and
 then points the table at it with ALTER TABLE ... SET LOCATION, so readers see
 the old rows or the new rows. The folder that was current stays for readers that
-have started; older ones go with ``drop_old_versions``.
+have started; older ones go with ``drop_old_versions``. An append writes a folder
+of its own beside the table's, which one rename puts into the version folder: all
+its rows show at once, and appends at the same time do not touch each other.
+
+All loads into a table bind the rows to its columns and types first; a value that
+cannot be bound fails the load and leaves the table as it was.
 """
 
 from __future__ import annotations
@@ -13,9 +18,9 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from .. import session
-from ..functions.types import quote
-from ..operators.merge import (ConflictError, duplicate_keys, existing_keys, merge_load, new_rows,
-                               one_per_key)
+from ..functions.types import bind_to, quote
+from ..operators.merge import (STRATEGIES, ConflictError, duplicate_keys, existing_keys, merge_load,
+                               new_rows, one_per_key)
 from ..session import Namespace
 from ..sources.tables import table_location
 
@@ -28,8 +33,25 @@ def exists(spark: SparkSession, ns: Namespace, table: str) -> bool:
     return spark.catalog.tableExists(qualified(ns, table))
 
 
-def new_version(ns: Namespace, table: str) -> str:
-    return f"{ns.root}/{table}/v-{uuid.uuid4().hex}"
+def new_version(ns: Namespace, table: str, job: str | None = None) -> str:
+    """A folder nobody else uses; it carries the id of the job that writes it."""
+    return f"{ns.root}/{table}/v-{job or 'none'}-{uuid.uuid4().hex}"
+
+
+def state(spark: SparkSession, ns: Namespace, table: str) -> tuple[str, tuple[str, ...]]:
+    """What the table holds now: its version folder and the loads in it."""
+    location = table_location(spark, ns.name, table)
+    loads = [p.rsplit("/", 1)[1] for p in session.path_children(spark, location)]
+    return location, tuple(p for p in loads if p.startswith("load-"))
+
+
+def written_by(spark: SparkSession, ns: Namespace, table: str, job: str) -> bool:
+    """Whether the table's present rows came from, or include, this job's."""
+    if not exists(spark, ns, table):
+        return False
+    location, loads = state(spark, ns, table)
+    return (location.rsplit("/", 1)[1].startswith(f"v-{job}-")
+            or any(name.startswith(f"load-{job}-") for name in loads))
 
 
 def same_columns(a, b) -> bool:
@@ -37,27 +59,32 @@ def same_columns(a, b) -> bool:
 
 
 def publish(spark: SparkSession, ns: Namespace, table: str, path: str, schema,
-            expected: str | None = None) -> None:
-    """Point the table at ``path``. With ``expected`` (the location the change
+            expected: tuple | None = None) -> None:
+    """Point the table at ``path``. With ``expected`` (the ``state`` the change
     was computed from) a table changed by someone else in between is refused."""
     name = qualified(ns, table)
     if exists(spark, ns, table):
-        if expected is not None and table_location(spark, ns.name, table) != expected:
-            raise RuntimeError(f"table {table} was changed by another job")
+        _unchanged(spark, ns, table, expected)
         if same_columns(spark.table(name).schema, schema):
             spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
             spark.catalog.refreshTable(name)
             return
         # Parquet tables take no column drop or rename; the files stay.
         spark.sql(f"DROP TABLE {name}")
-    spark.catalog.createTable(name, path=path, source="parquet", schema=schema)
+    spark.catalog.createTable(name, path=path, source="parquet", schema=schema, recursiveFileLookup="true")
+
 
+def _unchanged(spark: SparkSession, ns: Namespace, table: str, expected: tuple | None) -> None:
+    if expected is not None and state(spark, ns, table) != expected:
+        raise RuntimeError(f"table {table} was changed by another job")
 
-def write_table(ns: Namespace, table: str, df: DataFrame, expected: str | None = None) -> int:
+
+def write_table(ns: Namespace, table: str, df: DataFrame, expected: tuple | None = None,
+                job: str | None = None) -> int:
     """Replace the table's rows; returns the row count, read back from the new
     files' footers."""
     spark = df.sparkSession
-    path = new_version(ns, table)
+    path = new_version(ns, table, job)
     try:
         df.write.parquet(path)
         rows = spark.read.schema(df.schema).parquet(path).count()
@@ -68,46 +95,82 @@ def write_table(ns: Namespace, table: str, df: DataFrame, expected: str | None =
     return rows
 
 
-def append_rows(ns: Namespace, table: str, df: DataFrame) -> int:
-    """Bulk append; the job's commit makes all its files visible together.
-    Returns the number of rows, counted as they are written."""
+def bound(df: DataFrame, schema) -> DataFrame:
+    """``df`` as a table of ``schema`` takes it. Columns the table lacks are
+    refused; a value that does not fit fails when it is read."""
+    unknown = set(df.columns) - set(schema.names)
+    if unknown:
+        raise ValueError(f"the table has no columns {sorted(unknown)}")
+    return bind_to(df, schema)
+
+
+def append_rows(ns: Namespace, table: str, df: DataFrame, expected: tuple | None = None,
+                job: str | None = None) -> int:
+    """Bulk append, all rows at once or none. With ``expected`` (a ``state``) a
+    table that others have changed since is refused. Returns the number of rows,
+    counted as they are written."""
     spark = df.sparkSession
-    target = spark.table(qualified(ns, table))
-    location = table_location(spark, ns.name, table)
+    name = qualified(ns, table)
+    staged = f"{ns.root}/{table}/staged-{uuid.uuid4().hex}"
     written = Observation()
-    (df.select(*[quote(c) for c in target.columns])
-     .observe(written, F.count(F.lit(1)).alias("n_rows"))
-     .write.mode("append").parquet(location))
-    spark.catalog.refreshTable(qualified(ns, table))
+    try:
+        (bound(df, spark.table(name).schema).observe(written, F.count(F.lit(1)).alias("n_rows"))
+         .write.parquet(staged))
+        _unchanged(spark, ns, table, expected)
+        load = f"load-{job or 'none'}-{uuid.uuid4().hex}"
+        session.move_path(spark, staged, f"{table_location(spark, ns.name, table)}/{load}")
+    except Exception:
+        session.delete_path(spark, staged)
+        raise
+    spark.catalog.refreshTable(name)
     return written.get["n_rows"]
 
 
+def check_strategy(strategy: str, keys: list[str] | None) -> None:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown conflict strategy {strategy}")
+    if strategy != "error" and not keys:
+        raise ValueError(f"conflict strategy {strategy} needs the table's keys")
+
+
+def one_of_each(source: DataFrame, keys: list[str], strategy: str, order: str | None) -> DataFrame:
+    """A source with one row for each key: replace takes the last and ignore the
+    first by ``order``; otherwise repeated keys are refused."""
+    if order is not None and strategy != "error":
+        return one_per_key(source, keys, order, last=strategy == "replace")
+    if not duplicate_keys(source, keys).isEmpty():
+        raise ConflictError(f"the source has rows with the same {keys}")
+    return source
+
+
 def load_rows(ns: Namespace, table: str, source: DataFrame, keys: list[str] | None = None,
-              strategy: str = "error", order: str | None = None) -> int:
+              strategy: str = "error", order: str | None = None, job: str | None = None) -> int:
     """Load rows into an existing table by conflict strategy; returns how many
     rows came from the source.
 
     ignore and error only append; replace rewrites the table. The source is
-    staged once, as its keys and then its rows are read.
+    staged once, as its keys and then its rows are read. ignore and replace need
+    keys; without keys rows are appended as they are.
     """
     spark = source.sparkSession
-    if not keys:
-        return append_rows(ns, table, source)
+    check_strategy(strategy, keys)
     target = spark.table(qualified(ns, table))
+    if not keys:
+        return append_rows(ns, table, source, job=job)
+    before = state(spark, ns, table)
     if order is not None and strategy != "error":
-        source = one_per_key(source, keys, order, last=strategy == "replace")
-    source = session.materialize(source, "load")
+        source = one_of_each(source, keys, strategy, order)
+    source = session.materialize(bound(source, target.schema), "load")
+    if order is None or strategy == "error":
+        one_of_each(source, keys, strategy, None)
     if strategy == "replace":
-        location = table_location(spark, ns.name, table)
-        write_table(ns, table, merge_load(target, source, keys, "replace"), location)
+        write_table(ns, table, merge_load(target, source, keys, "replace"), before, job)
         return source.count()
-    if not duplicate_keys(source, keys).isEmpty():
-        raise ConflictError(f"the source has rows with the same {keys}")
     if strategy == "error":
         if not existing_keys(target, source, keys).isEmpty():
             raise ConflictError(f"the target has rows with the same {keys}")
-        return append_rows(ns, table, source)
-    return append_rows(ns, table, new_rows(target, source, keys))
+        return append_rows(ns, table, source, before, job)
+    return append_rows(ns, table, new_rows(target, source, keys), before, job)
 
 
 def truncate_table(spark: SparkSession, ns: Namespace, table: str) -> None:

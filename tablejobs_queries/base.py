@@ -41,7 +41,7 @@ def current_rows(spark: SparkSession, ns: Namespace, table: str) -> DataFrame:
     """The table's present version, readable after the namespace is dropped."""
     location = table_location(spark, ns.name, table)
     schema = spark.table(f"`{ns.name}`.`{table}`").schema
-    return spark.read.schema(schema).parquet(location)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(location)
 
 
 ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, " \

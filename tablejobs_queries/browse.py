@@ -1,6 +1,8 @@
 """Mapping, filters, pages and previews."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tablejobs.operators import filters, ordering, project
 from tablejobs.operators.project import ColumnMapping
@@ -72,6 +74,21 @@ def page_deep(spark, sf):
                                    keys=LINE_ORDER, top_n=1000))
 
 
+@query("""
+WITH n AS (SELECT event_type, event_id, user_id,
+                  row_number() OVER (ORDER BY event_type, event_id) - 1 AS pos
+           FROM (SELECT event_type, event_id, user_id FROM events))
+SELECT CAST(floor(pos / 400) + 1 AS BIGINT) AS page, event_type, event_id, user_id FROM n WHERE pos < 2400
+""")
+def page_ties(spark, sf):
+    """Pages by a column of few values, on both sides of the switch to row
+    numbers: no row comes twice or never."""
+    events = load_table(spark, sf, "events").select("event_type", "event_id", "user_id")
+    pages = [ordering.page(events, n, 400, "event_type", top_n=1000).withColumn("page", F.lit(n).cast("long"))
+             for n in range(1, 7)]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("""
 SELECT count(*) AS total, CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages
 FROM orders WHERE o_orderstatus = 'O'
@@ -98,8 +115,8 @@ def row_handle(spark, sf):
 
 
 @query("""
-SELECT s_suppkey, s_name, s_nationkey, coalesce(nullif(s_nationkey, 3), 99) AS home,
-       'new' AS status, 5 AS rating, '1970-01-01' AS since, CAST(NULL AS VARCHAR) AS note
+SELECT s_suppkey, s_name, s_nationkey, nullif(s_nationkey, 3) AS home,
+       'ne::w' AS status, 5 AS rating, '1970-01-01' AS since, CAST(NULL AS VARCHAR) AS note, 'active' AS state
 FROM supplier
 """)
 def column_defaults(spark, sf):
@@ -108,10 +125,21 @@ def column_defaults(spark, sf):
         "home", F.nullif("s_nationkey", F.lit(3)))
     target = T.StructType.fromDDL(
         "s_suppkey long, s_name string, s_nationkey int, home int, status string, rating int, "
-        "since string, note string")
+        "since string, note string, state string")
     return project.fill_defaults(supplier, target, {
-        "home": "99", "status": "'new'::character varying", "rating": "5",
-        "since": "'0000-00-00'", "note": "NULL::text", "s_suppkey": "nextval('s')"})
+        "home": "99", "status": "'ne::w'::character varying", "rating": "5",
+        "since": "'0000-00-00'", "note": "NULL::text", "s_suppkey": "nextval('s')", "state": "active"})
+
+
+@query("""
+SELECT s_suppkey, coalesce(nullif(s_nationkey, 3), 99) AS home FROM supplier
+""")
+def column_defaults_when_null(spark, sf):
+    from pyspark.sql import types as T
+    supplier = load_table(spark, sf, "supplier").select(
+        "s_suppkey", F.nullif("s_nationkey", F.lit(3)).alias("home"))
+    return project.fill_defaults(supplier, T.StructType.fromDDL("s_suppkey long, home int"),
+                                 {"home": "99"}, when_null=True)
 
 
 @query("""

@@ -46,7 +46,7 @@ def transfer_modes(spark, sf):
             result = transfer(spark, folder(sf), ns, TransferOptions(tables=["orders"], **options))
             if result.errors:
                 raise RuntimeError(result.errors)
-            # Counted now: a later append adds files to the same version folder.
+            # Counted now: a later append adds a load to the same version folder.
             parts.append((name, "orders", current_rows(spark, ns, "orders").count()))
         step("structure_only", mode="structure_only")
         step("data_only", mode="data_only", where="o_orderstatus = 'O'")
@@ -210,3 +210,61 @@ GROUP BY c_mktsegment, o_orderstatus
 def copy_join_group(spark, sf):
     return copy_orders(spark, sf)
 
+
+
+def _ends(spark, ns, table, columns):
+    """A table as it is stored now, with its column types as text."""
+    df = current_rows(spark, ns, table)
+    return df.select(*[F.lit(df.schema[c].dataType.simpleString()).alias(f"{c}_type") for c in columns], *columns)
+
+
+@query("""
+SELECT 'bigint' AS c_custkey_type, 'int' AS c_nationkey_type, 'double' AS c_acctbal_type,
+       c_custkey, c_nationkey, c_acctbal FROM customer
+UNION ALL SELECT 'bigint', 'int', 'double', -c_custkey - 1, c_nationkey, c_acctbal FROM customer
+""")
+def transfer_bound_types(spark, sf):
+    """Text rows loaded into a typed table take its types."""
+    columns = ["c_custkey", "c_nationkey", "c_acctbal"]
+    customer = load_table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("long"), F.col("c_nationkey").cast("int"), F.col("c_acctbal").cast("double"))
+    texts = customer.withColumn("c_custkey", -F.col("c_custkey") - 1).select(
+        *[F.col(c).cast("string").alias(c) for c in columns])
+    with scratch_namespace(spark) as ns:
+        store.write_table(ns, "customer", customer)
+        result = transfer(spark, {"format": "frames", "frames": {"customer": texts}}, ns, TransferOptions(
+            tables=["customer"], mode="data_only", keys={"customer": ["c_custkey"]}))
+        if result.errors:
+            raise RuntimeError(result.errors)
+        return _ends(spark, ns, "customer", columns)
+
+
+@query("""
+SELECT 'bigint' AS s_suppkey_type, 'string' AS s_name_type, s_suppkey, s_name FROM supplier
+""")
+def transfer_truncate_types(spark, sf):
+    """A truncated table keeps its types, whatever the source's are."""
+    supplier = load_table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long"), "s_name")
+    texts = supplier.withColumn("s_suppkey", F.col("s_suppkey").cast("string"))
+    with scratch_namespace(spark) as ns:
+        store.write_table(ns, "supplier", supplier.limit(1))
+        result = transfer(spark, {"format": "frames", "frames": {"supplier": texts}}, ns, TransferOptions(
+            tables=["supplier"], truncate_target=True))
+        if result.errors:
+            raise RuntimeError(result.errors)
+        return _ends(spark, ns, "supplier", ["s_suppkey", "s_name"])
+
+
+@query("""
+SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice
+FROM orders GROUP BY o_custkey
+""")
+def transfer_first_load_replace(spark, sf):
+    """The first load of a table keeps the last row of each key as well."""
+    orders = load_table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    with scratch_namespace(spark) as ns:
+        result = transfer(spark, {"format": "frames", "frames": {"orders": orders}}, ns, TransferOptions(
+            tables=["orders"], conflict="replace", keys={"orders": ["o_custkey"]}, order={"orders": "o_orderkey"}))
+        if result.errors:
+            raise RuntimeError(result.errors)
+        return current_rows(spark, ns, "orders")

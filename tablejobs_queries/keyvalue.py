@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tablejobs.operators import keyvalue as kv
-from tablejobs.session import spread
 
 from .base import load_table, query
 
@@ -43,17 +42,17 @@ def snapshot(spark, sf, kinds=("string", "hash", "list", "set", "zset", "stream"
             load_table(spark, sf, "customer"), "cust", ["c_custkey"], "hash", "hash",
             F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"),
                          F.lit("nation"), text_of("c_nationkey"))),
-        "list": lambda: _entries(spread(load_table(spark, sf, "documents")), "doc", ["doc_id"], "list",
+        "list": lambda: _entries(load_table(spark, sf, "documents"), "doc", ["doc_id"], "list",
                                  "list", F.split("text", "\n")),
-        "set": lambda: _entries(spread(load_table(spark, sf, "documents")), "words", ["doc_id"], "set",
+        "set": lambda: _entries(load_table(spark, sf, "documents"), "words", ["doc_id"], "set",
                                 "set", F.array_distinct(F.split("text", " "))),
         "zset": lambda: _entries(
-            spread(load_table(spark, sf, "embeddings")), "vec", ["vec_id"], "zset", "zset",
+            load_table(spark, sf, "embeddings"), "vec", ["vec_id"], "zset", "zset",
             F.transform("embedding", lambda x, i: F.struct(
                 F.concat(F.lit("d"), i.cast("string")).alias("member"),
                 x.cast("double").alias("score")))),
         "stream": lambda: _entries(
-            spread(load_table(spark, sf, "conversations")), "talk", ["conv_id", "turn"], "stream", "stream",
+            load_table(spark, sf, "conversations"), "talk", ["conv_id", "turn"], "stream", "stream",
             F.transform(F.split("text", " "), lambda w, i: F.struct(
                 F.concat(text_of("turn"), F.lit("-"), i.cast("string")).alias("id"),
                 F.create_map(F.lit("role"), F.col("role"), F.lit("word"), w).alias("fields")))),
@@ -202,19 +201,21 @@ SELECT {_key_sql('cust', 'c_custkey').split(', CASE')[0]}, 'hash' AS type,
 UNION ALL SELECT key, 'list', CAST(to_json(v) AS VARCHAR) FROM ({_LISTS})
 UNION ALL SELECT {_key_sql('sup', 's_suppkey').split(', CASE')[0]}, 'string',
        CAST(to_json(s_name) AS VARCHAR) FROM supplier
-UNION ALL SELECT key, 'stream', CAST(to_json(list_transform(range(1, least(len(v), 100) + 1), lambda i:
+UNION ALL SELECT key, 'stream', CAST(to_json(list_transform(range(1, len(v) + 1), lambda i:
        {{'id': CAST(turn AS VARCHAR) || '-' || CAST(i - 1 AS VARCHAR),
          'fields': {{'role': role, 'word': v[i]}}}})) AS VARCHAR) FROM ({_STREAMS})
+UNION ALL SELECT key, 'set', CAST(to_json(list_sort(v)) AS VARCHAR) FROM ({_SETS})
 """)
 def kv_json(spark, sf):
-    return kv.value_json(snapshot(spark, sf, ("string", "hash", "list", "stream")))
+    return kv.value_json(snapshot(spark, sf, ("string", "hash", "list", "stream", "set")))
 
 
 @query(f"""
 WITH e AS (SELECT key, 'd' || CAST(i - 1 AS VARCHAR) AS member, CAST(v[i] AS DOUBLE) AS score
            FROM (SELECT key, v, unnest(range(1, len(v) + 1)) AS i FROM ({_VECTORS})))
 SELECT key, 'zset' AS type, CAST(count(*) AS BIGINT) AS n,
-       array_to_string(list(member ORDER BY score, member), ',') AS members
+       array_to_string(list(member ORDER BY score, member), ',') AS members,
+       list(score ORDER BY score, member)[1] AS least, list(score ORDER BY score, member)[-1] AS most
 FROM e GROUP BY key
 """)
 def kv_json_zset(spark, sf):
@@ -222,4 +223,5 @@ def kv_json_zset(spark, sf):
     value = F.from_json("value", "array<struct<member:string,score:double>>")
     return kv.value_json(snapshot(spark, sf, ("zset",))).select(
         "key", "type", F.size(value).cast("long").alias("n"),
-        F.array_join(value["member"], ",").alias("members"))
+        F.array_join(value["member"], ",").alias("members"),
+        F.element_at(value["score"], 1).alias("least"), F.element_at(value["score"], -1).alias("most"))

@@ -79,6 +79,35 @@ def edit_batch(spark, sf):
         return time_text(current_rows(spark, ns, "orders"))
 
 
+@query(f"""
+SELECT {ORDER_COLUMNS.replace("o_orderstatus,", "CASE WHEN o_orderpriority = '1-URGENT' THEN 'U' ELSE o_orderstatus END AS o_orderstatus,")
+        .replace("o_totalprice,", "CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,")}
+FROM orders
+""")
+def edit_cells_no_seq(spark, sf):
+    """Two cells of one row edited apart, without an order."""
+    orders = load_table(spark, sf, "orders")
+    urgent = orders.where("o_orderpriority = '1-URGENT'").withColumn("op", F.lit("update"))
+    one = urgent.withColumn("o_orderstatus", F.lit("U")).withColumn("set", F.array(F.lit("o_orderstatus")))
+    two = urgent.withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("set", F.array(F.lit("o_totalprice")))
+    return time_text(merge.merge_edits(orders, one.unionByName(two), ["o_orderkey"]))
+
+
+@query("""
+SELECT doc_id, CASE WHEN lang = 'de' THEN NULL WHEN lang = 'fr' THEN '' ELSE lang END AS lang,
+       CASE WHEN lang IN ('de', 'fr') THEN 'modified' END AS row_state FROM documents
+""")
+def edit_to_null(spark, sf):
+    """A cell from empty text to NULL and from NULL to empty text: both change it."""
+    docs = load_table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("lang") == "de", "").when(F.col("lang") == "fr", None).otherwise(F.col("lang")).alias("lang"),
+        F.col("lang").alias("was"))
+    edits = (docs.where("was IN ('de', 'fr')")
+             .select("doc_id", F.when(F.col("was") == "fr", "").alias("lang"), F.lit("update").alias("op"),
+                     F.array(F.lit("lang")).alias("set")))
+    return merge.edit_states(docs.drop("was"), edits, ["doc_id"])
+
+
 def _load_sides(spark, sf):
     """Target: orders of status F or O. Source: urgent and high orders at
     another price; both sides share keys."""

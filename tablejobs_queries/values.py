@@ -5,7 +5,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablejobs.functions import scalars, types
-from tablejobs.session import spread
 
 from .base import load_table, query
 
@@ -17,7 +16,7 @@ SELECT doc_id,
 FROM documents
 """)
 def bytes_display(spark, sf):
-    docs = spread(load_table(spark, sf, "documents")).select(
+    docs = load_table(spark, sf, "documents").select(
         "doc_id", F.encode("text", "UTF-8").alias("shown"))
     return types.display(docs)
 
@@ -39,7 +38,7 @@ def bytes_display_zero(spark, sf):
 def hex_round_trip(spark, sf):
     """Bytes to hex, spaced out as an editor shows it, and back."""
     spaced = F.regexp_replace(types.hex_text(F.encode("text", "UTF-8")), "(..)", "$1 ")
-    return (spread(load_table(spark, sf, "documents")).select("doc_id", spaced.alias("shown"))
+    return (load_table(spark, sf, "documents").select("doc_id", spaced.alias("shown"))
             .select("doc_id", types.hex_to_bytes(F.col("shown")).alias("data"))
             .select("doc_id", F.decode("data", "UTF-8").alias("back"),
                     F.octet_length("data").alias("n_bytes")))
@@ -58,7 +57,7 @@ FROM units
 """)
 def text_views(spark, sf):
     views = scalars.text_views(F.col("text"))
-    return spread(load_table(spark, sf, "documents")).select(
+    return load_table(spark, sf, "documents").select(
         "doc_id", *[views[v].alias(v) for v in ("json", "hex", "base64", "ascii")])
 
 
@@ -83,7 +82,7 @@ SELECT doc_id, printf('%08x', pos) AS offset,
 FROM c
 """)
 def hex_lines(spark, sf):
-    return scalars.hex_lines(spread(load_table(spark, sf, "documents")), "doc_id",
+    return scalars.hex_lines(load_table(spark, sf, "documents"), "doc_id",
                              F.encode("text", "UTF-8"))
 
 

@@ -127,4 +127,28 @@ def test_default_expression(raw, dtype, want):
 def test_fill_defaults(spark):
     schema = T.StructType.fromDDL("id long, name string, score double, note string")
     got = project.fill_defaults(people(spark), schema, {"score": "1.5", "note": "'n'"})
-    assert rows(got)[1] == (2, "Bob", 1.5, "n")
+    assert rows(got)[1] == (2, "Bob", None, "n")  # an explicit NULL stays
+    got = project.fill_defaults(people(spark), schema, {"score": "1.5"}, when_null=True)
+    assert rows(got)[1] == (2, "Bob", 1.5, None)
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("'a::b'::text", "a::b"), ("active", "active"), ("'it''s'", "it's"), ("lower('X')", "x")])
+def test_default_text(spark, raw, want):
+    schema = T.StructType.fromDDL("id int, note string")
+    assert rows(project.fill_defaults(people(spark).select("id"), schema, {"note": raw}))[0] == (1, want)
+
+
+def test_pages_of_tied_rows_share_and_miss_none(spark):
+    df = spark.range(0, 400).selectExpr("id % 2 AS g", "id AS v", "id % 7 AS w").repartition(5)
+    seen = [r.v for p in range(1, 41) for r in ordering.page(df, p, 10, "g", top_n=200).collect()]
+    assert sorted(seen) == list(range(400))
+    assert [r.v for r in ordering.page(df, 1, 3).collect()] == [0, 2, 4]
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_items": 2}, {"max_bytes": 2}])
+def test_list_of_ties_is_the_same_in_pieces(spark, limits):
+    df = spark.createDataFrame([(1, 0, v) for v in (5, 9, 1, 3)], "k int, o int, v int")
+    pieces = ordering.ordered_list(df, ["k"], ["o"], "v", **limits).orderBy("piece").collect()
+    assert [v for p in pieces for v in p["items"]] == [1, 3, 5, 9]
+    assert len(pieces) == (2 if limits else 1)

@@ -24,6 +24,9 @@ def test_orphans_ignore_null_references(spark):
 def test_unique_and_not_null(spark):
     df = spark.createDataFrame([(1, "a"), (1, None), (2, None)], "id int, v string")
     assert rows(checks.unique_violations(df, ["id"])) == [(1, 2)]
+    gaps = spark.createDataFrame([(None,), (None,), (1,), (1,), (2,)], "id int")
+    assert rows(checks.unique_violations(gaps, ["id"])) == [(1, 2)]
+    assert rows(checks.unique_violations(gaps, ["id"], nulls_too=True)) == [(1, 2), (None, 2)]
     assert rows(checks.not_null_report(df, "t", ["id", "v"])) == [
         ("t", "id", 0, True), ("t", "v", 2, False)]
 
@@ -97,10 +100,12 @@ def test_search_rules(spark):
                               "id int, a string, b string, c binary")
     n = spark.createDataFrame([(1, 2)], "id int, m int")
     find = lambda needle, **kw: search.find_in_tables(spark, {"t": t, "n": n}, needle, {"t": ["id"]}, **kw)
-    hits = find(" needle ").collect()
+    hits = find(" needle ", per_table=5).collect()
     assert len(hits) == 5 and {h.column_name for h in hits} == {"b"}
     assert '"id":1,' in min(h.row for h in hits)
-    assert find("needle", per_table=None).count() == 10
+    assert find("needle").count() == 10
+    gap = spark.createDataFrame([("x", None)], "a string, b string")
+    assert search.find_in_table(gap, "t", "x", None).first().row == '{"a":"x","b":null}'
     assert find("").columns == ["table_name", "column_name", "value", "row"] and find("  ").count() == 0
     assert find("%").count() == 0 and find("_").count() == 0
     assert find("needle", max_tables=0).count() == 0
@@ -146,7 +151,7 @@ def test_kv_facts(spark):
     value = {r.key: r.value for r in kv.value_json(df).collect()}
     assert value["s"] == '"v\\""' and value["l"] == '["a","b","c"]' and value["h"] == '{"f":"1"}'
     assert value["z"].startswith('[{"member":"a","score":1.0}')
-    assert value["t"].count('"id"') == 100 and value["o"] == '"(unknown type)"'
+    assert value["t"].count('"id"') == 120 and value["o"] == '"(unknown type)"'
 
 
 @pytest.mark.parametrize("pattern, keys", [

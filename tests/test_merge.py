@@ -20,16 +20,16 @@ def test_states_and_merge(spark):
     changes = spark.createDataFrame([
         (1, "A", None, "update", ["v"], 1),
         (2, "b", None, "update", ["v"], 1),        # same text: no change
-        (3, "", None, "update", ["v"], 1),         # NULL and empty text: no change
+        (3, "", None, "update", ["v"], 1),         # NULL to empty text: a change
         (4, "x", None, "update", ["v"], 1),
         (4, None, None, "delete", [], 2),          # deleted wins
         (5, "e", 5, "insert", [], 1),
         (9, "z", None, "update", ["v"], 1),        # no such row
     ], CHANGES)
     states = {r.id: r.row_state for r in merge.edit_states(base(spark), changes, ["id"]).collect()}
-    assert states == {1: "modified", 2: None, 3: None, 4: "deleted", 5: "added"}
+    assert states == {1: "modified", 2: None, 3: "modified", 4: "deleted", 5: "added"}
     assert rows(merge.merge_edits(base(spark), changes, ["id"])) == [
-        (1, "A", 1), (2, "b", 2), (3, None, 3), (5, "e", 5)]
+        (1, "A", 1), (2, "b", 2), (3, "", 3), (5, "e", 5)]
 
 
 def test_last_edit_of_a_cell_wins_and_null_can_be_set(spark):
@@ -40,6 +40,39 @@ def test_last_edit_of_a_cell_wins_and_null_can_be_set(spark):
     assert merged[1] == ("last", 7) and merged[2] == (None, 2)
 
 
+def test_edits_without_a_sequence_meet_cell_by_cell(spark):
+    changes = spark.createDataFrame([
+        (1, "A", None, "update", ["v"], 1), (1, None, 9, "update", ["w"], 1), (1, "A", None, "update", ["v"], 1)],
+        CHANGES).drop("seq")
+    assert rows(merge.merge_edits(base(spark), changes, ["id"]))[0] == (1, "A", 9)
+    clash = changes.unionByName(spark.createDataFrame([(1, None, None, "update", ["v"], 1)], CHANGES).drop("seq"))
+    with pytest.raises(Exception, match="different values"):
+        merge.merge_edits(base(spark), clash, ["id"]).collect()
+
+
+def test_appends_bind_and_leave_the_table_as_it_was(spark, ns):
+    store.write_table(ns, "t", spark.createDataFrame([(1, "a")], "id long, v string"))
+    store.append_rows(ns, "t", spark.createDataFrame([("2",)], "id string"))
+    read = lambda: rows(spark.table(store.qualified(ns, "t")))
+    assert read() == [(1, "a"), (2, None)]
+    for bad in (spark.createDataFrame([("x",)], "id string"), spark.createDataFrame([(1,)], "other int")):
+        with pytest.raises(Exception):
+            store.append_rows(ns, "t", bad)
+        assert read() == [(1, "a"), (2, None)]
+    before = store.state(spark, ns, "t")
+    store.append_rows(ns, "t", spark.createDataFrame([(3,)], "id long"))
+    with pytest.raises(RuntimeError, match="another job"):
+        store.append_rows(ns, "t", spark.createDataFrame([(4,)], "id long"), before)
+    assert len(read()) == 3
+
+
+def test_strategies_are_checked(spark, ns):
+    store.write_table(ns, "t", spark.createDataFrame([(1,)], "id long"))
+    for strategy, keys in (("ignore", None), ("replace", []), ("repalce", ["id"])):
+        with pytest.raises(ValueError):
+            store.load_rows(ns, "t", spark.createDataFrame([(1,)], "id long"), keys, strategy)
+
+
 def test_edits_without_a_sequence(spark):
     changes = spark.createDataFrame([
         (1, "A", None, "update", ["v", "w"], 1), (2, "B", None, "update", ["v"], 1),

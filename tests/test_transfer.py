@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablejobs.operators.project import ColumnMapping, map_columns
 from tablejobs.plans import transfer as t
 from tablejobs.plans.transfer import TransferOptions, transfer
+from tablejobs import session
 from tablejobs.session import path_exists, scratch_path
 from tablejobs.sinks import store
 
@@ -130,3 +131,37 @@ def test_unknown_options_are_refused():
         TransferOptions(tables=[], mode="all")
     with pytest.raises(ValueError):
         TransferOptions(tables=[], error_mode="later")
+
+
+def test_transfer_checks_strategy_and_first_load(spark, ns):
+    for options in ({"conflict": "repalce", "keys": {"t": ["id"]}}, {"conflict": "ignore"}):
+        with pytest.raises(ValueError):
+            TransferOptions(tables=["t"], **options)
+    twice = {"format": "frames", "frames": {"t": spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "id int, v string, n int")}}
+    result = transfer(spark, twice, ns, TransferOptions(tables=["t"], keys={"t": ["id"]}))
+    assert result.errors and not store.exists(spark, ns, "t")
+    result = transfer(spark, twice, ns, TransferOptions(tables=["t"], keys={"t": ["id"]}, conflict="ignore", order={"t": "n"}))
+    assert not result.errors and rows(spark.table(store.qualified(ns, "t"))) == [(1, "a", 1)]
+
+
+def test_truncate_keeps_types(spark, ns):
+    store.write_table(ns, "t", spark.createDataFrame([(1,)], "id long"))
+    source = {"format": "frames", "frames": {"t": spark.createDataFrame([("7",)], "id string")}}
+    assert not transfer(spark, source, ns, TransferOptions(tables=["t"], truncate_target=True)).errors
+    table = spark.table(store.qualified(ns, "t"))
+    assert table.schema["id"].dataType.simpleString() == "bigint" and rows(table) == [(7,)]
+
+
+def test_resume_without_a_record_repeats_no_rows(spark, ns):
+    """Stopped after a table is published and before it is recorded."""
+    source = {"format": "frames", "frames": {"a": spark.range(3), "b": spark.range(4)}}
+    store.write_table(ns, "b", spark.range(0))
+    path = scratch_path(spark, "resume")
+    options = TransferOptions(tables=["a", "b", "none"], checkpoint=path)
+    assert transfer(spark, source, ns, options).errors  # the third table is missing
+    for name in session.path_children(spark, path):
+        if not name.endswith("/id"):
+            session.delete_path(spark, name)
+    again = transfer(spark, source, ns, options)
+    assert len(again.errors) == 1
+    assert [spark.table(store.qualified(ns, t)).count() for t in "ab"] == [3, 4]
