@@ -84,11 +84,17 @@ class Vocabulary:
 
 
 class BlockIndex:
-    """Postings of examples by term and block, with each block's largest weight."""
+    """Postings of examples by term and block, with each block's largest weight.
+    Terms of an eighth of all examples or more are kept as full rows by block."""
 
     def __init__(self, n_terms: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, block: int):
         self.n, self.block = n, block
         self.blocks = max(1, -(-n // block))
+        often = np.bincount(term, minlength=n_terms) >= max(1, n / 8)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.full = np.zeros((self.blocks, int(often.sum()), block))
+        at = often[term]
+        self.full[example[at] // block, self.row[term[at]], example[at] % block] = weight[at]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order].astype(np.int32), weight[order]
         key = term[order] * self.blocks + self.example // block
@@ -108,6 +114,11 @@ class BlockIndex:
         if len(some):
             bound[some] = np.add.reduceat(weight[:, None].astype(np.float32) * self.largest[term], first[some], axis=0)
         bound *= 1 + 1e-5
+        often = self.row[term] >= 0
+        full = np.zeros((n_texts, self.full.shape[1]))
+        full[text[often], self.row[term[often]]] = weight[often]
+        text, term, weight = text[~often], term[~often], weight[~often]
+        first = np.searchsorted(text, np.arange(n_texts + 1))
         order = np.argsort(-bound, axis=1, kind="stable")
         best = np.zeros((n_texts, k))
         who = np.full((n_texts, k), -1, dtype=np.int64)
@@ -119,7 +130,7 @@ class BlockIndex:
             if not len(active):
                 break
             width = take.shape[1]
-            scores = np.where(open_[:, :, None], self._scores(active, take, first, term, weight), 0.0)
+            scores = np.where(open_[:, :, None], self._scores(active, take, full, first, term, weight), 0.0)
             new = (take[:, :, None] * self.block + np.arange(self.block)).reshape(len(active), -1)
             scores = scores.reshape(len(active), width * self.block)
             if skip is not None:
@@ -132,8 +143,9 @@ class BlockIndex:
             who[active] = np.take_along_axis(new, chosen, axis=1)
         return who, np.where(who >= 0, best, 0.0)
 
-    def _scores(self, texts, take, first, term, weight) -> np.ndarray:
+    def _scores(self, texts, take, full, first, term, weight) -> np.ndarray:
         """Exact cosines of texts with all examples of their chosen blocks."""
+        out = np.matmul(full[texts][:, None, None, :], self.full[take])[:, :, 0, :]
         counts = np.diff(first)[texts]
         own = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[texts], counts)
         width = take.shape[1]
@@ -146,8 +158,8 @@ class BlockIndex:
         times = np.repeat(weight[own], width)[has]
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
         to = np.repeat(pair * self.block, size) + self.example[at] % self.block
-        return np.bincount(to, np.repeat(times, size) * self.weight[at],
-                           len(texts) * width * self.block).reshape(len(texts), width, self.block)
+        return out + np.bincount(to, np.repeat(times, size) * self.weight[at],
+                                 len(texts) * width * self.block).reshape(len(texts), width, self.block)
 
 
 def votes(similarity: np.ndarray, label: np.ndarray) -> np.ndarray:
