@@ -8,7 +8,7 @@ from ..functions.scalars import csv_null
 from ..functions.types import quote
 from ..session import Namespace
 from ..sinks import store
-from ..sources.files import read_csv, read_json_rows
+from ..sources.files import read_csv, read_json_lines, read_json_rows
 
 
 def typed_rows(rows: DataFrame, schema) -> DataFrame:
@@ -23,8 +23,14 @@ def typed_rows(rows: DataFrame, schema) -> DataFrame:
 
 
 def import_file(spark: SparkSession, path: str, ns: Namespace, table: str,
-                keys: list[str] | None = None) -> int:
-    """Append a CSV or JSON file to a table; returns the number of rows."""
-    rows = read_json_rows(spark, path) if path.endswith(".json") else read_csv(spark, path)
+                keys: list[str] | None = None, multi_line: bool = True, ragged: bool = False) -> int:
+    """Append CSV (``multi_line=False``: no line breaks in fields, so files are
+    split), JSON or JSON-lines files to a table; returns the number of rows."""
+    if path.endswith((".jsonl", ".ndjson")):
+        rows = read_json_lines(spark, path)
+    elif path.endswith(".json"):
+        rows = read_json_rows(spark, path)
+    else:
+        rows = read_csv(spark, path, multi_line, ragged)
     schema = spark.table(store.qualified(ns, table)).schema
     return store.load_rows(ns, table, typed_rows(rows, schema), keys)

@@ -15,64 +15,62 @@ def _require_rows(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, ragged: bool = False) -> DataFrame:
     """All columns as trimmed text. A quoted field may hold line breaks; with
-    ``multi_line=False`` (no such fields) one large file is split over tasks."""
+    ``multi_line=False`` (no such fields) one large file is split over tasks.
+
+    Every file must have the same header; one with other columns, or in another
+    order, fails the scan. So does a row of more or fewer fields, unless
+    ``ragged`` rows are to be cut or filled with NULL."""
     df = (spark.read
           .option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", multi_line)
+          .option("multiLine", multi_line).option("enforceSchema", False)
+          .option("mode", "PERMISSIVE" if ragged else "FAILFAST").option("columnPruning", ragged)
           .csv(path))
     df = df.select([F.btrim(F.col(quote(c)), F.lit(BLANKS)).alias(c.strip()) for c in df.columns])
-    return _require_rows(df, "file must have a header row and at least one data row")
-
-
-def _json_form(spark: SparkSession, path: str) -> str:
-    head = (spark.read.text(path).where("trim(value) <> ''")
-            .select(F.substring(F.trim("value"), 1, 200).alias("v")).limit(3).collect())
-    text = "".join("".join(r.v for r in head).split())
-    if text.startswith("[["):
-        return "arrays"
-    return "wrapped" if text.startswith("{") else "objects"
+    return _require_rows(df, "a CSV import needs a header line and data below it")
 
 
-def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_json_rows(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
     """Rows of JSON files, all columns text: an array of objects, an object with
-    ``rows`` or ``data``, or arrays whose first one holds the names. A file that
-    is no JSON fails the scan.
+    ``rows`` or ``data``, or arrays whose first one holds the names. Each file
+    has its own form and its own names; columns are all names of all files (over
+    ``most`` fail), NULL where a row lacks one. A file that is no JSON, or a row
+    of more or fewer cells than its file has names, fails the scan.
+
+    Each file is one row until its rows are taken out; large inputs belong in
+    JSON lines (``read_json_lines``), which are split.
     """
-    message = "JSON must contain at least one row"
+    strict = {"mode": "FAILFAST"}
+    message = "a JSON import needs at least one row"
     whole = spark.read.text(path, wholetext=True)
-    parsed = lambda schema: F.from_json("value", schema, {"mode": "FAILFAST"})
-    form = _json_form(spark, path)
-    if form == "arrays":
-        lists = whole.select(F.posexplode(parsed("array<array<string>>")).alias("pos", "cells"))
-        return _require_rows(_named_rows(lists), message)
-    found = (spark.read.option("multiLine", True).option("primitivesAsString", True)
-             .json(path).schema)
-    if form == "wrapped":
-        name = next((n for n in ("rows", "data") if n in found.names), None)
-        item = getattr(found[name].dataType, "elementType", None) if name else None
-        if isinstance(item, T.ArrayType):
-            schema = T.StructType().add(name, T.ArrayType(T.ArrayType(T.StringType())))
-            lists = whole.select(F.posexplode(parsed(schema)[name]).alias("pos", "cells"))
-            return _require_rows(_named_rows(lists), message)
-        rows = parsed(T.StructType().add(name, T.ArrayType(item)))[name] if name else None
-    else:
-        item, rows = found, parsed(T.ArrayType(found))
-    if not isinstance(item, T.StructType) or not item.names:
+    wrapped = F.from_json("value", "rows string, data string", strict)
+    whole = whole.withColumn("_in", F.when(F.col("value").rlike(r"^\s*\{"), wrapped))
+    body = F.when(F.col("_in").isNull(), F.col("value")).otherwise(F.coalesce("_in.rows", "_in.data"))
+    body = whole.select(body.alias("body")).where("body IS NOT NULL")
+    cells = F.from_json("body", "array<array<string>>", strict)
+    ragged = F.raise_error(F.lit("a row has more or fewer cells than there are names"))
+    named = F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: F.when(
+        F.size(c) == F.size(F.col("cells")[0]), F.map_from_arrays(F.col("cells")[0], c)).otherwise(ragged))
+    lists = F.col("body").rlike(r"^\s*\[\s*\[")
+    rows = (body.withColumn("cells", F.when(lists, cells))
+            .select(F.explode(F.when(lists, named).otherwise(
+                F.from_json("body", "array<map<string,string>>", strict))).alias("m")))
+    found = (rows.select(F.posexplode(F.map_keys("m")).alias("pos", "name")).groupBy("name")
+             .agg(F.min("pos").alias("pos")).orderBy("pos", "name").limit(most + 1).collect())
+    if not found:
         raise ValueError(message)
-    text = [(F.to_json(F.col(quote(f.name))) if not isinstance(f.dataType, T.StringType)
-             else F.col(quote(f.name))).alias(f.name) for f in item.fields]
-    return _require_rows(whole.select(F.inline(rows)).select(text), message)
-
-
-def _named_rows(lists: DataFrame) -> DataFrame:
-    """Position 0 of each file holds the column names."""
-    names = lists.where("pos = 0").first()
-    if names is None:
-        raise ValueError("JSON must contain at least one row")
-    return (lists.where("pos > 0")
-            .select([F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names.cells)]))
+    if len(found) > most:
+        raise ValueError(f"the files have over {most} columns")
+    return rows.select([F.col("m")[r["name"]].alias(r["name"]) for r in found])
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One object a line, all columns text; large files are split over tasks."""
+    df = spark.read.option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
+    return _require_rows(df.select([
+        (F.to_json(F.col(quote(f.name))) if not isinstance(f.dataType, T.StringType) else F.col(quote(f.name)))
+        .alias(f.name) for f in df.schema.fields]), "a JSON import needs at least one row")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -153,13 +153,13 @@ def import_csv(spark, sf):
     return _imported(spark, path)
 
 
-def _write_json_files(spark, sf, item, wrap):
+def _write_json_files(spark, sf, item, wrap, path=None, keep="true"):
     """JSON files of up to 5,000 rows each, one document per file."""
-    rows = number_rows(_customers(spark, sf), ["c_custkey"], "pos")
+    rows = number_rows(_customers(spark, sf).where(keep), ["c_custkey"], "pos")
     blocks = (rows.select((F.col("pos") / 5000).cast("long").alias("block"), "pos", item.alias("item"))
               .groupBy("block").agg(F.array_join(F.transform(F.sort_array(
                   F.collect_list(F.struct("pos", "item"))), lambda r: r["item"]), ",").alias("items")))
-    path = scratch_path(spark, "in") + ".json"
+    path = path or scratch_path(spark, "in") + ".json"
     blocks.select(wrap(F.col("items")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
@@ -193,3 +193,16 @@ def import_json_arrays(spark, sf):
     head = '[["c_custkey","c_name","c_acctbal","c_mktsegment"],'
     path = _write_json_files(spark, sf, item, lambda v: F.concat(F.lit(head), v, F.lit("]")))
     return _imported(spark, path)
+
+
+@query(_CUSTOMER_SQL)
+def import_json_headers(spark, sf):
+    """Files whose columns are in other orders: each one's own header counts."""
+    text = lambda c: F.col(c).cast("string")
+    names = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+    folder = scratch_path(spark, "json-headers")
+    for n, order in enumerate((names, names[::-1], names[2:] + names[:2])):
+        head = "[[" + ",".join(f'"{c}"' for c in order) + "],"
+        _write_json_files(spark, sf, F.to_json(F.array(*[text(c) for c in order])),
+                          lambda v: F.concat(F.lit(head), v, F.lit("]")), f"{folder}/{n}.json", f"c_custkey % 3 = {n}")
+    return _imported(spark, f"{folder}/*.json")

@@ -37,7 +37,7 @@ def test_csv_scan_trims_and_unquotes(spark, tmp_path):
 
 
 def test_csv_needs_a_data_row(spark, tmp_path):
-    with pytest.raises(ValueError, match="at least one data row"):
+    with pytest.raises(ValueError, match="data below it"):
         scans.read_csv(spark, put(tmp_path / "e.csv", "id,name\n"))
 
 
@@ -50,7 +50,7 @@ def test_csv_write_and_read_back(spark):
 
 @pytest.mark.parametrize("data, want", [
     ([{"id": 1, "name": "a"}, {"id": 2, "extra": {"k": 1}}],
-     [("1", "a", None), ("2", None, '{"k":"1"}')]),
+     [("1", "a", None), ("2", None, '{"k":1}')]),
     ({"rows": [{"id": 1, "name": "a", "extra": None}]}, [("1", "a", None)]),
     ({"data": [{"id": 1, "name": "a", "extra": "x"}]}, [("1", "a", "x")]),
     ([["id", "name", "extra"], [1, "a", None], [2, "b", "c"]], [("1", "a", None), ("2", "b", "c")]),
@@ -173,3 +173,35 @@ def test_reshape_and_rename(spark, ns):
     assert rows(table) == [(1, 7, "x")]
     with pytest.raises(ValueError, match="no such column"):
         namespaces.reshape_table(spark, ns, "t2", drop=["nope"])
+
+
+def test_json_files_keep_their_own_form_and_names(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    for name, text in {"a": '[["id","name"],["1","x"]]', "b": ' [ [ "name", "id" ], [ "y", "2" ] ]',
+                       "c": '{"data": [["id"], ["3"]]}', "d": '[{"name": "z", "more": {"k": [1]}}]',
+                       "e": '{"rows": [{"id": 4}], "other": 1}'}.items():
+        (tmp_path / "j" / f"{name}.json").write_text(text)
+    df = scans.read_json_rows(spark, str(tmp_path / "j")).select("id", "name", "more")
+    assert rows(df) == rows(spark.createDataFrame([
+        ("1", "x", None), ("2", "y", None), ("3", None, None), (None, "z", '{"k":[1]}'), ("4", None, None)],
+        "id string, name string, more string"))
+    with pytest.raises(Exception, match="more or fewer cells"):
+        scans.read_json_rows(spark, put(tmp_path / "r.json", '[["a"],["1","2"]]')).collect()
+
+
+def test_csv_files_with_other_headers_or_ragged_rows_fail(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "c" / "b.csv").write_text("name,id\ny,2\n")
+    with pytest.raises(Exception):
+        scans.read_csv(spark, str(tmp_path / "c")).collect()
+    for text in ("id,name\n1,x,9\n", "id,name\n1\n"):
+        with pytest.raises(Exception):
+            scans.read_csv(spark, put(tmp_path / "r.csv", text)).select("id").collect()
+    assert rows(scans.read_csv(spark, put(tmp_path / "r.csv", "id,name\n1,x,9\n2\n"), ragged=True)) == [
+        ("1", "x"), ("2", None)]
+
+
+def test_json_lines(spark, tmp_path):
+    path = put(tmp_path / "l.jsonl", '{"id": 1, "o": {"k": 1}}\n{"id": 2.50, "b": true}\n')
+    assert rows(scans.read_json_lines(spark, path).select("id", "b")) == [("1", None), ("2.50", "true")]
