@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.types import quote
 from ..operators.reshape import reshape
@@ -45,3 +45,29 @@ def create_table(spark: SparkSession, ns: Namespace, table: str, ddl: str) -> No
     if store.exists(spark, ns, table):
         raise ValueError(f"table {table} exists")
     store.write_table(ns, table, small_frame(spark, [], ddl))
+
+
+def apply_sync(spark: SparkSession, ns: Namespace, plan: DataFrame, source: dict[str, DataFrame],
+               drop: bool = False) -> list[str]:
+    """Bring stored tables up to a ``sync_plan``: add missing columns (NULL in the
+    rows there are) and make missing tables, empty, with the source's columns.
+    Tables only in the target go with ``drop`` alone. Returns the tables changed.
+
+    The plan holds one row per table or column, so reading it is bounded by the
+    schema."""
+    steps = plan.select("table_name", "action", "column_name", "data_type").collect()
+    added: dict[str, dict] = {}
+    changed = []
+    for r in steps:
+        if r.action == "add_column":
+            added.setdefault(r.table_name, {})[r.column_name] = (r.data_type, None)
+        elif r.action == "create_table":
+            store.write_table(ns, r.table_name, source[r.table_name].limit(0))
+            changed.append(r.table_name)
+        elif r.action == "drop_table" and drop:
+            store.drop_table(spark, ns, r.table_name)
+            changed.append(r.table_name)
+    for table, columns in added.items():
+        reshape_table(spark, ns, table, add=columns)
+        changed.append(table)
+    return sorted(changed)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.types import quote, text
+from ..functions.types import is_nested, quote, text
 from ..session import small_frame
 from . import tables
 
@@ -54,25 +55,60 @@ def null_counts(df: DataFrame, table: str, columns: list[str] | None = None) ->
         f"stack({len(columns)}, {cells}) AS (column_name, null_count)")
 
 
+@contextmanager
+def _footer_reads(spark: SparkSession):
+    """Within, counts over parquet files are answered from the files' footers."""
+    own = {"spark.sql.sources.useV1SourceList": lambda v: ",".join(x for x in v.split(",") if x != "parquet"),
+           "spark.sql.parquet.aggregatePushdown": lambda v: "true"}
+    before = {key: spark.conf.get(key) for key in own}
+    try:
+        for key, change in own.items():
+            spark.conf.set(key, change(before[key]))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def footer_counts(spark: SparkSession, paths: dict[str, str]) -> dict[tuple[str, str], tuple[int, int]]:
+    """(rows, NULLs) by table and column of parquet tables, from their footers;
+    only nested columns, of which footers keep no counts, are read."""
+    out = {}
+    with _footer_reads(spark):
+        for table, path in paths.items():
+            df = spark.read.parquet(path)
+            nested = [f.name for f in df.schema.fields if is_nested(f.dataType)]
+            plain = [c for c in df.columns if c not in nested]
+            for part in filter(None, (plain, nested)):
+                for r in null_counts(df.select([quote(c) for c in part]), table).collect():
+                    out[table, r.column_name] = (r.row_count, r.null_count)
+    return out
+
+
 def describe_measured(spark: SparkSession, frames: dict[str, DataFrame],
                       keys: dict[str, list[str]] | None = None,
-                      defaults: dict[tuple[str, str], str] | None = None) -> DataFrame:
+                      defaults: dict[tuple[str, str], str] | None = None,
+                      paths: dict[str, str] | None = None) -> DataFrame:
     """``describe`` with nullability taken from the data, since parquet tables
     keep no NOT NULL: a column is nullable if it holds a NULL now.
 
-    The tables are read once, here. What comes back is one row per column, so a
-    compare that uses the description several times reads no table again.
+    Tables whose parquet folder ``paths`` names are described from file footers;
+    the others are read once, here. What comes back is one row per column, so a
+    compare that uses the description several times reads no table again. To
+    compare declared schemas only, ``describe`` reads no data at all.
     """
     keys, defaults = keys or {}, defaults or {}
-    counted = reduce(DataFrame.unionByName,
-                     [null_counts(df, table) for table, df in frames.items()])
-    counts = {(r.table_name, r.column_name): r for r in counted.collect()}
+    counts = footer_counts(spark, {t: p for t, p in (paths or {}).items() if t in frames})
+    scanned = [null_counts(df, table) for table, df in frames.items() if table not in (paths or {})]
+    if scanned:
+        counts |= {(r.table_name, r.column_name): (r.row_count, r.null_count)
+                   for r in reduce(DataFrame.unionByName, scanned).collect()}
     rows = []
     for table, df in frames.items():
         for i, f in enumerate(df.schema.fields, start=1):
-            n = counts[table, f.name]
-            rows.append((table, i, f.name, f.dataType.simpleString(), n.null_count > 0,
+            row_count, null_count = counts[table, f.name]
+            rows.append((table, i, f.name, f.dataType.simpleString(), null_count > 0,
                          defaults.get((table, f.name)),
                          "PRI" if f.name in keys.get(table, []) else "",
-                         n.row_count, n.null_count))
+                         row_count, null_count))
     return small_frame(spark, rows, DESCRIBE + ", row_count long, null_count long")

@@ -7,10 +7,12 @@ queries grows with the tables.
 from pyspark.sql import functions as F
 
 from tablejobs.operators import compare
-from tablejobs.session import TABLES
+from tablejobs.plans import namespaces
+from tablejobs.session import TABLES, scratch_namespace
+from tablejobs.sinks import store
 from tablejobs.sources import catalog
 
-from .base import folder, load_tables, query
+from .base import current_rows, folder, load_tables, query
 
 # Columns and types of the given tables.
 COLUMNS = {
@@ -63,7 +65,7 @@ def _describe_sql(tables) -> str:
 
 @query(_describe_sql(TABLES))
 def schema_describe(spark, sf):
-    return catalog.describe_measured(spark, load_tables(spark, sf), KEYS, DEFAULTS)
+    return catalog.describe_measured(spark, load_tables(spark, sf), KEYS, DEFAULTS, _paths(sf))
 
 
 @query(" UNION ALL ".join(
@@ -73,6 +75,10 @@ def catalog_counts(spark, sf):
         "name", "object_type", "row_count")
 
 
+def _paths(sf, names=TABLES):
+    return {t: f"{sf}/{t}.parquet" for t in names}
+
+
 def _sides(spark, sf):
     """Source: six tables. Target: orders with a NULL-able status, documents
     without n_chars and with another default, part with a retyped size and an
@@ -90,10 +96,10 @@ def _sides(spark, sf):
         "labels": frames["labels"],
         "nation": nation,
     }
-    source = catalog.describe_measured(spark, frames, KEYS, DEFAULTS)
+    source = catalog.describe_measured(spark, frames, KEYS, DEFAULTS, _paths(sf))
     changed = catalog.describe_measured(
         spark, target, {**KEYS, "labels": ["doc_id", "quality"]},
-        {**DEFAULTS, ("documents", "lang"): "'fr'"})
+        {**DEFAULTS, ("documents", "lang"): "'fr'"}, _paths(sf, ["customer", "labels", "nation"]))
     return source, changed
 
 
@@ -170,4 +176,45 @@ SELECT 'supplier' AS table_name, 'only_in_source' AS status
 UNION ALL SELECT 'nation', 'only_in_target'
 """)
 def table_set_difference(spark, sf):
-    return compare.table_difference(*_sides(spark, sf))
+    """Names only: the declared schemas say which tables there are."""
+    frames = load_tables(spark, sf, ["customer", "supplier", "part", "orders", "documents", "labels", "nation"])
+    one_side = lambda without: catalog.describe(spark, {t: df for t, df in frames.items() if t != without})
+    return compare.table_difference(one_side("nation"), one_side("supplier"))
+
+
+@query("""
+WITH s AS (SELECT 'orders' AS table_name, 'by_status' AS index_name, o_orderstatus AS part, count(*) AS n_rows
+           FROM orders GROUP BY ALL),
+     t AS (SELECT * FROM s WHERE part <> 'P'
+           UNION ALL SELECT 'orders', 'by_status', 'X', 1)
+SELECT table_name, index_name, part,
+       CASE WHEN t.n_rows IS NULL THEN 'missing_in_target' WHEN s.n_rows IS NULL THEN 'extra_in_target'
+            ELSE 'match' END AS status
+FROM s FULL JOIN t USING (table_name, index_name, part)
+""")
+def index_compare(spark, sf):
+    """Lists of index parts, as a catalogue keeps them, compared both ways."""
+    orders = load_tables(spark, sf, ["orders"])["orders"]
+    source = orders.groupBy(F.lit("orders").alias("table_name"), F.lit("by_status").alias("index_name"),
+                            F.col("o_orderstatus").alias("part")).agg(F.count("*").alias("n_rows"))
+    target = source.where("part <> 'P'").unionByName(
+        orders.sparkSession.range(1).select(F.lit("orders").alias("table_name"), F.lit("by_status").alias("index_name"),
+                                            F.lit("X").alias("part"), F.lit(1).cast("long").alias("n_rows")))
+    found = compare.compare_lists(source, target, ["table_name", "index_name", "part"])
+    return found.select("table_name", "index_name", "part", "status")
+
+
+@query("""
+SELECT doc_id, text, lang, source, CAST(NULL AS BIGINT) AS n_chars FROM documents
+""")
+def sync_apply_table(spark, sf):
+    """The plan applied to stored tables: a column added, a table made."""
+    frames = load_tables(spark, sf, ["documents", "supplier"])
+    with scratch_namespace(spark) as ns:
+        store.write_table(ns, "documents", frames["documents"].drop("n_chars"))
+        source = catalog.describe(spark, frames)
+        target = catalog.describe(spark, {"documents": spark.table(store.qualified(ns, "documents"))})
+        namespaces.apply_sync(spark, ns, compare.sync_plan(source, target), frames)
+        if spark.table(store.qualified(ns, "supplier")).schema != frames["supplier"].schema:
+            raise RuntimeError("the new table has other columns")
+        return current_rows(spark, ns, "documents")
