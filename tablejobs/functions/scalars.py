@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .types import is_nested
 
+# Fixed value: what counts as a number.
 NUMBER = r"^[-+]?\d+(\.\d+)?$"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.scalars import NUMBER
 from ..functions.types import quote
 
+# Fixed value: the operators a filter box may begin with.
 _BOX = re.compile(r"^(>=|<=|<>|!=|>|<|=)\s*(.*)$", re.S)
 
 _COMPARE = {

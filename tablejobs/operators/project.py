@@ -38,7 +38,7 @@ def map_columns(df: DataFrame, mappings: list[ColumnMapping], when_null: bool =
             value = F.coalesce(value, fixed) if when_null else fixed
         out.append(value.alias(m.target or field.name))
     if not out:
-        raise ValueError("all columns were skipped via mappings")
+        raise ValueError("the mappings leave no column")
     return df.select(out)
 
 
@@ -93,6 +93,20 @@ def fill_defaults(df: DataFrame, schema: T.StructType, defaults: dict[str, str],
     return df.select(out)
 
 
+def auto_increment_columns(described: DataFrame) -> DataFrame:
+    """The columns of a ``describe`` frame that number their rows themselves, as
+    their default says: a sequence call, an identity or an auto-increment."""
+    return described.where(F.lower("default_value").rlike(r"nextval\(|auto_?increment|identity")).select(
+        "table_name", "column_name")
+
+
+def continue_ids(df: DataFrame, target: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Number ``df`` in the given order from the target's highest ``name`` on; from
+    1 where the target has none."""
+    highest = target.agg(F.coalesce(F.max(quote(name)), F.lit(0)).cast("long")).first()[0]
+    return add_dense_ids(df, order, name, highest + 1)
+
+
 def add_dense_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
     """Add consecutive ids from ``start`` in the given order."""
     return (number_rows(df, order, "_pos")

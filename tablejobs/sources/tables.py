@@ -88,6 +88,8 @@ def jdbc_options(spec: dict, table: str, bounds: tuple | None = None) -> dict:
 def read_jdbc(spark: SparkSession, spec: dict, table: str) -> DataFrame:
     column = spec.get("partition", {}).get(table)
     bounds = None
+    if not column and not spec.get("one_task"):
+        raise ValueError(f"name a split column for {table} in 'partition', or set 'one_task' to read it in one task")
     if column:
         edges = {k: v for k, v in jdbc_options(spec, table).items() if k != "dbtable"}
         query = f"SELECT min({column}) AS lo, max({column}) AS hi FROM {table}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablejobs.operators import filters, ordering, project
 from tablejobs.operators.project import ColumnMapping
+from tablejobs.sources import catalog
 
 from .base import LINE_ORDER, ORDER_COLUMNS, load_table, query, time_text
 
@@ -151,6 +152,21 @@ def dense_ids(spark, sf):
     return project.add_dense_ids(orders, ["o_orderdate", "o_orderkey"], start=1001).drop("o_orderdate")
 
 
+@query("""
+WITH t AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F')
+SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey
+FROM orders WHERE o_orderstatus <> 'F'
+""")
+def ids_continue(spark, sf):
+    """New rows of a table whose ids count up by themselves."""
+    orders = load_table(spark, sf, "orders")
+    target = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    facts = catalog.describe(spark, {"t": target}, defaults={("t", "id"): "nextval('t_id_seq'::regclass)"})
+    numbered = [r.column_name for r in project.auto_increment_columns(facts).collect()]
+    new = orders.where("o_orderstatus <> 'F'").select("o_orderdate", "o_orderkey")
+    return project.continue_ids(new, target, ["o_orderdate", "o_orderkey"], numbered[0]).drop("o_orderdate")
+
+
 @query("""
 SELECT l_orderkey, CAST(0 AS BIGINT) AS piece,
        array_to_string(list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS parts
