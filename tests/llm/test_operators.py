@@ -384,6 +384,20 @@ def test_neighbours_recall(spark):
     assert found[100] == [101, 102, 103, 104, 105] and found[150] == [100, 101, 102, 103, 104]
 
 
+def test_neighbours_reads_follow_the_lists(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, 32))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    # Of 400 lists the four nearest hold few of the neighbours in so many dimensions.
+    settings = neighbours.Settings(list_rows=30, reads=4)
+    got = neighbours.nearest(df, F.col("vec_id") % 60 == 0, settings=settings).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = unit[::60] @ unit.T
+    like[np.arange(200), np.arange(0, 12_000, 60)] = -2
+    want = {(60 * i, j) for i, row in enumerate(np.argsort(-like, axis=1)[:, :5]) for j in row.tolist()}
+    assert len({(r["query_id"], r["vec_id"]) for r in got} & want) / len(want) >= 0.93
+
+
 # ---- 9 containment
 
 @pytest.mark.parametrize("chunk", [20_000, 2])
