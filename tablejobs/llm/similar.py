@@ -6,10 +6,11 @@ average, and sets of Jaccard similarity t or more pick a common token with a
 probability of 1 - 1/e at least. Sets of one pick form a bucket; a bucket over
 ``small`` sets is split again in the same way, by hashes of its path, up to
 ``levels`` deep. Small buckets are compared within. Runs repeat until the miss
-left for a pair at the threshold is below ``miss``.
+left for a pair at the threshold is within its share of ``miss``.
 
-Comparing within buckets uses sketches of 64 MinHash values with a margin of
-four standard errors, and keeps only what ties a bucket's alike sets together.
+Comparing within buckets uses sketches of 64 MinHash values; the least number
+that must agree is that whose binomial tail for a pair at the threshold is within
+its share of ``miss``. Only what ties a bucket's alike sets together is kept.
 The components of these ties are compared by whole sets, each pair once: that
 gives the links.
 
@@ -36,6 +37,8 @@ from .components import connected
 from .words import Words, mix, runs, signed, slices
 
 SKETCH = 64
+#: Ways to miss a pair, each with its share of the whole: sketches, runs, levels.
+SHARES = 3
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,17 @@ def n_runs(miss: float) -> int:
     return math.ceil(-math.log(miss))
 
 
+def least_alike(threshold: float, miss: float, values: int = SKETCH) -> int:
+    """How many of a sketch's values must agree, so that a pair at the threshold
+    has fewer with a probability of ``miss`` at most."""
+    below = 0.0
+    for least in range(values + 1):
+        below += math.comb(values, least) * threshold ** least * (1 - threshold) ** (values - least)
+        if below > miss:
+            return least
+    return values
+
+
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
 
@@ -100,7 +114,7 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 
 def _features(settings: Settings):
-    count = n_runs(settings.miss)
+    count = n_runs(settings.miss / SHARES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +188,7 @@ def _spread(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _ties(settings: Settings):
     """Ties of alike sketches within buckets; rows come sorted by bucket."""
-    least = settings.threshold - 4 * math.sqrt(settings.threshold * (1 - settings.threshold) / SKETCH)
+    least = least_alike(settings.threshold, settings.miss / SHARES)
 
     def bucketed(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
@@ -188,7 +202,7 @@ def _ties(settings: Settings):
             # In a pair of two blocks, pairs within one are another group's.
             use = (label[i] != label[j]) & ((key[i, 1] == key[i, 2]) | (block[i] != block[j]))
             i, j = i[use], j[use]
-            alike = (sketch[i] == sketch[j]).sum(axis=1) >= least * SKETCH
+            alike = (sketch[i] == sketch[j]).sum(axis=1) >= least
             label = _spread(label, i[alike], j[alike])
         tied = label != np.arange(len(node))
         return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], ["a", "b"])

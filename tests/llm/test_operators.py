@@ -337,6 +337,15 @@ def test_similar_matches_brute_force(spark, odd, none, settings):
     assert similar.similar_documents(none, settings).count() == 0
 
 
+def test_sketch_bound_is_within_the_miss():
+    from math import comb
+    for threshold in (0.5, 0.8, 0.9):
+        least = similar.least_alike(threshold, 1e-5 / 3)
+        tail = [sum(comb(64, i) * threshold ** i * (1 - threshold) ** (64 - i) for i in range(n)) for n in (least, least + 1)]
+        assert tail[0] <= 1e-5 / 3 < tail[1]
+    assert similar.least_alike(0.8, 1e-5 / 3) < 39
+
+
 def test_keep_one_of_each_class(odd):
     kept = similar.keep_one(odd)
     assert kept.columns == odd.columns
