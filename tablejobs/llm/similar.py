@@ -6,7 +6,9 @@ average, and sets of Jaccard similarity t or more pick a common token with a
 probability of 1 - 1/e at least. Sets of one pick form a bucket; a bucket over
 ``small`` sets is split again in the same way, by hashes of its path, up to
 ``levels`` deep. Small buckets are compared within. Runs repeat until the miss
-left for a pair at the threshold is within its share of ``miss``.
+left for a pair at the threshold is within its share of ``miss``. A pair in a
+large bucket must share picks on each deeper level too, which fewer do; so sets
+in large buckets take more runs, as many as survival to the deepest level asks.
 
 Comparing within buckets uses sketches of 64 MinHash values; the least number
 that must agree is that whose binomial tail for a pair at the threshold is within
@@ -51,8 +53,17 @@ class Settings:
     shingle: int = 5
 
 
-def n_runs(miss: float) -> int:
-    return math.ceil(-math.log(miss))
+def survival(levels: int) -> float:
+    """The least probability that a pair at the threshold shares a pick on each
+    of ``levels`` levels: a branching process of mean 1."""
+    alive = 1.0
+    for _ in range(levels):
+        alive = 1 - math.exp(-alive)
+    return alive
+
+
+def n_runs(miss: float, levels: int = 1) -> int:
+    return math.ceil(math.log(miss) / math.log(1 - survival(levels)))
 
 
 def least_alike(threshold: float, miss: float, values: int = SKETCH) -> int:
@@ -113,6 +124,12 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cut), pa.array(signed(np.ascontiguousarray(values[order]))))
 
 
+def _picks(tokens: np.ndarray, limit: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens picked in a run are, and their paths."""
+    at = np.flatnonzero((tokens ^ _SEEDS[run + 2]) * _ODD[run + 2] <= limit)
+    return at, mix(tokens[at] + _SEEDS[run + 2])
+
+
 def _features(settings: Settings):
     count = n_runs(settings.miss / SHARES)
 
@@ -125,8 +142,8 @@ def _features(settings: Settings):
                 text = np.repeat(np.arange(n), np.diff(first))
                 paths, owners = [], []
                 for r in range(count):
-                    at = np.flatnonzero((tokens ^ _SEEDS[r + 2]) * _ODD[r + 2] <= limit)
-                    paths.append(mix(tokens[at] + _SEEDS[r + 2]))
+                    at, path = _picks(tokens, limit, r)
+                    paths.append(path)
                     owners.append(text[at])
                 sketch = np.stack([np.minimum.reduceat((tokens ^ _SEEDS[-1 - k]) * _ODD[-1 - k], first[:-1])
                                    for k in range(SKETCH)], axis=1)
@@ -139,6 +156,23 @@ def _features(settings: Settings):
     return work
 
 
+def _more_runs(settings: Settings):
+    """The first level's paths of further runs, for sets in large buckets."""
+    count = range(n_runs(settings.miss / SHARES), n_runs(settings.miss / SHARES, settings.levels))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(1).to_numpy()
+            for words in slices(batch.column(0)):
+                tokens, first = token_sets(words, settings.shingle)
+                limit = np.repeat(_limits(first, settings.threshold), np.diff(first))
+                owner = np.repeat(node[words.lo:words.hi], np.diff(first))
+                for r in count:
+                    at, path = _picks(tokens, limit, r)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(path)), pa.array(owner[at])], ["path", "node"])
+    return work
+
+
 def _deeper(settings: Settings):
     """The next level's paths of sets in large buckets."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +330,25 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
         F.count("*").alias("copies"), F.min(F.struct("id", "k")).alias("one"), F.min("id").alias("low"),
         F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch")), "sets")
 
+    def with_text(large: DataFrame) -> DataFrame:
+        """One text for each set of ``large``, before its columns."""
+        named = large.join(sets.select("node", "one.id", "one.k"), "node")
+        return (texts.join(named, texts["id"].eqNullSafe(named["id"]) & (texts["k"] == named["k"]))
+                .select("text", *large.columns).dropDuplicates(["node"]))
+
+    def bucket_sizes() -> DataFrame:
+        return materialize(found.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+
     # Buckets of more than one set; large ones go a level deeper.
     found = sets.select("node", F.explode("paths").alias("path")).distinct()
-    buckets, reps = None, None
+    buckets = None
     for level in range(1, settings.levels + 1):
-        sizes = materialize(found.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+        sizes = bucket_sizes()
+        if level == 1 < settings.levels and not sizes.where(F.col("n") > settings.small).isEmpty():
+            large = found.join(sizes.where(F.col("n") > settings.small), "path").select("node").distinct()
+            more = with_text(large).mapInArrow(_more_runs(settings), "path long, node long").distinct()
+            found = found.unionByName(materialize(more, "more-runs"))
+            sizes = bucket_sizes()
         deepest = level == settings.levels or sizes.where(F.col("n") > settings.small).isEmpty()
         now = _blocks(found, "path", sizes if deepest else sizes.where(F.col("n") <= settings.small), settings.small)
         buckets = now if buckets is None else buckets.unionByName(now)
@@ -308,11 +356,8 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
             break
         large = (found.join(sizes.where(F.col("n") > settings.small), "path").groupBy("node")
                  .agg(F.collect_list("path").alias("paths")))
-        named = large.join(sets.select("node", "one.id", "one.k"), "node")
         found = materialize(
-            texts.join(named, texts["id"].eqNullSafe(named["id"]) & (texts["k"] == named["k"]))
-            .select("text", "node", "paths").dropDuplicates(["node"])
-            .mapInArrow(_deeper(settings), "path long, node long").distinct(), "deeper")
+            with_text(large).mapInArrow(_deeper(settings), "path long, node long").distinct(), "deeper")
     key = ["path", "i", "j"]
     ties = (buckets.join(sets.select("node", "sketch"), "node").select(*key, "node", "block", "sketch")
             .repartition(*key).sortWithinPartitions(*key).mapInArrow(_ties(settings), "a long, b long"))

@@ -346,6 +346,27 @@ def test_sketch_bound_is_within_the_miss():
     assert similar.least_alike(0.8, 1e-5 / 3) < 39
 
 
+def test_runs_cover_the_deepest_level():
+    """A pair's picks on a level are a Poisson number of mean 1 for each on the level above."""
+    alive = [similar.survival(n) for n in (1, 2, 3, 4)]
+    assert alive == pytest.approx([0.632, 0.468, 0.374, 0.312], abs=1e-3)
+    for levels, p in enumerate(alive, 1):
+        assert (1 - p) ** similar.n_runs(1e-5, levels) <= 1e-5
+
+
+def test_sets_in_large_buckets_take_more_runs():
+    settings = similar.Settings()
+    a, b = prose(60, 70), prose(60, 71)
+    batch = pa.RecordBatch.from_arrays([pa.array([a, b]), pa.array([7, 8])], ["text", "node"])
+    more = pa.Table.from_batches(list(similar._more_runs(settings)([batch])))
+    known = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([a, b])], ["id", "k", "text"])
+    first = pa.Table.from_batches(list(similar._features(settings)([known])))["paths"].to_pylist()
+    assert set(more["node"].to_pylist()) == {7, 8}
+    for node, own in ((7, first[0]), (8, first[1])):
+        new = {p for p, n in zip(more["path"].to_pylist(), more["node"].to_pylist()) if n == node}
+        assert new and not new & set(own)
+
+
 def test_keep_one_of_each_class(odd):
     kept = similar.keep_one(odd)
     assert kept.columns == odd.columns
