@@ -66,6 +66,7 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
                 "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("proprietary", "All rights reserved."),
     ("proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 )
 

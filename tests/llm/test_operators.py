@@ -115,6 +115,13 @@ def test_licences_match_brute_force(spark, odd, none):
     assert licences.find_licences(none).count() == 0
 
 
+def test_short_notices_are_found(spark):
+    df = spark.createDataFrame([("Some words.\nAll rights reserved.\nMore words.",), ("all rights are reserved",)], "text string")
+    got = [[(u["licence"], u["unit"], u["place"], u["dice"]) for u in r[0]]
+           for r in licences.find_licences(df).select("licence_units").collect()]
+    assert got == [[("proprietary", "line", 1, 1.0)], []]
+
+
 @pytest.mark.parametrize("t", [0.5, 0.8, 0.9, 1.0])
 def test_licence_bounds_are_exact(t):
     for n in range(1, 40):
