@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablejobs.session import load_table
 
-from . import containment, licences, mixing, neighbours, private, similar, substrings, tokens, toxicity, urls
+from . import containment, licences, manifest, mixing, neighbours, private, similar, substrings, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +165,19 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar_documents(load_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def tampered(doc_id: Column) -> Column:
+    """Rows whose text the manifest check sees altered: crc32 of the decimal id even."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 2 == 0, F.lit(False))
+
+
+@query()
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    text = F.when(tampered(F.col("doc_id")), F.translate("text", "\n", "")).otherwise(F.col("text"))
+    seen = manifest.leaf_digest([text if f == "text" else F.col(f) for f in manifest.LEAF_FIELDS])
+    built = manifest.manifest(docs.withColumn("_seen", seen), carry=["doc_id", "_seen"])
+    return built.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+                        manifest.fold(F.col("_seen"), F.col("path")).alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
