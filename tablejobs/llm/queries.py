@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablejobs.session import load_table
 
-from . import containment, licences, manifest, mixing, neighbours, private, similar, substrings, tokens, toxicity, urls
+from . import containment, licences, manifest, mixing, neighbours, periodic, private, similar, substrings, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -181,3 +181,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
                         manifest.fold(F.col("_seen"), F.col("path")).alias("folded_root")) \
         .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.periodic_runs(docs, alter=True).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
