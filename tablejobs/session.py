@@ -84,6 +84,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def delete_uri(spark: SparkSession, uri: str) -> None:
+    """Delete a file named as Spark names it in ``_metadata.file_path``."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, False)
+
+
 def move_path(spark: SparkSession, path: str, to: str) -> None:
     fs, p = _hadoop_path(spark, path)
     if not fs.rename(p, _hadoop_path(spark, to)[1]):

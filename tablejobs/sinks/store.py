@@ -173,6 +173,101 @@ def load_rows(ns: Namespace, table: str, source: DataFrame, keys: list[str] | No
     return append_rows(ns, table, new_rows(target, source, keys), before, job)
 
 
+def touched_files(target: DataFrame, keyed: DataFrame, keys: list[str]) -> list[str]:
+    """The files of the table's present version that hold a key of ``keyed``.
+
+    Only key columns and the hidden file name are read; the result is one path
+    per touched file, so its size is bound by the table's file count.
+    """
+    hits = (target.select(*[quote(k) for k in keys], F.col("_metadata.file_path").alias("_file"))
+            .join(keyed.select(*[quote(k) for k in keys]).distinct(), keys, "left_semi"))
+    return sorted(r._file for r in hits.select("_file").distinct().collect())
+
+
+def _journal(ns: Namespace, table: str) -> str:
+    return f"{ns.root}/{table}/retire"
+
+
+def finish_rewrites(spark: SparkSession, ns: Namespace, table: str) -> int:
+    """Complete file rewrites that stopped half-way; returns how many.
+
+    A rewrite notes the files it retires before its new files go live. If the
+    new files are in the table, the old ones still listed are deleted (roll
+    forward); if not, the note and the staged files are dropped (roll back).
+    """
+    done = 0
+    for note in session.path_children(spark, _journal(ns, table)):
+        name = note.rsplit("/", 1)[1]
+        location = table_location(spark, ns.name, table)
+        if session.path_exists(spark, f"{location}/{name}"):
+            for row in spark.read.text(note).collect():
+                session.delete_uri(spark, row.value)
+        else:
+            session.delete_path(spark, f"{ns.root}/{table}/staged-{name}")
+        session.delete_path(spark, note)
+        done += 1
+    return done
+
+
+def rewrite_files(ns: Namespace, table: str, files: list[str], rows: DataFrame,
+                  expected: tuple | None = None, job: str | None = None) -> int:
+    """Put ``rows`` in the table in place of the rows of ``files``; the other
+    files stay as they are. Returns the number of rows written.
+
+    ``rows`` must not read ``files`` lazily after this returns: it is written
+    once to a staged folder first. The staged folder then goes into the table
+    by one rename, and the retired files are deleted after it; between the two
+    a reader may see a replaced row twice. The list of retired files is noted
+    first, so :func:`finish_rewrites` completes a rewrite cut off in between.
+    """
+    spark = rows.sparkSession
+    finish_rewrites(spark, ns, table)
+    name = qualified(ns, table)
+    load = f"load-{job or 'none'}-{uuid.uuid4().hex}"
+    staged = f"{ns.root}/{table}/staged-{load}"
+    written = Observation()
+    try:
+        (bound(rows, spark.table(name).schema).observe(written, F.count(F.lit(1)).alias("n_rows"))
+         .write.parquet(staged))
+        _unchanged(spark, ns, table, expected)
+        spark.createDataFrame([(f,) for f in files], "value string").coalesce(1).write.text(
+            f"{_journal(ns, table)}/{load}")
+        session.move_path(spark, staged, f"{table_location(spark, ns.name, table)}/{load}")
+    except Exception:
+        session.delete_path(spark, staged)
+        session.delete_path(spark, f"{_journal(ns, table)}/{load}")
+        raise
+    for f in files:
+        session.delete_uri(spark, f)
+    session.delete_path(spark, f"{_journal(ns, table)}/{load}")
+    spark.catalog.refreshTable(name)
+    return written.get["n_rows"]
+
+
+def replace_by_file(ns: Namespace, table: str, source: DataFrame, keys: list[str],
+                    order: str | None = None, job: str | None = None) -> dict[str, int]:
+    """The replace load that rewrites only the files holding a replaced key.
+
+    Rows of the source whose key is new are added in the same step. Returns
+    the rows loaded and the files rewritten.
+    """
+    spark = source.sparkSession
+    check_strategy("replace", keys)
+    finish_rewrites(spark, ns, table)
+    target = spark.table(qualified(ns, table))
+    before = state(spark, ns, table)
+    if order is not None:
+        source = one_of_each(source, keys, "replace", order)
+    source = session.materialize(bound(source, target.schema), "load")
+    if order is None:
+        one_of_each(source, keys, "replace", None)
+    files = touched_files(target, source, keys)
+    old = spark.read.schema(target.schema).parquet(*files) if files else target.limit(0)
+    rows = old.join(source.select(*[quote(k) for k in keys]), keys, "left_anti").unionByName(source)
+    rewrite_files(ns, table, files, rows, before, job)
+    return {"rows": source.count(), "files": len(files)}
+
+
 def truncate_table(spark: SparkSession, ns: Namespace, table: str) -> None:
     """No rows, same columns."""
     write_table(ns, table, spark.table(qualified(ns, table)).limit(0))

@@ -215,3 +215,32 @@ def bulk_append(spark, sf):
         store.write_table(ns, "orders", target)
         store.append_rows(ns, "orders", source)
         return time_text(current_rows(spark, ns, "orders"))
+
+
+def _in_files(orders: DataFrame, files: int = 20) -> DataFrame:
+    """Orders as a table of ``files`` files, each a range of keys."""
+    return orders.repartitionByRange(files, "o_orderkey")
+
+
+@query(f"""
+WITH {_SIDES}
+SELECT {ORDER_COLUMNS} FROM source UNION ALL
+SELECT {ORDER_COLUMNS} FROM target WHERE o_orderkey NOT IN (SELECT o_orderkey FROM source)
+""")
+def load_replace_by_file(spark, sf):
+    """The replace load that rewrites only the files holding a replaced key."""
+    target, source = _load_sides(spark, sf)
+    with scratch_namespace(spark) as ns:
+        store.write_table(ns, "orders", _in_files(target))
+        store.replace_by_file(ns, "orders", source, ["o_orderkey"])
+        return time_text(current_rows(spark, ns, "orders"))
+
+
+@query(_MERGED)
+def edit_batch_by_file(spark, sf):
+    """The edit batch that rewrites only the files holding an edited key."""
+    orders = load_table(spark, sf, "orders")
+    with scratch_namespace(spark) as ns:
+        store.write_table(ns, "orders", _in_files(orders))
+        edit.apply_edits(spark, ns, "orders", orders_changes(orders), ["o_orderkey"], by_file=True)
+        return time_text(current_rows(spark, ns, "orders"))
