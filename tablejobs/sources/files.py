@@ -16,12 +16,15 @@ def _require_rows(df: DataFrame, message: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True, ragged: bool = False) -> DataFrame:
-    """All columns as trimmed text. A quoted field may hold line breaks; with
-    ``multi_line=False`` (no such fields) one large file is split over tasks.
+    """All columns as trimmed text. A quoted field may hold line breaks (read
+    by ``read_csv_split``, many tasks a file); ``multi_line=False`` (no such
+    fields) reads lines by Spark's CSV reader, also split.
 
     Every file must have the same header; one with other columns, or in another
     order, fails the scan. So does a row of more or fewer fields, unless
     ``ragged`` rows are to be cut or filled with NULL."""
+    if multi_line:
+        return read_csv_split(spark, path, ragged)
     df = (spark.read
           .option("header", True).option("quote", '"').option("escape", '"')
           .option("multiLine", multi_line).option("enforceSchema", False)
@@ -77,3 +80,129 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines documents; columns are the sorted union of all keys."""
     df = spark.read.json(path)
     return df.select([quote(c) for c in sorted(df.columns)])
+
+
+
+_PIECES = "f string, kb long, ki long, ob long, oi long, text string, whole boolean"
+
+
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file and split start; files are split over tasks and a
+    split's lines come in order. Lines keep a trailing ``\\r``."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value")
+
+
+def _split_facts(batches):
+    """Per split: lines, quote parity, and the last line that begins a record
+    if the split begins outside quotes (``even``) or inside them (``odd``)."""
+    import pyarrow as pa
+    facts = {}
+    for batch in batches:
+        for f, b, line in zip(*(batch.column(c).to_pylist() for c in ("f", "b", "value"))):
+            n, parity, even, odd = facts.get((f, b), (0, 0, -1, -1))
+            if parity == 0:
+                even = n
+            else:
+                odd = n
+            facts[(f, b)] = (n + 1, (parity + line.count('"')) % 2, even, odd)
+    rows = [{"f": f, "b": b, "n": n, "parity": p, "even": e, "odd": o} for (f, b), (n, p, e, o) in facts.items()]
+    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+        ("f", pa.string()), ("b", pa.int64()), ("n", pa.int64()), ("parity", pa.int32()),
+        ("even", pa.int64()), ("odd", pa.int64())]))
+
+
+def _split_states(facts) -> dict:
+    """For each split: quote parity at its start, where the record open at its
+    start began (or None), and whether the record open at its end ends there."""
+    states, by_file = {}, {}
+    for r in facts:
+        by_file.setdefault(r.f, []).append(r)
+    for f, splits in by_file.items():
+        parity, carry = 0, None
+        for r in sorted(splits, key=lambda r: r.b):
+            states[(f, r.b)] = (parity, carry, (parity + r.parity) % 2 == 0)
+            last = r.even if parity == 0 else r.odd
+            if last >= 0:
+                carry = (r.b, last)
+            parity = (parity + r.parity) % 2
+    return states
+
+
+def _records(states: dict):
+    def cut(batches):
+        import pyarrow as pa
+        schema = pa.schema([("f", pa.string()), ("kb", pa.int64()), ("ki", pa.int64()), ("ob", pa.int64()),
+                            ("oi", pa.int64()), ("text", pa.string()), ("whole", pa.bool_())])
+        out, split, key, buf, first, parity, i = [], None, None, [], 0, 0, 0
+
+        def flush(last: bool):
+            if buf:
+                whole = key[0] == split[1] and (not last or states[split][2])
+                out.append({"f": split[0], "kb": key[0], "ki": key[1], "ob": split[1], "oi": first,
+                             "text": "\n".join(buf), "whole": whole})
+
+        for batch in batches:
+            for f, b, line in zip(*(batch.column(c).to_pylist() for c in ("f", "b", "value"))):
+                if (f, b) != split:
+                    if split is not None:
+                        flush(True)
+                    split, i, buf, first = (f, b), 0, [], 0
+                    if split not in states:
+                        raise RuntimeError("file splits changed between the two passes of a CSV scan; "
+                                           "keep spark.sql.files.maxPartitionBytes fixed while it runs")
+                    parity, key = states[split][0], states[split][1]
+                if parity == 0:
+                    flush(False)
+                    key, buf, first = (b, i), [], i
+                buf.append(line)
+                parity = (parity + line.count('"')) % 2
+                i += 1
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if split is not None:
+            flush(True)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+    return cut
+
+
+def read_csv_split(spark: SparkSession, path: str, ragged: bool = False) -> DataFrame:
+    """``read_csv`` for files whose quoted fields hold line breaks, split over
+    many tasks per file.
+
+    A line begins a record when the quotes before it in its file are even in
+    number. One pass sums each split's quote parity (one small row per split
+    goes to the driver); the prefix over a file's splits gives each split's
+    state at its start. A second pass cuts records inside each split in order;
+    only a record that crosses a split's end travels, as pieces joined by key,
+    so the text itself is never shuffled. Records are parsed by ``from_csv``
+    with the header's names; all files must have the same header. Blank lines
+    outside quotes are skipped, as the CSV reader does.
+    """
+    import csv
+
+    lines = _raw_lines(spark, path)
+    facts = lines.mapInArrow(_split_facts, "f string, b long, n long, parity int, even long, odd long").collect()
+    states = _split_states(facts)
+    cut = lines.mapInArrow(_records(states), _PIECES)
+    pieces = (cut.where(~F.col("whole")).groupBy("f", "kb", "ki")
+              .agg(F.array_sort(F.collect_list(F.struct("ob", "oi", "text"))).alias("p"))
+              .select("f", "kb", "ki", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text")))
+    records = (cut.where("whole").select("f", "kb", "ki", "text").unionByName(pieces)
+               .withColumn("text", F.regexp_replace("text", "\r$", "")))
+    is_header = F.col("ki") == 0
+    heads = records.where(is_header & (F.col("kb") == 0)).select("f", "text").collect()
+    if not heads:
+        raise ValueError("a CSV import needs a header line and data below it")
+    names = {tuple(next(csv.reader([h.text], quotechar='"', doublequote=True))) for h in heads}
+    if len(names) != 1:
+        raise ValueError("the files have different headers")
+    header = [n.strip() for n in names.pop()]
+    schema = ", ".join(f"`c{j}` string" for j in range(len(header)))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE" if ragged else "FAILFAST"}
+    body = records.where(~(is_header & (F.col("kb") == 0)) & (F.col("text") != ""))
+    parsed = body.select(F.from_csv("text", schema, options).alias("r"))
+    df = parsed.select([F.btrim(F.col(f"r.c{j}"), F.lit(BLANKS)).alias(name) for j, name in enumerate(header)])
+    return _require_rows(df, "a CSV import needs a header line and data below it")

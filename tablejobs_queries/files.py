@@ -153,6 +153,29 @@ def import_csv(spark, sf):
     return _imported(spark, path)
 
 
+_BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(65279)"
+
+
+@query(f"""
+SELECT c_custkey,
+       trim(CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, '#', chr(10) || '"' || chr(10)) ELSE c_name END, {_BLANKS_SQL})
+         AS c_name,
+       c_mktsegment
+FROM customer
+""")
+def import_csv_breaks(spark, sf):
+    """A CSV file whose quoted fields hold line breaks, read split over tasks."""
+    rows = load_table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.replace("c_name", F.lit("#"), F.lit('\n"\n')))
+        .otherwise(F.col("c_name")).alias("c_name"), "c_mktsegment")
+    path = scratch_path(spark, "in") + ".csv"
+    files.write_csv(rows, path)
+    with scratch_namespace(spark) as ns:
+        create_table(spark, ns, "customer", "c_custkey long, c_name string, c_mktsegment string")
+        import_file(spark, path, ns, "customer", ["c_custkey"])
+        return current_rows(spark, ns, "customer")
+
+
 def _write_json_files(spark, sf, item, wrap, path=None, keep="true"):
     """JSON files of up to 5,000 rows each, one document per file."""
     rows = number_rows(_customers(spark, sf).where(keep), ["c_custkey"], "pos")

@@ -205,3 +205,44 @@ def test_csv_files_with_other_headers_or_ragged_rows_fail(spark, tmp_path):
 def test_json_lines(spark, tmp_path):
     path = put(tmp_path / "l.jsonl", '{"id": 1, "o": {"k": 1}}\n{"id": 2.50, "b": true}\n')
     assert rows(scans.read_json_lines(spark, path).select("id", "b")) == [("1", None), ("2.50", "true")]
+
+
+def test_csv_with_line_breaks_is_read_split_over_many_tasks(spark, tmp_path):
+    import random
+
+    from tablejobs.sources.files import read_csv_split
+
+    r = random.Random(2)
+    for k, end in enumerate(["\n", "\r\n"]):
+        with open(tmp_path / f"p{k}.csv", "w", newline="") as fh:
+            fh.write("id,name, note " + end)
+            for i in range(2500):
+                note = r.choice(["plain", '"two\nlines"', '"q ""x"" \n y\n z"', '"a,b"', "", '"\n"', " pad ", '"' + "w\n" * 300 + '"'])
+                fh.write(f"{i},n{i},{note}{end}")
+            fh.write(end)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        split = read_csv_split(spark, str(tmp_path))
+        got = sorted(map(tuple, split.collect()), key=repr)
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+             .csv(str(tmp_path)))
+    want = sorted((tuple(None if v is None else v.strip(" \t\n\r\x0b\x0c\xa0﻿") for v in row) for row in whole.collect()),
+                  key=repr)
+    assert tasks > 50 and len(got) == 5000 and got == want
+    assert split.columns == ["id", "name", "note"]
+
+
+def test_csv_split_refuses_other_headers_and_ragged_rows(spark, tmp_path):
+    from tablejobs.sources.files import read_csv_split
+
+    (tmp_path / "a.csv").write_text('x,y\n1,"2\n3"\n')
+    (tmp_path / "b.csv").write_text("x,z\n1,2\n")
+    with pytest.raises(ValueError):
+        read_csv_split(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text("x,y\n1,2,3\n")
+    with pytest.raises(Exception):
+        read_csv_split(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, read_csv_split(spark, str(tmp_path), ragged=True).collect())) == [("1", "2"), ("1", "2\n3")]
