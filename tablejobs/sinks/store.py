@@ -144,16 +144,20 @@ def one_of_each(source: DataFrame, keys: list[str], strategy: str, order: str |
 
 
 def load_rows(ns: Namespace, table: str, source: DataFrame, keys: list[str] | None = None,
-              strategy: str = "error", order: str | None = None, job: str | None = None) -> int:
+              strategy: str = "error", order: str | None = None, job: str | None = None,
+              by_file: bool = False) -> int:
     """Load rows into an existing table by conflict strategy; returns how many
     rows came from the source.
 
-    ignore and error only append; replace rewrites the table. The source is
+    ignore and error only append; replace rewrites the table, or with
+    ``by_file`` only the files that hold a replaced key. The source is
     staged once, as its keys and then its rows are read. ignore and replace need
     keys; without keys rows are appended as they are.
     """
     spark = source.sparkSession
     check_strategy(strategy, keys)
+    if by_file and strategy == "replace":
+        return replace_by_file(ns, table, source, keys, order, job)["rows"]
     target = spark.table(qualified(ns, table))
     if not keys:
         return append_rows(ns, table, source, job=job)

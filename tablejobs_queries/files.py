@@ -176,6 +176,35 @@ def import_csv_breaks(spark, sf):
         return current_rows(spark, ns, "customer")
 
 
+def _import_with_rejects(spark, sf):
+    """Customers from a CSV file where every seventh balance is no number,
+    loaded with refused rows set aside."""
+    rows = _customers(spark, sf).withColumn("c_acctbal", F.when(
+        F.col("c_custkey") % 7 == 0, F.concat(F.lit("x"), F.col("c_acctbal").cast("string")))
+        .otherwise(F.col("c_acctbal").cast("string")))
+    path = scratch_path(spark, "in") + ".csv"
+    files.write_csv(rows, path)
+    with scratch_namespace(spark) as ns:
+        create_table(spark, ns, "customer", _CUSTOMER)
+        import_file(spark, path, ns, "customer", ["c_custkey"], on_error="skip")
+        return current_rows(spark, ns, "customer"), current_rows(spark, ns, "customer_rejects")
+
+
+@query(_CUSTOMER_SQL + " WHERE c_custkey % 7 <> 0")
+def import_skip(spark, sf):
+    return _import_with_rejects(spark, sf)[0]
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 'c_acctbal' AS "column", 'x' AS value_head,
+       'not a double' AS reason
+FROM customer WHERE c_custkey % 7 = 0
+""")
+def import_rejects(spark, sf):
+    rejects = _import_with_rejects(spark, sf)[1]
+    return rejects.select("c_custkey", "column", F.substring("value", 1, 1).alias("value_head"), "reason")
+
+
 def _write_json_files(spark, sf, item, wrap, path=None, keep="true"):
     """JSON files of up to 5,000 rows each, one document per file."""
     rows = number_rows(_customers(spark, sf).where(keep), ["c_custkey"], "pos")

@@ -246,3 +246,23 @@ def test_csv_split_refuses_other_headers_and_ragged_rows(spark, tmp_path):
     with pytest.raises(Exception):
         read_csv_split(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, read_csv_split(spark, str(tmp_path), ragged=True).collect())) == [("1", "2"), ("1", "2\n3")]
+
+
+def test_import_sets_refused_rows_aside_or_fails_whole(spark, ns, tmp_path):
+    from tablejobs.plans.load import checked_rows, import_file
+    from tablejobs.plans.namespaces import create_table
+    from tablejobs.sinks import store
+
+    (tmp_path / "in.csv").write_text("k,v,d\n1,2.5,2024-01-02\n2,abc,2024-01-03\n3,,bad\n4,NULL,\n5,7,2024-02-30\n")
+    create_table(spark, ns, "t", "k long, v double, d date")
+    with pytest.raises(Exception):
+        import_file(spark, str(tmp_path / "in.csv"), ns, "t", ["k"])
+    assert spark.table(store.qualified(ns, "t")).count() == 0
+    assert import_file(spark, str(tmp_path / "in.csv"), ns, "t", ["k"], on_error="skip") == 2
+    assert sorted(r.k for r in spark.table(store.qualified(ns, "t")).collect()) == [1, 4]
+    refused = sorted((r.k, r.column, r.value, r.reason) for r in spark.table(store.qualified(ns, "t_rejects")).collect())
+    assert refused == [("2", "v", "abc", "not a double"), ("3", "d", "bad", "not a date"), ("5", "d", "2024-02-30", "not a date")]
+    rows = spark.createDataFrame([("1", "x", "y")], "k string, v string, d string")
+    good, bad, counts = checked_rows(rows, spark.table(store.qualified(ns, "t")).schema)
+    assert counts == {"rows": 1, "rejected": 1} and good.count() == 0
+    assert [len(r._rejects) for r in bad.collect()] == [2]
