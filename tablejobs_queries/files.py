@@ -8,7 +8,7 @@ from tablejobs.plans.load import import_file
 from tablejobs.plans.namespaces import create_table
 from tablejobs.session import scratch_namespace, scratch_path
 from tablejobs.sinks import files
-from tablejobs.sources.files import read_csv, read_json_rows
+from tablejobs.sources.files import read_csv, read_json_array_split, read_json_rows
 
 from .base import current_rows, load_table, query
 
@@ -236,6 +236,22 @@ def import_json_objects(spark, sf):
     return read_json_rows(spark, path)
 
 
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
+       nullif(c_mktsegment, 'MACHINERY') AS c_mktsegment
+FROM customer
+""")
+def import_json_split(spark, sf):
+    """Arrays of objects and objects under ``rows``, read split at every "}"."""
+    item = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+    folder = scratch_path(spark, "in")
+    _write_json_files(spark, sf, item, lambda v: F.concat(F.lit("["), v, F.lit("]")), f"{folder}/a",
+                      "c_custkey % 2 = 0")
+    _write_json_files(spark, sf, item, lambda v: F.concat(F.lit('{"rows":['), v, F.lit("]}")), f"{folder}/b",
+                      "c_custkey % 2 = 1")
+    return read_json_array_split(spark, folder)
+
+
 @query(_CUSTOMER_SQL)
 def import_json_arrays(spark, sf):
     """Arrays whose first one holds the column names."""

@@ -266,3 +266,37 @@ def test_import_sets_refused_rows_aside_or_fails_whole(spark, ns, tmp_path):
     good, bad, counts = checked_rows(rows, spark.table(store.qualified(ns, "t")).schema)
     assert counts == {"rows": 1, "rejected": 1} and good.count() == 0
     assert [len(r._rejects) for r in bad.collect()] == [2]
+
+
+def test_json_array_is_read_split_at_braces_over_many_tasks(spark, tmp_path):
+    import json
+    import random
+
+    from tablejobs.sources.files import read_json_array_split
+
+    r = random.Random(3)
+    odd = ["br}ace{ [x] \"q\" \\ end", {"nested": {"deep": [1, {"x": "}"}]}}, None, 1.5, [1, {"a": "]"}], "ü€ \n\t"]
+    want = []
+    for k in range(3):
+        rows = [{"id": str(i), "v": r.choice(odd + [i]), ("w" if k else "u"): str(2 * i)} for i in range(600)]
+        body = json.dumps({"rows": rows} if k == 2 else rows, ensure_ascii=k == 1, indent=1 if k == 1 else None)
+        (tmp_path / f"f{k}.json").write_text(body)  # one line for k = 0 and 2
+        want += rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")
+    try:
+        df = read_json_array_split(spark, str(tmp_path))
+        got, columns = sorted((tuple(x) for x in df.collect()), key=repr), df.columns
+        tasks = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+    assert columns == ["id", "v", "u", "w"] and tasks > 40
+    assert got == sorted((tuple(text(x.get(c)) for c in columns) for x in want), key=repr)
+
+
+def test_json_split_refuses_what_is_no_array(spark, tmp_path):
+    from tablejobs.sources.files import read_json_array_split
+
+    (tmp_path / "a.json").write_text('"just text"')
+    with pytest.raises(ValueError):
+        read_json_array_split(spark, str(tmp_path))
