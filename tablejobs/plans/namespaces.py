@@ -36,6 +36,18 @@ def reshape_table(spark: SparkSession, ns: Namespace, table: str, **changes) ->
                              before)
 
 
+def add_columns(spark: SparkSession, ns: Namespace, table: str, columns: dict[str, tuple[str, str | None]]) -> None:
+    """Add columns in the catalogue alone: ``ALTER TABLE ... ADD COLUMNS``. No
+    file is written; rows stored before read NULL, or the column's default
+    (a SQL expression) if it has one, which later loads also take for a
+    missing column."""
+    parts = [f"{quote(name)} {dtype}" + (f" DEFAULT {default}" if default is not None else "")
+             for name, (dtype, default) in columns.items()]
+    name = store.qualified(ns, table)
+    spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(parts)})")
+    spark.catalog.refreshTable(name)
+
+
 def rename_table(spark: SparkSession, ns: Namespace, table: str, new_name: str) -> None:
     spark.sql(f"ALTER TABLE {store.qualified(ns, table)} RENAME TO {store.qualified(ns, new_name)}")
 
@@ -50,7 +62,8 @@ def create_table(spark: SparkSession, ns: Namespace, table: str, ddl: str) -> No
 def apply_sync(spark: SparkSession, ns: Namespace, plan: DataFrame, source: dict[str, DataFrame],
                drop: bool = False) -> list[str]:
     """Bring stored tables up to a ``sync_plan``: add missing columns (NULL in the
-    rows there are) and make missing tables, empty, with the source's columns.
+    rows there are; the catalogue changes, no file is written) and make missing
+    tables, empty, with the source's columns.
     Tables only in the target go with ``drop`` alone. Returns the tables changed.
 
     The plan holds one row per table or column, so reading it is bounded by the
@@ -68,6 +81,6 @@ def apply_sync(spark: SparkSession, ns: Namespace, plan: DataFrame, source: dict
             store.drop_table(spark, ns, r.table_name)
             changed.append(r.table_name)
     for table, columns in added.items():
-        reshape_table(spark, ns, table, add=columns)
+        add_columns(spark, ns, table, columns)
         changed.append(table)
     return sorted(changed)

@@ -95,12 +95,19 @@ def write_table(ns: Namespace, table: str, df: DataFrame, expected: tuple | None
     return rows
 
 
+DEFAULT_KEY = "CURRENT_DEFAULT"  # where Spark keeps a column's default expression
+
+
 def bound(df: DataFrame, schema) -> DataFrame:
     """``df`` as a table of ``schema`` takes it. Columns the table lacks are
-    refused; a value that does not fit fails when it is read."""
+    refused; a column ``df`` lacks takes the table's default for it, else
+    NULL; a value that does not fit fails when it is read."""
     unknown = set(df.columns) - set(schema.names)
     if unknown:
         raise ValueError(f"the table has no columns {sorted(unknown)}")
+    for f in schema.fields:
+        if f.name not in df.columns and DEFAULT_KEY in f.metadata:
+            df = df.withColumn(f.name, F.expr(f.metadata[DEFAULT_KEY]).cast(f.dataType))
     return bind_to(df, schema)
 
 
