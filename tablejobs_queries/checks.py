@@ -71,3 +71,28 @@ def not_null_report(spark, sf):
         "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"),
         F.when(F.col("o_totalprice") < 400000, F.col("o_totalprice")).alias("o_totalprice"))
     return checks.not_null_report(orders, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
+
+
+@query("""
+SELECT 'left_only' AS side, o_orderkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)
+UNION ALL
+SELECT 'right_only' AS side, o_orderkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)
+""")
+def content_diff(spark, sf):
+    """A copy of orders with one cell changed: narrowing finds that row."""
+    orders = load_table(spark, sf, "orders")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    copy = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") == first, F.col("o_totalprice") + 1)
+                             .otherwise(F.col("o_totalprice")))
+    found, _ = checks.content_differences(orders, copy, ["o_orderkey"], few=256)
+    return found.select("side", "o_orderkey")
+
+
+@query("SELECT count(*) AS n_rows, 0 AS n_differing, 1 AS levels FROM orders")
+def content_equal(spark, sf):
+    """A table and its copy: the first level, one row a side, settles it."""
+    orders = load_table(spark, sf, "orders")
+    found, sizes = checks.content_differences(orders, orders.select(*reversed(orders.columns)).select(*orders.columns),
+                                              ["o_orderkey"])
+    return spark.createDataFrame([(orders.count(), found.count(), len(sizes))],
+                                 "n_rows long, n_differing long, levels int")

@@ -213,3 +213,19 @@ def test_user_sql(spark):
     sql.create_function(spark, "tj_one", "x INT", "INT", "x + 1")
     assert [r.n for r in sql.run_sql(spark, "SELECT tj_one(id) AS n FROM {t} ORDER BY 1", {"t": df}).collect()] == [2, 3]
     spark.sql("DROP TEMPORARY FUNCTION tj_one")
+
+
+def test_content_differences_narrow_to_the_rows(spark):
+    from tablejobs.operators.checks import content_differences
+
+    base = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), F.lit("x").alias("s"))
+    same, sizes = content_differences(base, base.select("s", "v", "k"), ["k"])
+    assert same.count() == 0 and len(sizes) == 1
+    changed = (base.withColumn("v", F.when(F.col("k") == 5, 99).otherwise(F.col("v")))
+               .where("k <> 7").unionByName(base.where("k = 9")).unionByName(base.limit(0).unionByName(
+                   spark.createDataFrame([(None, 1, "n")], "k long, v long, s string"))))
+    found, sizes = content_differences(base, changed, ["k"], fan=16, few=100)
+    got = sorted((r.side, r.k) for r in found.collect() if r.k is not None)
+    assert got == [("left_only", 5), ("left_only", 7), ("right_only", 5), ("right_only", 9)]
+    assert [r.side for r in found.collect() if r.k is None] == ["right_only"]
+    assert len(sizes) >= 2 and sizes[-1] < sizes[0]
