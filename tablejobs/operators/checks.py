@@ -143,3 +143,33 @@ def content_differences(left: DataFrame, right: DataFrame, keys: list[str], fan:
 def _diff_schema(df: DataFrame, keys: list[str]) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join(["side string", *[f"{quote(k)} {types[k]}" for k in keys], "row_hash long"])
+
+
+def key_candidates(tables: dict[str, DataFrame], slack: float = 0.9, at_once: int = 4) -> DataFrame:
+    """Single columns that are keys (no NULL, no repeat), measured, not given.
+
+    One pass per table gives the row count and, per column, the non-NULL count
+    and a distinct-count sketch (``hll_sketch_agg``, combined before the
+    shuffle); a column is a candidate when it has no NULL and its estimate
+    reaches ``slack`` times the rows. A second pass counts the candidates'
+    distinct values exactly; only those equal to the row count are kept.
+    Tables run ``at_once`` at a time. Returns (table_name, column_name).
+    """
+    spark = next(iter(tables.values())).sparkSession
+
+    def one(item):
+        name, df = item
+        cols = df.columns
+        text = lambda c: F.col(quote(c)).cast("string")
+        first = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(quote(c))).alias(f"c{i}") for i, c in enumerate(cols)],
+                       *[F.hll_sketch_estimate(F.hll_sketch_agg(text(c))).alias(f"e{i}") for i, c in enumerate(cols)]).first()
+        n = first["_n"]
+        maybe = [c for i, c in enumerate(cols) if n and first[f"c{i}"] == n and first[f"e{i}"] >= slack * n]
+        if not maybe:
+            return []
+        exact = df.agg(*[F.count_distinct(F.col(quote(c))).alias(f"d{i}") for i, c in enumerate(maybe)]).first()
+        return [(name, c) for i, c in enumerate(maybe) if exact[f"d{i}"] == n]
+
+    from ..session import in_parallel, small_frame
+    found = [row for rows in in_parallel(spark, one, list(tables.items()), at_once) for row in rows]
+    return small_frame(spark, found, "table_name string, column_name string")

@@ -96,3 +96,24 @@ def content_equal(spark, sf):
                                               ["o_orderkey"])
     return spark.createDataFrame([(orders.count(), found.count(), len(sizes))],
                                  "n_rows long, n_differing long, levels int")
+
+
+
+_KEYED = ['region', 'nation', 'supplier', 'customer', 'part', 'orders', 'lineitem']
+
+
+@query("""
+WITH t AS (SELECT 'region' AS table_name, column_name, v FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM region) ON COLUMNS(*) INTO NAME column_name VALUE v) UNION ALL
+ SELECT 'nation' AS table_name, column_name, v FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM nation) ON COLUMNS(*) INTO NAME column_name VALUE v) UNION ALL
+ SELECT 'supplier' AS table_name, column_name, v FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM supplier) ON COLUMNS(*) INTO NAME column_name VALUE v) UNION ALL
+ SELECT 'customer' AS table_name, column_name, v FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM customer) ON COLUMNS(*) INTO NAME column_name VALUE v) UNION ALL
+ SELECT 'part' AS table_name, column_name, v FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM part) ON COLUMNS(*) INTO NAME column_name VALUE v) UNION ALL
+ SELECT 'orders' AS table_name, column_name, v FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM orders) ON COLUMNS(*) INTO NAME column_name VALUE v) UNION ALL
+ SELECT 'lineitem' AS table_name, column_name, v FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE v)),
+     n AS (SELECT 'region' AS table_name, count(*) AS n FROM region UNION ALL SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'supplier' AS table_name, count(*) AS n FROM supplier UNION ALL SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'part' AS table_name, count(*) AS n FROM part UNION ALL SELECT 'orders' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem' AS table_name, count(*) AS n FROM lineitem)
+SELECT table_name, column_name FROM t JOIN n USING (table_name)
+GROUP BY table_name, column_name, n HAVING count(DISTINCT v) = n AND count(v) = n
+""")
+def key_candidates(spark, sf):
+    """Columns that are keys, by sketch first and exact count after."""
+    return checks.key_candidates(load_tables(spark, sf, _KEYED))

@@ -229,3 +229,13 @@ def test_content_differences_narrow_to_the_rows(spark):
     assert got == [("left_only", 5), ("left_only", 7), ("right_only", 5), ("right_only", 9)]
     assert [r.side for r in found.collect() if r.k is None] == ["right_only"]
     assert len(sizes) >= 2 and sizes[-1] < sizes[0]
+
+
+def test_key_candidates_are_measured_and_confirmed(spark):
+    from tablejobs.operators.checks import key_candidates
+
+    df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 4999).alias("near"),
+                                  F.when(F.col("id") == 3, None).otherwise(F.col("id")).alias("nully"),
+                                  F.concat(F.lit("x"), F.col("id").cast("string")).alias("name"))
+    got = sorted(tuple(r) for r in key_candidates({"t": df, "empty": df.limit(0)}).collect())
+    assert got == [("t", "k"), ("t", "name")]
