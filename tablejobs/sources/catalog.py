@@ -112,3 +112,28 @@ def describe_measured(spark: SparkSession, frames: dict[str, DataFrame],
                          "PRI" if f.name in keys.get(table, []) else "",
                          row_count, null_count))
     return small_frame(spark, rows, DESCRIBE + ", row_count long, null_count long")
+
+
+_DESCRIBED = ("struct<table_name:string, type:string, provider:string, location:string, view_text:string, "
+              "columns:array<struct<name:string, type:struct<name:string>, nullable:boolean, default:string>>>")
+
+
+def describe_stored(spark: SparkSession, database: str) -> DataFrame:
+    """Tables and views of a database as the catalogue holds them: one row per
+    column with the table's type (EXTERNAL, MANAGED, VIEW), the column's
+    place, type name, nullability and default expression.
+
+    Each object's ``DESCRIBE TABLE EXTENDED ... AS JSON`` is one text, bounded
+    by its schema; all are parsed together by ``from_json`` and exploded."""
+    from pyspark.sql import functions as F
+
+    names = [r.tableName for r in spark.sql(f"SHOW TABLES IN {quote(database)}").collect() if not r.isTemporary]
+    texts = [(n, spark.sql(f"DESCRIBE TABLE EXTENDED {quote(database)}.{quote(n)} AS JSON").first()[0])
+             for n in sorted(names)]
+    parsed = small_frame(spark, texts, "object string, json string").select(
+        F.from_json("json", _DESCRIBED).alias("d"))
+    return parsed.select("d.table_name", F.col("d.type").alias("table_type"), "d.provider",
+                         F.posexplode("d.columns").alias("position", "c")).select(
+        "table_name", "table_type", (F.col("position") + 1).alias("position"), F.col("c.name").alias("column_name"),
+        F.col("c.type.name").alias("data_type"), F.col("c.nullable").alias("nullable"),
+        F.col("c.default").alias("default_value"))

@@ -218,3 +218,26 @@ def sync_apply_table(spark, sf):
         if spark.table(store.qualified(ns, "supplier")).schema != frames["supplier"].schema:
             raise RuntimeError("the new table has other columns")
         return current_rows(spark, ns, "documents")
+
+
+@query("""
+SELECT * FROM (VALUES
+  ('documents', 'EXTERNAL', 1, 'doc_id', 'bigint', true, NULL),
+  ('documents', 'EXTERNAL', 2, 'text', 'string', true, NULL),
+  ('documents', 'EXTERNAL', 3, 'lang', 'string', true, NULL),
+  ('documents', 'EXTERNAL', 4, 'source', 'string', true, NULL),
+  ('documents', 'EXTERNAL', 5, 'n_chars', 'bigint', true, NULL),
+  ('documents', 'EXTERNAL', 6, 'checked', 'string', true, '''no'''),
+  ('langs', 'VIEW', 1, 'lang', 'string', true, NULL),
+  ('langs', 'VIEW', 2, 'n', 'bigint', false, NULL)
+) AS v(table_name, table_type, position, column_name, data_type, nullable, default_value)
+""")
+def describe_stored(spark, sf):
+    """A stored table with a column added by default, and a view, as the
+    catalogue describes them."""
+    with scratch_namespace(spark) as ns:
+        store.write_table(ns, "documents", load_tables(spark, sf, ["documents"])["documents"])
+        namespaces.add_columns(spark, ns, "documents", {"checked": ("string", "'no'")})
+        spark.sql(f"CREATE VIEW {store.qualified(ns, 'langs')} AS "
+                  f"SELECT lang, count(*) AS n FROM {store.qualified(ns, 'documents')} GROUP BY lang")
+        return catalog.describe_stored(spark, ns.name)

@@ -239,3 +239,17 @@ def test_key_candidates_are_measured_and_confirmed(spark):
                                   F.concat(F.lit("x"), F.col("id").cast("string")).alias("name"))
     got = sorted(tuple(r) for r in key_candidates({"t": df, "empty": df.limit(0)}).collect())
     assert got == [("t", "k"), ("t", "name")]
+
+
+def test_describe_stored_lists_views_types_and_defaults(spark, ns):
+    from tablejobs.plans import namespaces
+    from tablejobs.sinks import store
+    from tablejobs.sources.catalog import describe_stored
+
+    store.write_table(ns, "t", spark.createDataFrame([(1, 2.5)], "k long, x double"))
+    namespaces.add_columns(spark, ns, "t", {"d": ("int", "7")})
+    spark.sql(f"CREATE VIEW {store.qualified(ns, 'v')} AS SELECT k FROM {store.qualified(ns, 't')}")
+    got = sorted((r.table_name, r.table_type, r.position, r.column_name, r.data_type, r.default_value)
+                 for r in describe_stored(spark, ns.name).collect())
+    assert got == [("t", "EXTERNAL", 1, "k", "bigint", None), ("t", "EXTERNAL", 2, "x", "double", None),
+                   ("t", "EXTERNAL", 3, "d", "int", "7"), ("v", "VIEW", 1, "k", "bigint", None)]
