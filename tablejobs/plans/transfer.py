@@ -42,6 +42,8 @@ class TransferOptions:
     keys: dict[str, list[str]] = field(default_factory=dict)
     order: dict[str, str] = field(default_factory=dict)
     checkpoint: str | None = None
+    check: bool = False
+    references: list[tuple[str, str, dict[str, str]]] = field(default_factory=list)
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -52,13 +54,20 @@ class TransferOptions:
             raise ValueError(f"unknown error mode {self.error_mode}")
 
 
+CHECKS = "kind string, table_name string, detail string, bad_values long, bad_rows long"
+
+
 @dataclass
 class TransferResult:
     stats: list[tuple]
+    checks: list[tuple] = field(default_factory=list)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return session.small_frame(spark, self.stats, STATS)
 
+    def check_frame(self, spark: SparkSession) -> DataFrame:
+        return session.small_frame(spark, self.checks, CHECKS)
+
     @property
     def transferred(self) -> list[str]:
         return [s[0] for s in self.stats if s[4] == "ok"]
@@ -189,6 +198,40 @@ def transfer(spark: SparkSession, source: dict, target: Namespace,
     else:
         stats = session.in_parallel(spark, run, todo, opts.parallelism)
     result = TransferResult(stats)
+    if opts.check:
+        result.checks = check_copy(spark, target, [s[0] for s in stats if s[4] == "ok"], opts)
     if opts.checkpoint is not None and not result.errors:
         session.delete_path(spark, opts.checkpoint)
     return result
+
+
+def check_copy(spark: SparkSession, target: Namespace, tables: list[str], opts: TransferOptions) -> list[tuple]:
+    """Checks of the copied tables, as a step of the transfer: each key (as
+    mapped) is unique and has no NULL part, and each reference (child table,
+    parent table, child column to parent column) has a parent row. One row per
+    check: values and rows that break it (0 and 0: it holds). Tables that were
+    not copied are not checked; a reference to one is."""
+    from ..operators.checks import orphan_keys, unique_violations
+
+    def table(name):
+        return spark.table(store.qualified(target, name))
+
+    out = []
+    for name in tables:
+        keys = _mapped_keys(name, opts)
+        if keys:
+            bad = unique_violations(table(name), keys, nulls_too=True).agg(
+                F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("r")).first()
+            out.append(("key", name, ", ".join(keys), bad["v"], bad["r"]))
+    for child, parent, on in opts.references:
+        if child not in tables:
+            continue
+        detail = ", ".join(on) + f" -> {parent}." + ", ".join(on.values())
+        if not store.exists(spark, target, parent):
+            n = table(child).dropna(subset=list(on)).count()
+            out.append(("reference", child, detail, None, n))
+            continue
+        bad = orphan_keys(table(child), table(parent), on).agg(
+            F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("r")).first()
+        out.append(("reference", child, detail, bad["v"], bad["r"]))
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablejobs.operators import checks
 from tablejobs.operators.project import ColumnMapping
 from tablejobs.plans import namespaces, snapshot
-from tablejobs.plans.transfer import TransferOptions, checkpoint_path, transfer, transfer_totals
+from tablejobs.plans.transfer import CHECKS, TransferOptions, checkpoint_path, transfer, transfer_totals
 from tablejobs.session import scratch_namespace, scratch_path, small_frame
 from tablejobs.sinks import store
 from tablejobs.sources.tables import read_table
@@ -268,3 +268,23 @@ def transfer_first_load_replace(spark, sf):
         if result.errors:
             raise RuntimeError(result.errors)
         return current_rows(spark, ns, "orders")
+
+
+@query("""
+SELECT 'key' AS kind, 'customer' AS table_name, 'c_custkey' AS detail, CAST(0 AS BIGINT) AS bad_values,
+       CAST(0 AS BIGINT) AS bad_rows
+UNION ALL SELECT 'key', 'orders', 'o_orderkey', 0, 0
+UNION ALL
+SELECT 'reference', 'orders', 'o_custkey -> customer.c_custkey', count(DISTINCT o_custkey), count(*)
+FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)
+""")
+def transfer_checked(spark, sf):
+    """Keys and a reference checked as a step of the copy: customers are copied
+    in part, so orders of the others have no parent."""
+    with scratch_namespace(spark) as ns:
+        first = transfer(spark, folder(sf), ns, TransferOptions(
+            tables=["customer"], where="c_custkey % 10 <> 0", keys={"customer": ["c_custkey"]}, check=True))
+        second = transfer(spark, folder(sf), ns, TransferOptions(
+            tables=["orders"], keys={"orders": ["o_orderkey"]}, check=True,
+            references=[("orders", "customer", {"o_custkey": "c_custkey"})]))
+        return small_frame(spark, first.checks + second.checks, CHECKS)

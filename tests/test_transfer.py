@@ -165,3 +165,18 @@ def test_resume_without_a_record_repeats_no_rows(spark, ns):
     again = transfer(spark, source, ns, options)
     assert len(again.errors) == 1
     assert [spark.table(store.qualified(ns, t)).count() for t in "ab"] == [3, 4]
+
+
+def test_checks_run_as_a_step_of_the_transfer(spark, ns):
+    from tablejobs.plans.transfer import TransferOptions, transfer
+
+    frames = {"p": spark.createDataFrame([(1,), (2,), (None,)], "id long"),
+              "c": spark.createDataFrame([(10, 1), (11, 3), (14, 3), (12, None), (13, 4)], "k long, pid long")}
+    result = transfer(spark, {"format": "frames", "frames": frames}, ns, TransferOptions(
+        tables=["p", "c"], keys={"p": ["id"], "c": ["k"]}, check=True, conflict="error",
+        references=[("c", "p", {"pid": "id"}), ("c", "gone", {"pid": "id"})]))
+    got = sorted(result.checks, key=repr)
+    assert ("key", "p", "id", 1, 1) in got  # a NULL key part
+    assert ("key", "c", "k", 0, 0) in got
+    assert ("reference", "c", "pid -> p.id", 2, 3) in got  # 3 twice and 4; NULL is no orphan
+    assert ("reference", "c", "pid -> gone.id", None, 4) in got
