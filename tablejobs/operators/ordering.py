@@ -132,3 +132,56 @@ def ordered_list(df: DataFrame, keys: list[str], order: list[str], item: str,
               .withColumn("piece", F.floor((F.col("_pos") - F.col("_first")) / F.col("_per")))
               .groupBy(*keys, "piece").agg(packed(["_pos"]).alias(name)))
     return small.unionByName(pieces)
+
+
+class SortedRun:
+    """A table sorted once, kept for many pages.
+
+    The rows are range-partitioned and sorted in parallel (row hash last, as
+    in ``number_rows``) and written once with their place ``_at``; the count of
+    each written part is kept. A page then reads only the parts that hold it:
+    its filter on ``_at`` reaches the parquet scan, whose file statistics skip
+    the other parts, and nothing is sorted again.
+    """
+
+    def __init__(self, df: DataFrame, column: str | None = None, direction: str = "asc", keys: list[str] = ()):
+        spark = df.sparkSession
+        order = _total_order(df, column, direction, keys)
+        plain = [F.col(quote(f.name)) for f in df.schema.fields
+                 if not f.dataType.simpleString().startswith(("map", "variant"))]
+        self.columns = list(df.columns)
+        self.rows = materialize(
+            df.withColumn("_tie", F.xxhash64(*plain)).repartitionByRange(*order, "_tie")
+            .sortWithinPartitions(*order, "_tie").drop("_tie").withColumn("_at", F.monotonically_increasing_id()),
+            "sorted-run")
+        part = F.shiftright("_at", _PARTITION_BITS)
+        counts = self.rows.groupBy(part.alias("_part")).count().orderBy("_part").collect()
+        self.parts, total = [], 0
+        for row in counts:  # one small row per written part
+            self.parts.append((row._part, total, row["count"]))
+            total += row["count"]
+        self.total = total
+
+    def slice(self, skip: int, count: int) -> DataFrame:
+        """Rows ``skip`` .. ``skip + count - 1`` of the order, with ``_pos``."""
+        end, ranges = skip + count, []
+        for part, start, n in self.parts:
+            if start < end and start + n > skip:
+                base = part << _PARTITION_BITS
+                low, high = base + max(0, skip - start), base + min(n, end - start) - 1
+                ranges.append((F.col("_at") >= low) & (F.col("_at") <= high))
+        spark = self.rows.sparkSession
+        if not ranges:
+            return self.rows.limit(0).select(*[quote(c) for c in self.columns])
+        where = ranges[0]
+        for r in ranges[1:]:
+            where = where | r
+        offsets = small_frame(spark, [(p, s) for p, s, _ in self.parts], "_part long, _start long")
+        inside = F.col("_at").bitwiseAND((1 << _PARTITION_BITS) - 1)
+        return (self.rows.where(where).withColumn("_part", F.shiftright("_at", _PARTITION_BITS))
+                .join(offsets, "_part").withColumn("_pos", F.col("_start") + inside)
+                .orderBy("_pos").select(*[quote(c) for c in self.columns]))
+
+    def page(self, number: int, size: int = 100) -> DataFrame:
+        """Page ``number`` (from 1) of ``size`` rows, in order."""
+        return self.slice((number - 1) * size, size)

@@ -192,3 +192,16 @@ def ordered_list_pieces(spark, sf):
     lists = ordering.ordered_list(load_table(spark, sf, "events"), ["event_type"],
                                   ["user_id", "event_id"], "event_id", "ids", max_items=50)
     return lists.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@query(f"""
+SELECT {', '.join(c for c in LINE_ORDER if c != 'l_shipdate')},
+       strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate
+FROM lineitem ORDER BY {', '.join(LINE_ORDER)[:-len('l_shipdate')]} lineitem.l_shipdate
+LIMIT 300 OFFSET 4900
+""")
+def page_run(spark, sf):
+    """Pages 50, 51 and 52 from one sorted run: one sort, three page reads."""
+    run = ordering.SortedRun(load_table(spark, sf, "lineitem"), keys=LINE_ORDER)
+    pages = [run.page(n, 100) for n in (50, 51, 52)]
+    return time_text(reduce(DataFrame.unionByName, pages))

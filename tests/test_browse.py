@@ -152,3 +152,21 @@ def test_list_of_ties_is_the_same_in_pieces(spark, limits):
     pieces = ordering.ordered_list(df, ["k"], ["o"], "v", **limits).orderBy("piece").collect()
     assert [v for p in pieces for v in p["items"]] == [1, 3, 5, 9]
     assert len(pieces) == (2 if limits else 1)
+
+
+def test_a_sorted_run_serves_pages_without_sorting_again(spark):
+    from pyspark.sql import functions as F
+
+    from tablejobs.operators.ordering import SortedRun, page
+
+    df = spark.range(3000).select((F.col("id") % 17).alias("g"), F.col("id").alias("k"), F.lit("x").alias("s"))
+    df = df.unionByName(df.where("k < 40"))  # repeated rows
+    run = SortedRun(df.repartition(7), "g", "desc", ["k"])
+    pages = [run.page(n, 250) for n in range(1, 15)]
+    got = [tuple(r) for p in pages for r in p.collect()]
+    want = [tuple(r) for r in df.orderBy(F.col("g").desc(), "k", "s").collect()]
+    assert got == want and run.total == 3040
+    assert [tuple(r) for r in run.page(3, 250).collect()] == [tuple(r) for r in page(df, 3, 250, "g", "desc", ["k"]).collect()]
+    plan = pages[5]._jdf.queryExecution().executedPlan().toString()
+    assert "_at" in plan and "PushedFilters" in plan
+    assert run.page(100, 250).count() == 0
