@@ -235,3 +235,52 @@ def check_copy(spark: SparkSession, target: Namespace, tables: list[str], opts:
             F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("r")).first()
         out.append(("reference", child, detail, bad["v"], bad["r"]))
     return out
+
+
+class Stopped(RuntimeError):
+    """A copy stopped on purpose (tests and drills)."""
+
+
+def copy_in_groups(spark: SparkSession, path: str, target: Namespace, table: str, checkpoint: str,
+                   files_per_group: int = 8, stop_after: int | None = None) -> dict[str, int]:
+    """Copy a parquet folder into a new table by groups of source files, with
+    resume below the table.
+
+    The first run writes a manifest (file groups, in file order) to
+    ``checkpoint``; each group is copied to a folder of its own and then
+    recorded as done. A later run with the same ``checkpoint`` reads the
+    manifest, passes over recorded groups, and copies only the rest; a group
+    cut off half-way is written again from scratch into a fresh folder, so no
+    row comes twice. When all groups are there, their folders go into one
+    version folder by renames and the table is published at once; the
+    checkpoint goes last. ``stop_after`` stops after that many groups of this
+    run (to drill a stop). Returns groups copied now and in all.
+    """
+    manifest = f"{checkpoint}/manifest"
+    if session.path_exists(spark, manifest):
+        groups = {r.group: r.files for r in spark.read.json(manifest).collect()}
+    else:
+        files = sorted(spark.read.parquet(path).inputFiles())
+        groups = {i // files_per_group: files[i:i + files_per_group] for i in range(0, len(files), files_per_group)}
+        spark.createDataFrame([(g, f) for g, f in groups.items()], "group long, files array<string>") \
+            .coalesce(1).write.json(manifest)
+    schema = spark.read.parquet(path).schema
+    done = {int(p.rsplit("-", 1)[1]) for p in session.path_children(spark, f"{checkpoint}/done")}
+    copied = 0
+    for group in sorted(groups):
+        if group in done:
+            continue
+        if stop_after is not None and copied >= stop_after:
+            raise Stopped(f"stopped after {copied} groups")
+        folder = f"{checkpoint}/groups/{group}-{uuid.uuid4().hex}"
+        spark.read.schema(schema).parquet(*groups[group]).write.parquet(folder)
+        session.small_frame(spark, [(group, folder)], "group long, folder string").coalesce(1).write.json(
+            f"{checkpoint}/done/group-{group}")
+        copied += 1
+    version = store.new_version(target, table)
+    for note in session.path_children(spark, f"{checkpoint}/done"):
+        row = spark.read.json(note).first()
+        session.move_path(spark, row.folder, f"{version}/group-{row.group}")
+    store.publish(spark, target, table, version, schema)
+    session.delete_path(spark, checkpoint)
+    return {"copied": copied, "groups": len(groups)}

@@ -288,3 +288,21 @@ def transfer_checked(spark, sf):
             tables=["orders"], keys={"orders": ["o_orderkey"]}, check=True,
             references=[("orders", "customer", {"o_custkey": "c_custkey"})]))
         return small_frame(spark, first.checks + second.checks, CHECKS)
+
+
+@query(f"SELECT {ORDER_COLUMNS} FROM orders")
+def transfer_resume_groups(spark, sf):
+    """A copy by groups of files, stopped after its first group and resumed:
+    the second run copies only the rest; no row twice."""
+    from tablejobs.plans.transfer import Stopped, copy_in_groups
+
+    source = f"{sf}/orders.parquet"
+    with scratch_namespace(spark) as ns:
+        checkpoint = scratch_path(spark, "groups")
+        try:
+            copy_in_groups(spark, source, ns, "orders", checkpoint, files_per_group=1, stop_after=1)
+        except Stopped:
+            pass
+        if not store.exists(spark, ns, "orders"):
+            copy_in_groups(spark, source, ns, "orders", checkpoint, files_per_group=1)
+        return time_text(current_rows(spark, ns, "orders"))

@@ -180,3 +180,20 @@ def test_checks_run_as_a_step_of_the_transfer(spark, ns):
     assert ("key", "c", "k", 0, 0) in got
     assert ("reference", "c", "pid -> p.id", 2, 3) in got  # 3 twice and 4; NULL is no orphan
     assert ("reference", "c", "pid -> gone.id", None, 4) in got
+
+
+def test_a_copy_in_groups_resumes_below_the_table(spark, ns, tmp_path):
+    from tablejobs.plans.transfer import Stopped, copy_in_groups
+
+    data = spark.range(6000).select(F.col("id"), (F.col("id") % 13).alias("v"))
+    data.repartition(10).write.parquet(str(tmp_path / "src"))
+    checkpoint = scratch_path(spark, "groups")
+    with pytest.raises(Stopped):
+        copy_in_groups(spark, str(tmp_path / "src"), ns, "t", checkpoint, files_per_group=3, stop_after=2)
+    assert not store.exists(spark, ns, "t")
+    # A group cut off half-way: a folder without its record is ignored.
+    data.limit(5).write.parquet(f"{checkpoint}/groups/2-halfway")
+    done = copy_in_groups(spark, str(tmp_path / "src"), ns, "t", checkpoint, files_per_group=3)
+    assert done == {"copied": 2, "groups": 4}
+    assert rows(spark.table(store.qualified(ns, "t"))) == rows(data)
+    assert not path_exists(spark, checkpoint)
