@@ -113,3 +113,26 @@ def add_missing_columns(df: DataFrame, plan: DataFrame, table: str) -> DataFrame
     added = [F.lit(None).cast(r.data_type).alias(r.column_name)
              for r in missing.select("column_name", "data_type").collect()]
     return df.select("*", *added)
+
+
+def content_summary(pairs: dict[str, tuple[DataFrame, DataFrame, list[str]]]) -> DataFrame:
+    """One row that depends on the rows: tables whose content is the same or
+    differs (by ``checks.content_differences``), rows on each side, and rows
+    found on one side only. Tables are compared one after another; each
+    comparison reads hashes only and narrows to the differing rows."""
+    from ..session import small_frame
+    from .checks import content_differences
+
+    rows = []
+    for name, (source, target, keys) in pairs.items():
+        found, _ = content_differences(source, target, keys)
+        sides = found.agg(F.count_if(F.col("side") == "left_only").alias("s"),
+                          F.count_if(F.col("side") == "right_only").alias("t")).first()
+        rows.append((name, source.count(), target.count(), sides["s"], sides["t"]))
+    every = small_frame(source.sparkSession, rows, "table_name string, source_rows long, target_rows long, "
+                        "only_source long, only_target long")
+    same = (F.col("only_source") == 0) & (F.col("only_target") == 0)
+    return every.agg(F.count(F.lit(1)).alias("n_tables"), F.count_if(same).alias("n_same"),
+                     F.count_if(~same).alias("n_differ"), F.sum("source_rows").alias("source_rows"),
+                     F.sum("target_rows").alias("target_rows"), F.sum("only_source").alias("rows_only_source"),
+                     F.sum("only_target").alias("rows_only_target"))

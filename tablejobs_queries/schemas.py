@@ -241,3 +241,24 @@ def describe_stored(spark, sf):
         spark.sql(f"CREATE VIEW {store.qualified(ns, 'langs')} AS "
                   f"SELECT lang, count(*) AS n FROM {store.qualified(ns, 'documents')} GROUP BY lang")
         return catalog.describe_stored(spark, ns.name)
+
+
+@query("""
+SELECT CAST(3 AS BIGINT) AS n_tables, CAST(1 AS BIGINT) AS n_same, CAST(2 AS BIGINT) AS n_differ,
+       (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS source_rows,
+       (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> 0) + (SELECT count(*) FROM customer)
+         + (SELECT count(*) FROM nation) AS target_rows,
+       (SELECT count(*) FROM orders WHERE o_orderkey % 100 = 0)
+         + (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0) AS rows_only_source,
+       (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0) AS rows_only_target
+""")
+def compare_content(spark, sf):
+    """A summary that depends on rows: orders lose every hundredth order,
+    customers get a new balance for every fiftieth, nations stay."""
+    frames = load_tables(spark, sf, ["orders", "customer", "nation"])
+    changed = frames["customer"].withColumn("c_acctbal", F.when(F.col("c_custkey") % 50 == 0, F.col("c_acctbal") + 1)
+                                            .otherwise(F.col("c_acctbal")))
+    return compare.content_summary({
+        "orders": (frames["orders"], frames["orders"].where("o_orderkey % 100 <> 0"), ["o_orderkey"]),
+        "customer": (frames["customer"], changed, ["c_custkey"]),
+        "nation": (frames["nation"], frames["nation"], ["n_nationkey"])})

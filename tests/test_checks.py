@@ -253,3 +253,12 @@ def test_describe_stored_lists_views_types_and_defaults(spark, ns):
                  for r in describe_stored(spark, ns.name).collect())
     assert got == [("t", "EXTERNAL", 1, "k", "bigint", None), ("t", "EXTERNAL", 2, "x", "double", None),
                    ("t", "EXTERNAL", 3, "d", "int", "7"), ("v", "VIEW", 1, "k", "bigint", None)]
+
+
+def test_content_summary_depends_on_rows(spark):
+    from tablejobs.operators.compare import content_summary
+
+    a = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    b = a.withColumn("v", F.when(F.col("k") == 7, 0).otherwise(F.col("v"))).where("k <> 9")
+    row = content_summary({"x": (a, b, ["k"]), "y": (a, a, ["k"]), "z": (a.limit(0), a.limit(0), ["k"])}).first()
+    assert tuple(row) == (3, 2, 1, 1000, 999, 2, 1)
