@@ -19,8 +19,9 @@ gives the links.
 At scale: equal sets are one from the start, so a group of copies costs one set.
 Buckets are bounded by splitting, and buckets and components over a bound are
 worked in pairs of blocks. No pairs leave a task: it returns each set's number
-of links, and ties that span its components. Texts are shuffled once (more only
-for buckets that are split).
+of links, and ties that span its components. Only texts of sets that are tied to
+others, or in buckets that are split, are shuffled; a bitmap of their rows keeps
+the other texts out (beyond some ten million such rows, ever fewer of them).
 """
 
 from __future__ import annotations
@@ -264,15 +265,29 @@ def _ties(settings: Settings):
     return work
 
 
-def _blocks(rows: DataFrame, key: str, sizes: DataFrame, bound: int) -> DataFrame:
-    """Rows with (i, j, block): one group for each pair of a key's blocks of about
-    ``bound`` rows; keys within the bound have one block, (0, 0)."""
-    out = rows.join(sizes.select(key, F.ceil(F.col("n") / bound).cast("int").alias("_b")), key)
+def _blocks(rows: DataFrame, bound: int) -> DataFrame:
+    """Rows of groups of ``n`` rows with (i, j, block): one group for each pair of a
+    key's blocks of about ``bound`` rows; keys within the bound have one block, (0, 0)."""
+    out = rows.withColumn("_b", F.ceil(F.col("n") / bound).cast("int")).drop("n")
     out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int"))
     out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     return (out.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_b", "_o"))
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose key is none of ``wanted``'s, and with
+    all others: a bitmap of key hashes, 32 bits a key and 8 MB at most, goes to
+    every task, so a join with ``wanted`` need not shuffle all rows."""
+    bits = 1 << min(max((32 * wanted.count()).bit_length(), 15), 26)
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits)) + 1
+    maps = (wanted.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map")))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket")
+            .where(F.getbit(byte, bit % 8) == 1).select(*rows.columns))
+
+
 def _exact(settings: Settings):
     """Links within a group of sets, by whole sets."""
     def work(t: pa.Table) -> pa.Table:
@@ -330,41 +345,45 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
         F.count("*").alias("copies"), F.min(F.struct("id", "k")).alias("one"), F.min("id").alias("low"),
         F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch")), "sets")
 
-    def with_text(large: DataFrame) -> DataFrame:
-        """One text for each set of ``large``, before its columns."""
-        named = large.join(sets.select("node", "one.id", "one.k"), "node")
-        return (texts.join(named, texts["id"].eqNullSafe(named["id"]) & (texts["k"] == named["k"]))
-                .select("text", *large.columns).dropDuplicates(["node"]))
+    def with_text(named: DataFrame) -> DataFrame:
+        """One text for each set of ``named``, before its columns."""
+        same = ["_id", "_none", "_k"]  # plain equal keys, so that one shuffle serves the join and the next step
+        row = [F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), F.col("k").alias("_k")]
+        names = named.columns
+        named = materialize(named.join(sets.select("node", "one.id", "one.k"), "node").select(*row, *names), "named")
+        return (_likely(texts.select(*row, "text"), named, same).join(named, same)
+                .dropDuplicates([*same, "node"]).select("text", *names))
 
-    def bucket_sizes() -> DataFrame:
-        return materialize(found.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    def shared(paths: DataFrame) -> DataFrame:
+        """The rows of ``paths`` in buckets of more than one set, with the bucket's size."""
+        sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        return materialize(paths.join(sizes, "path"), "buckets")
 
     # Buckets of more than one set; large ones go a level deeper.
-    found = sets.select("node", F.explode("paths").alias("path")).distinct()
+    found = shared(sets.select("node", F.explode(F.array_distinct("paths")).alias("path")))
+    over = F.col("n") > settings.small
     buckets = None
     for level in range(1, settings.levels + 1):
-        sizes = bucket_sizes()
-        if level == 1 < settings.levels and not sizes.where(F.col("n") > settings.small).isEmpty():
-            large = found.join(sizes.where(F.col("n") > settings.small), "path").select("node").distinct()
-            more = with_text(large).mapInArrow(_more_runs(settings), "path long, node long").distinct()
-            found = found.unionByName(materialize(more, "more-runs"))
-            sizes = bucket_sizes()
-        deepest = level == settings.levels or sizes.where(F.col("n") > settings.small).isEmpty()
-        now = _blocks(found, "path", sizes if deepest else sizes.where(F.col("n") <= settings.small), settings.small)
+        if level == 1 < settings.levels and not found.where(over).isEmpty():
+            more = with_text(found.where(over).select("node").distinct()).mapInArrow(
+                _more_runs(settings), "path long, node long")
+            # No path of one run is one of another's, so buckets stay as they are.
+            found = found.unionByName(shared(materialize(more, "more-runs")))
+        deepest = level == settings.levels or found.where(over).isEmpty()
+        now = _blocks(found if deepest else found.where(~over), settings.small)
         buckets = now if buckets is None else buckets.unionByName(now)
         if deepest:
             break
-        large = (found.join(sizes.where(F.col("n") > settings.small), "path").groupBy("node")
-                 .agg(F.collect_list("path").alias("paths")))
-        found = materialize(
-            with_text(large).mapInArrow(_deeper(settings), "path long, node long").distinct(), "deeper")
+        large = found.where(over).groupBy("node").agg(F.collect_list("path").alias("paths"))
+        found = shared(materialize(with_text(large).mapInArrow(_deeper(settings), "path long, node long"), "deeper"))
     key = ["path", "i", "j"]
     ties = (buckets.join(sets.select("node", "sketch"), "node").select(*key, "node", "block", "sketch")
             .repartition(*key).sortWithinPartitions(*key).mapInArrow(_ties(settings), "a long, b long"))
     loose = materialize(connected(ties), "loose")
 
     # One text for each set that is tied to others; its whole set from here on.
-    tied = loose.join(sets.select("node", "copies", "one.id", "one.k"), "node")
+    tied = (loose.join(loose.groupBy("least").agg(F.count("*").alias("n")), "least")
+            .join(sets.select("node", "copies"), "node").select("node", "least", "copies", "n"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,14 +393,11 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(words.lo, n) for c in batch.columns[1:]]
                     + [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(tokens)))],
-                    ["node", "least", "copies", "tokens"])
+                    ["node", "least", "copies", "n", "tokens"])
 
     group = ["least", "i", "j"]
-    members = (texts.join(tied, texts["id"].eqNullSafe(tied["id"]) & (texts["k"] == tied["k"]))
-               .select("text", "node", "least", "copies").dropDuplicates(["node"])
-               .mapInArrow(whole, "node long, least long, copies long, tokens array<long>"))
-    sizes = loose.groupBy("least").agg(F.count("*").alias("n"))
-    compared = materialize(_blocks(members, "least", sizes, settings.block).groupBy(*group).applyInArrow(
+    members = with_text(tied).mapInArrow(whole, "node long, least long, copies long, n long, tokens array<long>")
+    compared = materialize(_blocks(members, settings.block).groupBy(*group).applyInArrow(
         _exact(settings), "node long, links long, top long"), "links")
 
     classes = connected(compared.select(F.col("node").alias("a"), F.col("top").alias("b")))

@@ -374,6 +374,35 @@ def test_sets_in_large_buckets_take_more_runs():
         assert new and not new & set(own)
 
 
+def test_picks_are_read_twice_whatever_the_buckets(spark, monkeypatch):
+    """Large buckets and their levels work on kept rows: the picks of all sets are
+    unfolded for the sizes and for the join with them, and never again."""
+    plans = []
+
+    def kept(df, label="stage"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(array_distinct(paths"))
+        old.append(df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(paths"))
+        return write(df, label)
+
+    old, write = [], similar.materialize
+    monkeypatch.setattr(similar, "materialize", kept)
+    near = [(i, " ".join(w if (i * 7 + j) % 61 else "zz" for j, w in enumerate(prose(60, 3).split()))) for i in range(30)]
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    got = similar.similar_documents(df, similar.Settings(small=2, levels=3, block=2, miss=1e-9))
+    assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect()), key=repr) == brute_links(near)
+    assert sum(plans) + sum(old) <= 2
+
+
+def test_likely_rows_hold_all_wanted_ones(spark):
+    keys = [(i * 7919, i % 3 == 0, i) for i in range(3000)] + [(0, True, 5)] * 2
+    frame = spark.createDataFrame(keys, "_id long, _none boolean, _k int").withColumn("more", F.lit("x"))
+    wanted = frame.where("_k % 50 = 5")
+    got = similar._likely(frame, wanted, ["_id", "_none", "_k"])
+    assert got.columns == frame.columns
+    assert got.where("_k % 50 = 5").count() == wanted.count() and got.count() < 400
+    assert similar._likely(frame, wanted.limit(0), ["_id", "_none", "_k"]).isEmpty()
+
+
 def test_keep_one_of_each_class(odd):
     kept = similar.keep_one(odd)
     assert kept.columns == odd.columns
