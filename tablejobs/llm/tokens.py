@@ -63,7 +63,8 @@ def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, np.ndarr
             for r, value in zip(rows.tolist(), rest[rows].astype(_WHOLE_BYTES[w])):
                 packed[r] = value.tobytes()
             continue
-        bits = ((rest[rows, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        wide = rest[rows].astype("<u2" if w < 16 else "<u4")  # the bits above the width are not kept
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").reshape(len(rows), BLOCK, -1)[:, :, :w]
         bits = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little") if w else np.zeros((len(rows), 0), np.uint8)
         for i, r in enumerate(rows.tolist()):
             packed[r] = bits[i].tobytes()
@@ -104,10 +105,9 @@ def unpack(payload: bytes, starts: np.ndarray, begin: int, end: int) -> np.ndarr
                 out[rows] = packed.view(_WHOLE_BYTES[w])
                 continue
             bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            value = np.zeros((len(rows), BLOCK), dtype=np.uint32)
-            for b in range(w):
-                value |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-            out[rows] = value
+            wide = np.zeros((len(rows), BLOCK, 16 if w < 16 else 32), dtype=np.uint8)
+            wide[:, :, :w] = bits
+            out[rows] = np.packbits(wide.reshape(len(rows), -1), axis=1, bitorder="little").view("<u2" if w < 16 else "<u4")
     for i in np.flatnonzero(outliers).tolist():
         n, at = int(outliers[i]), int(starts[i]) + 6 + BLOCK // 8 * int(widths[i])
         out[i, data[at:at + n]] = np.frombuffer(payload, dtype="<u4", count=n, offset=at + n)
@@ -129,22 +129,24 @@ class Encoder:
 
     The tokenizer splits a text into pieces and encodes each by itself, so the
     ids of a piece are kept, and a text costs one look-up a piece. New pieces
-    are encoded together. At most ``keep`` pieces are kept.
+    are encoded together. At most ``keep`` pieces are kept (or those of one
+    call), in two halves: the half used longest ago goes.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep = keep
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _joined(self, pieces: list[str], between: str) -> None:
-        """Ids of many letter pieces by one call; ``between`` keeps them apart."""
+        """Ids of many pieces by one call; ``between`` keeps them apart."""
         step = 2 if between else 1
         for i in range(0, len(pieces), 2000):
             some = pieces[i:i + 2000]
@@ -155,33 +157,28 @@ class Encoder:
             self.known.update(zip(some, (ids[a:b] for a, b in zip(begin, end))))
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.keep:
-            self.known.clear()
         spaced, bare = [], []
         for p in pieces:
-            if p.isalpha():
-                bare.append(p)
-            elif p[0] == " " and p[1:].isalpha():
-                spaced.append(p)
-            else:
+            if p.isspace():
                 self.known[p] = self._whole(p)
+            else:
+                (spaced if p[0] == " " else bare).append(p)
         self._joined(spaced, "")
         self._joined(bare, "\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
         split = [None if _OTHER.search(t) else _PIECES.findall(t) for t in texts]
-        pieces: set[str] = set()
-        for s in split:
-            pieces.update(s or ())
-        # All pieces of these texts are looked up below, so a cleared store
-        # must learn the known ones again.
-        new = pieces.difference(self.known)
-        if len(self.known) + len(new) > self.keep:
-            new = pieces
-        self._learn(new)
-        return [self._whole(t) if s is None else b"".join(map(self.known.__getitem__, s))
-                for t, s in zip(texts, split)]
+        found = [None if s is None else list(map(self.known.get, s)) for s in split]
+        new = {p for s, got in zip(split, found) if s for p, ids in zip(s, got) if ids is None}
+        if len(self.known) + len(new) > self.keep // 2:
+            self.known, self.older = {}, self.known
+        for p in new.intersection(self.older):
+            self.known[p] = self.older[p]
+        self._learn(new.difference(self.known))
+        known = self.known
+        return [self._whole(t) if s is None else b"".join([known[p] if ids is None else ids for p, ids in zip(s, got)])
+                for t, s, got in zip(texts, split, found)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

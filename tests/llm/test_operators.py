@@ -270,6 +270,21 @@ def test_token_files_match_the_tokenizer(spark, odd, none):
     assert tokens.encode_documents(none, path).count() == 0
 
 
+def test_frequent_pieces_outlast_a_full_store():
+    """Rare words fill the store; words of every text are encoded once all the same."""
+    import public_tokenizers
+
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), keep=200)
+    learnt, learn = collections.Counter(), coder._learn
+    coder._learn = lambda pieces: (learnt.update(pieces), learn(pieces))
+    for i in range(30):
+        text = "always there " + " ".join("r" + "".join(chr(97 + ord(c) - 48) for c in str(1000 * i + j)) for j in range(40))
+        ids = np.frombuffer(coder.encode([text])[0], "<u4").tolist()
+        assert ids == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(coder.known) + len(coder.older) <= 200
+    assert learnt["always"] == learnt[" there"] == 1
+
+
 # ---- 6 private data
 
 def brute_spans(text):
