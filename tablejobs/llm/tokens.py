@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -33,6 +34,7 @@ from tablejobs.session import scratch_path
 BLOCK = 128
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 16
+SLICE_BYTES = 1 << 22
 _WHOLE_BYTES = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 _SCHEMA = ("part int, seq int, first long, n_ids long, doc_ids array<long>, doc_tokens array<int>, "
@@ -117,28 +119,88 @@ def unpack(payload: bytes, starts: np.ndarray, begin: int, end: int) -> np.ndarr
 # ---- encoding
 
 # Characters up to U+024F whose class the tokenizer's split pattern and this one
-# agree on; other texts go to the tokenizer whole.
+# agree on; texts with other ones go to the tokenizer whole.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ɏ]")
+# What ``cut`` does on bytes, for one text.
 _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _class(char: str) -> int:
+    if _OTHER.match(char):
+        return _ODD
+    if char.isspace():
+        return _SPACE
+    return _LETTER if re.match(f"[{_LETTERS}]", char) else _DIGIT if re.match(f"[{_DIGITS}]", char) else _SIGN
+
+
+_ONE_BYTE = np.array([_class(chr(i)) for i in range(128)] + [_ODD] * 128, dtype=np.uint8)
+_TWO_BYTES = np.array([_class(chr(i)) for i in range(0x250)] + [_ODD] * (0x800 - 0x250), dtype=np.uint8)
+
+
+def cut(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the tokenizer's split pattern cuts UTF-8 bytes, as byte offsets
+    with the end. ``texts``: the first byte of each text, and the end. A text
+    with characters of other classes stays whole.
+
+    The pattern takes ``'s 't 're 've 'm 'll 'd`` where a piece starts, else a
+    run of letters, digits or signs with one blank before it, else blanks up
+    to the one before a word.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(1, dtype=np.int64)
+    kind = _ONE_BYTE[data]
+    lead = np.flatnonzero((data & 0xE0) == 0xC0)
+    two = _TWO_BYTES[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    kind[lead] = two
+    kind[lead + 1] = two
+    first = np.zeros(n + 1, dtype=bool)
+    first[texts] = True
+    last = first[1:]  # ends of texts
+    starts = first[:n].copy()
+    starts[1:] |= kind[1:] != kind[:-1]
+    # Before the last blank of several, if a word follows; not after a single ' '.
+    space = kind == _SPACE
+    before_word = np.flatnonzero(space[:-1] & ~space[1:] & ~last[:-1])
+    starts[before_word] = True
+    starts[before_word[data[before_word] == 0x20] + 1] = False
+    # An apostrophe by itself, not behind a ' ': with the letters of the pattern.
+    quote = np.flatnonzero((data[:-1] == 0x27) & starts[:-1] & ~last[:-1])
+    if len(quote):
+        one, after = data[quote + 1], data[np.minimum(quote + 2, n - 1)]
+        room = (quote + 2 < n) & ~last[np.minimum(quote + 1, n - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = room & (((after == 0x65) & ((one == 0x72) | (one == 0x76))) | ((one == 0x6C) & (after == 0x6C)))
+        starts[quote[short | long] + 1] = False
+        follow = np.concatenate([quote[short] + 2, quote[long] + 3])
+        starts[follow[follow < n]] = True
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        for t in np.unique(np.searchsorted(texts, odd, side="right") - 1).tolist():
+            starts[texts[t] + 1:texts[t + 1]] = False
+    return np.append(np.flatnonzero(starts), n)
 
 
 class Encoder:
     """Encodes with a byte-level BPE file, piece by piece.
 
     The tokenizer splits a text into pieces and encodes each by itself, so the
-    ids of a piece are kept, and a text costs one look-up a piece. New pieces
-    are encoded together. At most ``keep`` pieces are kept (or those of one
-    call), in two halves: the half used longest ago goes.
+    ids of a piece are kept. Many texts are cut at once on their bytes; Arrow
+    finds the different pieces among them, each costs one look-up, and the ids
+    are gathered by offsets. New pieces are encoded together. At most ``keep``
+    pieces are kept (or those of one call), in two halves: the half used
+    longest ago goes. Pieces over ``longest`` characters are not kept.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 256):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep = keep
+        self.keep, self.longest = keep, longest
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -156,29 +218,52 @@ class Encoder:
             begin, end = cut[step - 1::step][:len(some)].tolist(), cut[step::step].tolist()
             self.known.update(zip(some, (ids[a:b] for a, b in zip(begin, end))))
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         spaced, bare = [], []
         for p in pieces:
-            if p.isspace():
+            if p.isspace() or _OTHER.search(p):
                 self.known[p] = self._whole(p)
             else:
                 (spaced if p[0] == " " else bare).append(p)
         self._joined(spaced, "")
         self._joined(bare, "\n")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit bytes."""
-        split = [None if _OTHER.search(t) else _PIECES.findall(t) for t in texts]
-        found = [None if s is None else list(map(self.known.get, s)) for s in split]
-        new = {p for s, got in zip(split, found) if s for p, ids in zip(s, got) if ids is None}
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        new = [pieces[i] for i in missing if len(pieces[i]) <= self.longest]
         if len(self.known) + len(new) > self.keep // 2:
             self.known, self.older = {}, self.known
-        for p in new.intersection(self.older):
-            self.known[p] = self.older[p]
-        self._learn(new.difference(self.known))
-        known = self.known
-        return [self._whole(t) if s is None else b"".join([known[p] if ids is None else ids for p, ids in zip(s, got)])
-                for t, s, got in zip(texts, split, found)]
+        old = list(map(self.older.get, new))
+        self.known.update((p, ids) for p, ids in zip(new, old) if ids is not None)
+        self._learn([p for p, ids in zip(new, old) if ids is None])
+        for i in missing:
+            p = pieces[i]
+            found[i] = self.known[p] if len(p) <= self.longest else self._whole(p)
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+        _, offsets, content = column.buffers()
+        docs = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        data = np.frombuffer(content, dtype=np.uint8)[docs[0]:docs[-1]] if content else np.zeros(0, np.uint8)
+        docs = docs - docs[0]
+        bounds = cut(data, docs)
+        cuts = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        which = cuts.indices.to_numpy()
+        ids = self._ids(cuts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], n)
+        stream = np.frombuffer(b"".join(ids), dtype="<u4")[place].tobytes()
+        at = (4 * ends[np.searchsorted(bounds, docs)]).tolist()
+        return [stream[a:b] for a, b in zip(at, at[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -218,10 +303,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return pa.RecordBatch.from_pylist([row], _arrow())
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(1).slice(lo, 64).to_pylist()]
-                for doc, got in zip(batch.column(0).slice(lo, 64).to_pylist(), coder.encode(texts)):
-                    parts.append(got + end)
+            texts = batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+            # Slices of whole texts, up to SLICE_BYTES or one text.
+            slots = np.cumsum(sizes) // SLICE_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                got = coder.encode(texts.slice(lo, hi - lo))
+                for doc, doc_ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), got):
+                    parts.append(doc_ids + end)
                     ids.append(doc)
                     lengths.append(len(parts[-1]) // 4)
                     held += lengths[-1]

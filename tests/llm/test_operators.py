@@ -285,6 +285,37 @@ def test_frequent_pieces_outlast_a_full_store():
     assert learnt["always"] == learnt[" there"] == 1
 
 
+def test_pieces_are_cut_on_bytes_as_the_pattern_cuts():
+    r = random.Random(11)
+    alphabet = list("ab sst'''rvelmd  \n\t\r 019 .,!?#é ñßÀªµ²¼ɏ")
+    texts = ["", "'", "'s", "'sa", "''s", " 's", "\n's", "a'", "a'l", "a'll", "'re b", "a\n\n b", "x 漢 y", "a\u00ad b", ""]
+    texts += ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    data = [t.encode() for t in texts]
+    ends = np.cumsum([0, *map(len, data)])
+    cuts = tokens.cut(np.frombuffer(b"".join(data), np.uint8), ends).tolist()
+    whole = b"".join(data)
+    want = [p for t in texts for p in ([t] if tokens._OTHER.search(t) else tokens._PIECES.findall(t))]
+    assert [whole[a:b].decode() for a, b in zip(cuts, cuts[1:])] == want
+
+
+def test_a_piece_of_many_texts_costs_one_look_up():
+    import public_tokenizers
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["the cat and the dog and the cat"] * 500 + ["the dog"] * 500
+    first = coder.encode(texts)
+    coder.known = Counted(coder.known)
+    assert coder.encode(texts) == first
+    assert Counted.asked <= 6  # "the", " cat", " and", " the", " dog"
+
+
 # ---- 6 private data
 
 def brute_spans(text):
