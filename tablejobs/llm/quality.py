@@ -14,15 +14,26 @@ the distribution two-peaked.
 The model (Chen and Goodman's interpolated modified Kneser-Ney, order 3):
 counts of trigrams; continuation counts (distinct left words) for bigrams and
 unigrams; three discounts per order and language from the counts of counts.
-It is kept as a table keyed and sorted by 64-bit word hashes: one row per
-trigram type with its counts and the lower orders' probability, computed
-once by joins of type tables. Scoring joins each document's trigram types
-with that table by hash and sums the log-probabilities per document: a
-sort-merge join, so neither the model nor a document is ever held whole in
-one task, whatever the vocabulary. A document is scored leave-one-out: its
-own counts are taken from the trigram counts, its context counts and the
-counts of types by count before its trigrams are predicted, so that a text
-does not predict itself (lower orders keep them).
+Every trigram is counted. A document is scored leave-one-out: its own counts
+are taken from the trigram counts, its context counts and the counts of types
+by count before its trigrams are predicted, so that a text does not predict
+itself (lower orders keep them).
+
+At scale: trigrams about as many as words make one shuffle of all of them
+larger than the text, so words are dealt to passes by the hash of a trigram's
+middle word; each pass reads all texts, shuffles only its trigrams and frees
+its shuffle files. Within a pass and language, the middle word also names the
+cell (one group of Spark's): it holds all counts of the contexts (a, b) and
+bigrams (b, c). Very frequent middle words are spread over cells by their left
+word; their bigrams are then summed by right word, in key cells. The unigram
+counts live in key cells by right word too: a cell sends the right words it
+holds and gets their counts back. The first round of passes counts, the second
+scores, and the log-probabilities go back to the reading task's documents.
+Trigrams travel in packed blocks: words as 64-bit hashes, the 65,000 most
+frequent ones as 16-bit numbers (any list is right, it only saves bytes). One
+pair of words in one language is the largest group that stays together.
+
+Documents are known by the hash of their text and language (SHA-256).
 
 Defined cases: null texts are empty; an empty text has one predicted token
 (the end), so it gets a perplexity too; null languages form one language
@@ -34,172 +45,584 @@ few counts for the discount formula takes the discounts 0.5, 1, 1.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablejobs.session import materialize
+from tablejobs.session import freed_shuffles, materialize
+
+from . import words
 
 #: Fixed values of the dealt base rules.
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 0.5
-SYMBOLS = "[#*$%&|<>]"
-SPACE = "[\\x20\\x09-\\x0D]"
+SYMBOLS = b"#*$%&|<>"
 
-BOS, EOS = -0x0B05, -0x0E05  # hashes of the start and end marks
+BOS, EOS = np.uint64(2**64 - 0x0B05), np.uint64(2**64 - 0x0E05)  # hashes of the start and end marks
 DEFAULT_DISCOUNTS = (0.5, 1.0, 1.5)
+ESCAPE = 0xFFFF  # a word without a number
+HELD = 500_000  # trigrams a reading task holds
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+_ROW = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("src", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()),
+                  ("b", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64()), ("x3", pa.int64()), ("x4", pa.int64()),
+                  ("s", pa.int64())])
+_ROWS = ("lang string, key long, src long, n long, payload binary, b long, x1 long, x2 long, x3 long, x4 long, s long")
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
-
-
-def base_statistics(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
-    t = F.coalesce(text, F.lit(""))
-    w = words(text)
-    n = F.size(w)
-    lines = F.filter(F.split(t, "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    # Windows sorted by their words: a window is repeated when a neighbour in
-    # that order is equal; flags then go back to window order. Arrays are
-    # zipped with shifted copies, never indexed inside a lambda, so that each
-    # is computed once per text.
-    k = F.greatest(n - 2, F.lit(0))
-    grams = F.arrays_zip(F.transform(F.arrays_zip(F.slice(w, 1, k), F.slice(w, 2, k), F.slice(w, 3, k)),
-                                     lambda x: F.concat_ws(" ", *[x[f] for f in ("0", "1", "2")])).alias("g"),
-                         F.sequence(F.lit(0), k - 1).alias("p"))
-    ordered = F.array_sort(F.when(n >= 3, grams).otherwise(F.array().cast("array<struct<g:string,p:int>>")))
-    none = F.array(F.lit(None).cast("struct<g:string,p:int>"))
-    m = F.size(ordered)
-    sides = F.arrays_zip(ordered.alias("x"), F.concat(none, F.slice(ordered, 1, F.greatest(m - 1, F.lit(0)))).alias("b"),
-                         F.concat(F.slice(ordered, 2, F.greatest(m - 1, F.lit(0))), none).alias("a"))
-    flags = F.transform(F.array_sort(F.transform(F.filter(sides, lambda s: s["x"].isNotNull()), lambda s: F.struct(
-        s["x"]["p"].alias("p"),
-        (F.coalesce(s["b"]["g"] == s["x"]["g"], F.lit(False)) | F.coalesce(s["a"]["g"] == s["x"]["g"], F.lit(False))).alias("r")))),
-        lambda x: x["r"])
-    no = F.array(F.lit(False))
-    cover = F.arrays_zip(F.concat(flags, no, no).alias("i"), F.concat(no, flags, no).alias("j"),
-                         F.concat(no, no, flags).alias("k"))
-    covered = F.filter(cover, lambda x: x["i"] | x["j"] | x["k"])
-    return {
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.when(n > 0, F.size(covered)).otherwise(0).cast("long"),
-    }
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, _ROW)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > 100 * MAX_REPEAT_SHARE * n_words)
 
 
-def _trigrams(docs: DataFrame) -> DataFrame:
-    """One row per predicted token: (_q_r, _q_L, a, b, c) word hashes, with
-    two start marks before and an end mark after the words."""
-    hashes = F.transform(words(F.lower(F.col("_q_text"))), lambda x: F.xxhash64(x))
-    mark = lambda h: F.array(F.lit(h).cast("long"))
-    n = F.size(hashes) + 1
-    seq = F.concat(mark(BOS), mark(BOS), hashes, mark(EOS))
-    grams = F.arrays_zip(F.slice(seq, 1, n).alias("a"), F.slice(seq, 2, n).alias("b"), F.slice(seq, 3, n).alias("c"))
-    return docs.select("_q_r", "_q_L", F.explode(grams).alias("g")).select("_q_r", "_q_L", "g.a", "g.b", "g.c")
+# ---- words
+
+def _word_ids(w: words.Words) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, and the different words (bytes)."""
+    ends = np.concatenate([[0], np.cumsum(w.ends - w.starts)]).astype(np.int64)
+    data = np.ascontiguousarray(w.data[~words._SEPARATOR[w.data]])
+    found = pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def _hashes(different: pa.Array) -> np.ndarray:
+    if not len(different):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = different.buffers()
+    ends = np.frombuffer(offsets, np.int64)[:len(different) + 1]
+    return words.Words(0, 0, np.frombuffer(data, np.uint8)[:ends[-1]], ends[:-1], ends[1:], ends).hashes()
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Stable order by some numbers below 2**31, the first one first."""
+    top = max(int(k.max()) for k in keys).bit_length() if len(keys[0]) else 1
+    if top * len(keys) > 63:
+        return np.lexsort(keys[::-1])
+    packed = keys[0].astype(np.int64)
+    for k in keys[1:]:
+        packed = packed << top | k
+    return np.argsort(packed, kind="stable")
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start in sorted rows."""
+    n = len(keys[0])
+    new = np.ones(n, dtype=bool)
+    if n:
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _repeated(ids: np.ndarray, w: words.Words) -> np.ndarray:
+    """Per text, the words in 3-word windows found twice or more in it."""
+    n = len(ids)
+    covered = np.zeros(n, dtype=bool)
+    if n >= 3:
+        at = np.flatnonzero(w.left() >= 3)
+        text = np.repeat(np.arange(w.hi - w.lo), w.counts)[at]
+        keys = ids[at], ids[at + 1], ids[at + 2]
+        order = _order(*keys)  # equal windows in order of texts
+        starts = _runs(*[k[order] for k in keys], text[order])
+        twice = np.repeat(_lengths(starts, len(at)) > 1, _lengths(starts, len(at)))
+        for k in range(3):
+            covered[at[order[twice]] + k] = True
+    return np.diff(np.concatenate([[0], np.cumsum(covered)])[w.first])
+
+
+def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(flags)])[bounds])
+
+
+def text_statistics(texts: pa.Array) -> Iterator[tuple[words.Words, np.ndarray, pa.Array, list[np.ndarray]]]:
+    """Some texts at a time: their words, word numbers, different words and
+    the base statistics in the order of ``STATISTICS``."""
+    plain = texts.cast(pa.large_binary()).fill_null(b"")
+    symbol = np.zeros(256, dtype=bool)
+    symbol[list(SYMBOLS)] = True
+    for w in words.slices(texts):
+        some = plain.slice(w.lo, w.hi - w.lo).to_pylist()
+        bounds = np.cumsum([0, *map(len, some)])
+        ids, different = _word_ids(w)
+        lines = [[x for x in t.split(b"\n") if x.strip()] for t in some]
+        yield w, ids, different, [w.counts, _sums(~words._SEPARATOR[w.data] & ((w.data & 0xC0) != 0x80), bounds),
+                                  _sums(symbol[w.data], bounds), np.array([len(x) - len(set(x)) for x in lines]),
+                                  _repeated(ids, w)]
+
+
+# ---- packed blocks
+
+def _planes(array: np.ndarray) -> bytes:
+    return array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes()
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    raw = b"".join(map(_planes, arrays))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(payload: bytes, n: int, *types: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Arrays of ``n`` values, and the one of 64-bit values behind them."""
+    size = int.from_bytes(payload[:8], "little")
+    raw = np.frombuffer(pa.decompress(payload[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for t in types:
+        width = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).reshape(-1).view(t))
+        at += n * width
+    rest = (size - at) // 8
+    return out, np.ascontiguousarray(raw[at:].reshape(8, rest).T).reshape(-1).view(np.uint64)
+
+
+def pack_trigrams(codes: list[np.ndarray], hashes: list[np.ndarray], docs: np.ndarray) -> bytes:
+    escaped = np.concatenate([h[c == ESCAPE] for c, h in zip(codes, hashes)])
+    return pack(*codes, docs, escaped)
+
+
+def unpack_trigrams(payload: bytes, n: int, book: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    (*codes, docs), escaped = unpack(payload, n, "<u2", "<u2", "<u2", "<u4")
+    out, at = [], 0
+    for c in codes:
+        h = book[c]
+        rare = np.flatnonzero(c == ESCAPE)
+        h[rare] = escaped[at:at + len(rare)]
+        at += len(rare)
+        out.append(h)
+    return out, docs
+
+
+class Deal:
+    """How trigrams go to passes, cells and key cells. ``book``: the hashes of
+    the most frequent words by number; ``parts``: into how many each of the
+    first of them is spread as a middle word."""
+
+    def __init__(self, book: np.ndarray, parts: np.ndarray, cells: int, key_cells: int, passes: int):
+        self.book, self.parts, self.cells, self.key_cells, self.passes = book, parts, cells, key_cells, passes
+        self.sorted = np.argsort(book[:ESCAPE])
+        self.hot = np.sort(book[:len(parts)][parts > 1])
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        ranked = self.book[self.sorted]
+        at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
+        return np.where(ranked[at] == hashes, self.sorted[at], ESCAPE).astype(np.uint16)
+
+    def pass_of(self, b: np.ndarray) -> np.ndarray:
+        return (words.mix(b ^ words._M1) >> np.uint64(32)) % np.uint64(self.passes)
+
+    def cell(self, b: np.ndarray) -> np.ndarray:
+        return (words.mix(b + words._STEP) % np.uint64(self.cells)).astype(np.int64)
+
+    def key_cell(self, c: np.ndarray) -> np.ndarray:
+        return (words.mix(c ^ words._M2) % np.uint64(self.key_cells)).astype(np.int64)
+
+    def cells_of(self, b: np.ndarray, codes: np.ndarray, a: np.ndarray) -> np.ndarray:
+        out = self.cell(b)
+        spread = np.flatnonzero(codes < len(self.parts))
+        spread = spread[self.parts[codes[spread]] > 1]
+        if len(spread):
+            part = words.mix(a[spread]) % self.parts[codes[spread]].astype(np.uint64)
+            out[spread] = self.cell(words.mix(b[spread]) + part)
+        return out
+
+    def is_hot(self, b: np.ndarray) -> np.ndarray:
+        return np.isin(b, self.hot) if len(self.hot) else np.zeros(len(b), dtype=bool)
+
+
+def _read(deal, k: int):
+    """A reading task's trigrams of pass ``k`` (their middle words' pass), and
+    the keys of its documents. ``deal``: broadcast."""
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, task = deal.value, TaskContext.get().partitionId()
+        langs: dict[str, int] = {}
+        held, size, base = [], 0, 0
+
+        def flush():
+            cells, docs = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            codes = [np.concatenate([x[2][i] for x in held]) for i in range(3)]
+            hashes = [np.concatenate([x[3][i] for x in held]) for i in range(3)]
+            order = np.argsort(cells << 32 | codes[0].astype(np.int64) << 16 | codes[1], kind="stable")
+            cells, docs = cells[order], docs[order]
+            codes, hashes = [x[order] for x in codes], [x[order] for x in hashes]
+            names, starts = list(langs), _runs(cells)
+            rows = [{"lang": names[int(cells[lo]) // d.cells], "key": int(cells[lo]) % d.cells, "src": task, "n": int(hi - lo),
+                     "payload": pack_trigrams([x[lo:hi] for x in codes], [x[lo:hi] for x in hashes], docs[lo:hi])}
+                    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)])]
+            held.clear()
+            return pa.RecordBatch.from_pylist(rows, _ROW)
+
+        for batch in batches:
+            keys = b"".join(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_pylist([{"lang": "", "key": -1 - task, "src": task, "n": base, "payload": keys}], _ROW)
+            lang = np.array([langs.setdefault(x, len(langs)) for x in batch.column(1).to_pylist()], dtype=np.int64)
+            for w in words.slices(batch.column(2)):
+                ids, different = _word_ids(w)
+                hashes = np.concatenate([_hashes(different), [BOS, EOS]])
+                codes, mine = d.codes(hashes), d.pass_of(hashes) == k
+                texts = w.hi - w.lo
+                begins = w.first[:-1] + 3 * np.arange(texts)
+                line = np.full(len(ids) + 3 * texts, len(different) + 1)
+                line[begins] = line[begins + 1] = len(different)
+                line[np.arange(len(ids)) + np.repeat(begins + 2 - w.first[:-1], w.counts)] = ids
+                last = np.zeros(len(line), dtype=bool)
+                last[begins + w.counts + 1] = last[begins + w.counts + 2] = True
+                at = np.flatnonzero(mine[line[1:]] & ~last[:-1])
+                text = np.searchsorted(begins, at, side="right") - 1
+                bac = [line[at + 1], line[at], line[at + 2]]
+                h, c = [hashes[x] for x in bac], [codes[x] for x in bac]
+                held.append((lang[w.lo + text] * d.cells + d.cells_of(h[0], c[0], h[1]), (base + w.lo + text).astype(np.uint32), c, h))
+                size += len(at)
+                if size >= HELD:
+                    yield flush()
+                    size = 0
+            base += batch.num_rows
+        if size:
+            yield flush()
+    return blocks
 
 
-def _discounts(table: DataFrame, count: str, order: str) -> DataFrame:
-    """Per language, the three modified Kneser-Ney discounts of one order."""
-    n = [F.sum((F.col(count) == k).cast("long")) for k in (1, 2, 3, 4)]
-    c = table.groupBy("_q_L").agg(*[x.alias(f"n{k}") for k, x in zip((1, 2, 3, 4), n)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    ok = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+# ---- one cell
+
+class Cell:
+    """The trigrams of one cell, sorted: types, contexts, bigrams, and what is
+    asked of the key cells (``keys``: key cell, c, b or 0, count)."""
+
+    def __init__(self, table: pa.Table, d: Deal, with_docs: bool):
+        found = [(unpack_trigrams(p, n, d.book), src) for p, n, src in
+                 zip(table.column("payload").to_pylist(), table.column("n").to_pylist(), table.column("src").to_pylist())]
+        bac = np.concatenate([np.concatenate([x[0][i] for x, _ in found]) for i in range(3)])
+        ids = pa.array(bac).dictionary_encode()
+        self.hashes = ids.dictionary.to_numpy()
+        b, a, c = ids.indices.to_numpy().reshape(3, -1)
+        n = len(b)
+        order = _order(b, a, c)
+        sb, sa, sc = b[order], a[order], c[order]
+        types = _runs(sb, sa, sc)
+        self.c3 = _lengths(types, n)
+        tb, ta, tc = sb[types], sa[types], sc[types]
+        contexts = _runs(tb, ta)
+        self.context = np.repeat(np.arange(len(contexts)), _lengths(contexts, len(tb)))
+        self.s3 = np.add.reduceat(self.c3, contexts)
+        self.m = [np.add.reduceat(x.astype(np.int64), contexts) for x in (self.c3 == 1, self.c3 == 2, self.c3 >= 3)]
+        by = _order(tb, tc)
+        grams = _runs(tb[by], tc[by])
+        self.c2 = _lengths(grams, len(tb))
+        self.gram = np.empty(len(tb), dtype=np.int64)  # of each type
+        self.gram[by] = np.repeat(np.arange(len(grams)), self.c2)
+        self.gb, gc = tb[by][grams], tc[by][grams]
+        self.hot = d.is_hot(self.hashes)[self.gb]
+        # One question for each right word; for spread middle words, one for each bigram.
+        right, back, counts = np.unique(gc[~self.hot], return_inverse=True, return_counts=True)
+        qc = np.concatenate([self.hashes[right], self.hashes[gc[self.hot]]])
+        qb = np.concatenate([np.zeros(len(right), np.uint64), self.hashes[self.gb[self.hot]]])
+        qn = np.concatenate([counts, self.c2[self.hot]])
+        cell = d.key_cell(qc)
+        sort = np.lexsort((qb, qc, cell))
+        self.keys = cell[sort], qc[sort], qb[sort], qn[sort]
+        place = np.empty(len(sort), dtype=np.int64)
+        place[sort] = np.arange(len(sort))
+        self.question = np.empty(len(grams), dtype=np.int64)  # of each bigram
+        self.question[~self.hot] = place[:len(right)][back]
+        self.question[self.hot] = place[len(right):]
+        if with_docs:
+            doc = np.concatenate([x[1].astype(np.int64) | src << 32 for x, src in found])
+            # Stable orders keep a document's trigrams together.
+            type_of = np.repeat(np.arange(len(types)), self.c3)
+            own = _runs(type_of, doc[order])
+            self.own3, self.type, self.doc = _lengths(own, n), type_of[own], doc[order][own]
+            other = _order(b, a)
+            pairs = _runs(b[other], a[other], doc[other])
+            in_context = np.empty(n, dtype=np.int64)
+            in_context[other] = np.repeat(_lengths(pairs, n), _lengths(pairs, n))
+            self.own_context = in_context[order][own]
+
+    def ask(self, lang: str, src: int) -> list[dict]:
+        cell, c, b, n = self.keys
+        starts = _runs(cell)
+        return [{"lang": lang, "key": int(cell[lo]), "src": src, "n": int(hi - lo), "payload": pack(n[lo:hi].astype(np.uint32), c[lo:hi], b[lo:hi])}
+                for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)])]
+
+
+def _counts_of_counts(x: np.ndarray) -> dict:
+    return {f"x{k}": int((x == k).sum()) for k in (1, 2, 3, 4)}
+
+
+def _questions(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     out = []
-    for k, (num, den) in enumerate([("n2", "n1"), ("n3", "n2"), ("n4", "n3")], start=1):
-        d = k - (k + 1) * y * F.col(num) / F.col(den)
-        d = F.least(F.greatest(d, F.lit(0.0)), F.lit(float(k)))
-        out.append(F.when(ok, d).otherwise(DEFAULT_DISCOUNTS[k - 1]).alias(f"{order}{k}"))
-    return c.select("_q_L", *out)
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """For every trigram type of ``docs`` (``_q_r``, ``_q_L``, ``_q_text``):
-    its count, its context's count and counts of types by count, the
-    discounts and the interpolated bigram probability of its last two words."""
-    t3 = materialize(_trigrams(docs).groupBy("_q_L", "a", "b", "c").agg(F.count(F.lit(1)).alias("c3")), "lm-trigrams")
-
-    def context(table, keys, count, order, discounts):
-        d = F.when(F.col(count) == 1, F.col(f"{order}1")).when(F.col(count) == 2, F.col(f"{order}2")).otherwise(F.col(f"{order}3"))
-        return table.join(discounts, "_q_L").groupBy(*keys).agg(
-            F.sum(count).alias(f"s_{order}"), F.sum(d).alias(f"free_{order}"))
-
-    d3 = _discounts(t3, "c3", "d3")
-    t2 = t3.groupBy("_q_L", "b", "c").agg(F.count(F.lit(1)).alias("c2"))
-    d2 = _discounts(t2, "c2", "d2")
-    t1 = t2.groupBy("_q_L", "c").agg(F.count(F.lit(1)).alias("c1"))
-    d1 = _discounts(t1, "c1", "d1")
-    vocab = t1.join(d1, "_q_L").groupBy("_q_L").agg(
-        F.sum("c1").alias("s_d1"), F.count(F.lit(1)).alias("v"),
-        F.sum(F.when(F.col("c1") == 1, F.col("d11")).when(F.col("c1") == 2, F.col("d12")).otherwise(F.col("d13"))).alias("free_d1"))
-    dis1 = F.when(F.col("c1") == 1, F.col("d11")).when(F.col("c1") == 2, F.col("d12")).otherwise(F.col("d13"))
-    p1 = t1.join(d1, "_q_L").join(vocab, "_q_L").select(
-        "_q_L", "c", ((F.col("c1") - dis1) / F.col("s_d1") + F.col("free_d1") / F.col("s_d1") / F.col("v")).alias("p1"))
-    ctx2 = context(t2, ["_q_L", "b"], "c2", "d2", d2)
-    dis2 = F.when(F.col("c2") == 1, F.col("d21")).when(F.col("c2") == 2, F.col("d22")).otherwise(F.col("d23"))
-    p2 = t2.join(d2, "_q_L").join(ctx2, ["_q_L", "b"]).join(p1, ["_q_L", "c"]).select(
-        "_q_L", "b", "c", ((F.col("c2") - dis2) / F.col("s_d2") + F.col("free_d2") / F.col("s_d2") * F.col("p1")).alias("p2"))
-    n = lambda k: F.sum((F.col("c3") == k if k < 3 else F.col("c3") >= 3).cast("long"))
-    ctx3 = t3.groupBy("_q_L", "a", "b").agg(F.sum("c3").alias("s3"), n(1).alias("m1"), n(2).alias("m2"), n(3).alias("m3"))
-    model = t3.join(d3, "_q_L").join(ctx3, ["_q_L", "a", "b"]).join(p2, ["_q_L", "b", "c"]).select(
-        "_q_L", "a", "b", "c", "c3", "s3", "m1", "m2", "m3", "d31", "d32", "d33", "p2")
-    return materialize(model.sortWithinPartitions("_q_L", "a", "b", "c"), "lm-model")
-
-
-def _own(docs: DataFrame) -> DataFrame:
-    """Each document's trigram types: (_q_r, _q_L, a, b, c, own3, own_ctx),
-    the counts of the trigram and of its context in that document."""
-    by_context = _trigrams(docs).groupBy("_q_r", "_q_L", "a", "b").agg(
-        F.count(F.lit(1)).alias("own_ctx"), F.collect_list("c").alias("_q_cs"))
-    types = F.transform(F.array_distinct("_q_cs"), lambda x: F.struct(
-        x.alias("c"), F.size(F.filter("_q_cs", lambda y: y == x)).cast("long").alias("own3")))
-    return by_context.select("_q_r", "_q_L", "a", "b", "own_ctx", F.explode(types).alias("t")).select(
-        "_q_r", "_q_L", "a", "b", "t.c", "t.own3", "own_ctx")
-
-
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(_q_r, log_ppl) for each document row of ``docs``, each trigram
-    predicted with the document's own counts taken out of the model
-    (leave-one-out at the trigram order; lower orders keep them)."""
-    c = F.col("c3") - F.col("own3")
-    s = F.col("s3") - F.col("own_ctx")
-    bucket = lambda x: F.when(x == 1, 1).when(x == 2, 2).when(x >= 3, 3)
-    disc = lambda x: F.when(x == 1, F.col("d31")).when(x == 2, F.col("d32")).otherwise(F.col("d33"))
-    m = {k: F.col(f"m{k}") - (bucket(F.col("c3")) == k).cast("long") + F.coalesce((bucket(c) == k).cast("long"), F.lit(0))
-         for k in (1, 2, 3)}
-    free = F.col("d31") * m[1] + F.col("d32") * m[2] + F.col("d33") * m[3]
-    p = F.when(s <= 0, F.col("p2")).otherwise(
-        F.when(c > 0, (c - disc(c)) / s).otherwise(0.0) + free / s * F.col("p2"))
-    p = F.when(p > 0, p).otherwise(F.col("p2"))
-    return (_own(docs).join(model, ["_q_L", "a", "b", "c"])
-            .groupBy("_q_r").agg((-F.sum(F.col("own3") * F.log(p)) / F.sum("own3")).alias("log_ppl")))
-
-
-def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = 3.0) -> DataFrame:
+    for p, n in zip(table.column("payload").to_pylist(), table.column("n").to_pylist()):
+        (count, c, b), _ = unpack(p, n, "<u4", "<u8", "<u8")
+        out.append((c, b, count.astype(np.int64)))
+    return out
+
+
+def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    starts = _runs(*keys)
+    return [k[starts] for k in keys], np.add.reduceat(counts[order], starts)
+
+
+def _key_of(table: pa.Table) -> tuple[str, int]:
+    return table.column("lang")[0].as_py(), table.column("key")[0].as_py()
+
+
+def _count(deal):
+    """First round, a cell: its questions, and counts of counts."""
+    def cell(table: pa.Table) -> pa.Table:
+        lang, key = _key_of(table)
+        if key < 0:
+            return _table([])
+        found = Cell(table, deal.value, False)
+        return _table(found.ask(lang, key) + [{"lang": lang, "key": -3, **_counts_of_counts(found.c3)},
+                                              {"lang": lang, "key": -2, **_counts_of_counts(found.c2[~found.hot])}])
+    return cell
+
+
+def _merge_pass(table: pa.Table) -> pa.Table:
+    """First round, a key cell of one pass: how many middle words are left of
+    each word; spread bigrams counted, and summed by middle word."""
+    lang, key = _key_of(table)
+    if key < 0:
+        return table
+    c, b, n = (np.concatenate(x) for x in zip(*_questions(table)))
+    rows, spread = [], b != 0
+    if spread.any():
+        (hc, hb), c2 = _summed([c[spread], b[spread]], n[spread])
+        rows.append({"lang": lang, "key": -2, **_counts_of_counts(c2)})
+        order = np.argsort(hb, kind="stable")
+        hb, c2s = hb[order], c2[order]
+        starts = _runs(hb)
+        sums = [np.add.reduceat(x.astype(np.int64), starts) for x in (c2s, c2s == 1, c2s == 2, c2s >= 3)]
+        rows += [{"lang": lang, "key": -4, "b": h, "s": s, "x1": x, "x2": y, "x3": z} for h, s, x, y, z in
+                 zip(hb[starts].view(np.int64).tolist(), *[x.tolist() for x in sums])]
+        c, n = np.concatenate([c[~spread], hc]), np.concatenate([n[~spread], np.ones(len(hc), np.int64)])
+    (c,), n = _summed([c], n)
+    return _table([*rows, {"lang": lang, "key": key, "n": len(c), "payload": pack(n.astype(np.uint32), c)}])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """A key cell of all passes: the unigrams' counts."""
+    lang, key = _key_of(table)
+    found = [unpack(p, n, "<u4") for p, n in zip(table.column("payload").to_pylist(), table.column("n").to_pylist())]
+    (c,), n = _summed([np.concatenate([x[1] for x in found])], np.concatenate([x[0][0] for x in found]).astype(np.int64))
+    return _table([{"lang": lang, "key": key, "n": len(c), "payload": pack(n.astype(np.uint32), c)},
+                   {"lang": lang, "key": -1, "n": len(c), "s": int(n.sum()), **_counts_of_counts(n)}])
+
+
+def _answer(asked: pa.Table, unigrams: pa.Table) -> pa.Table:
+    """Second round, a key cell: c1 and, of spread bigrams, c2 for each question."""
+    if not asked.num_rows:
+        return _table([])
+    lang, key = _key_of(asked)
+    (c1,), c = unpack(unigrams.column("payload")[0].as_py(), unigrams.column("n")[0].as_py(), "<u4")
+    questions = _questions(asked)
+    qc, qb, qn = (np.concatenate(x) for x in zip(*questions))
+    c2 = np.zeros(len(qc), np.uint32)
+    spread = np.flatnonzero(qb != 0)
+    if len(spread):
+        order = spread[np.lexsort((qb[spread], qc[spread]))]
+        starts = _runs(qc[order], qb[order])
+        c2[order] = np.repeat(np.add.reduceat(qn[order], starts), _lengths(starts, len(order)))
+    first = c1[np.searchsorted(c, qc)]
+    ends = np.cumsum([len(x[0]) for x in questions]).tolist()
+    return _table([{"lang": lang, "key": src, "src": key, "n": hi - lo, "payload": pack(first[lo:hi], c2[lo:hi])}
+                   for src, lo, hi in zip(asked.column("src").to_pylist(), [0, *ends], ends)])
+
+
+def _discounts(n: list[int]) -> list[float]:
+    """The three modified Kneser-Ney discounts of one order."""
+    if min(n) <= 0:
+        return list(DEFAULT_DISCOUNTS)
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3)]
+
+
+def _by_count(x: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.where(x == 1, d[0], np.where(x == 2, d[1], d[2]))
+
+
+def _score(deal, model):
+    """Second round, a cell with the answers to its questions: each document's
+    log-probability of each of its trigram types, leave-one-out."""
+    def cell(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table([])
+        lang, key = _key_of(table)
+        if key < 0:  # keys of documents
+            return table.set_column(1, "key", table.column("src"))
+        t, m = Cell(table, deal.value, True), model.value[lang]
+        got = sorted(zip(answers.column("src").to_pylist(), answers.column("n").to_pylist(), answers.column("payload").to_pylist()))
+        c1, c2 = (np.concatenate(x).astype(np.int64) for x in zip(*[unpack(p, n, "<u4", "<u4")[0] for _, n, p in got]))
+        c1 = c1[t.question]
+        c2 = np.where(t.hot, c2[t.question], t.c2)
+        p1 = (c1 - _by_count(c1, m["d1"])) / m["s1"] + m["free1"] / m["s1"] / m["v"]
+        left = t.gb  # bigrams are sorted by it
+        starts = _runs(left)
+        size = _lengths(starts, len(left))
+        s2 = np.add.reduceat(c2, starts).astype(np.float64)
+        free2 = np.add.reduceat(_by_count(c2, m["d2"]), starts)
+        for i in np.flatnonzero(t.hot[starts]).tolist():
+            s, *x = m["spread"][int(t.hashes[left[starts[i]]].view(np.int64))]
+            s2[i], free2[i] = s, sum(u * v for u, v in zip(m["d2"], x))
+        s2, free2 = np.repeat(s2, size), np.repeat(free2, size)
+        p2 = ((c2 - _by_count(c2, m["d2"])) / s2 + free2 / s2 * p1)[t.gram][t.type]
+        c3, context = t.c3[t.type], t.context[t.type]
+        c, s = c3 - t.own3, t.s3[context] - t.own_context
+        free = sum(m["d3"][k - 1] * (t.m[k - 1][context] - (np.minimum(c3, 3) == k) + (np.minimum(c, 3) == k)) for k in (1, 2, 3))
+        some = np.maximum(s, 1)
+        p = np.where(s <= 0, p2, np.where(c > 0, (c - _by_count(c, m["d3"])) / some, 0.0) + free / some * p2)
+        value = t.own3 * np.log(np.where(p > 0, p, p2))
+        order = np.argsort(t.doc, kind="stable")
+        doc, value = t.doc[order], value[order]
+        starts = _runs(doc >> 32)
+        return _table([{"key": int(doc[lo] >> 32), "n": -int(hi - lo), "payload": pack((doc[lo:hi] & 0xFFFFFFFF).astype(np.uint32), value[lo:hi])}
+                       for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)])])
+    return cell
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """The documents of one reading task: their sums of one pass."""
+    keys, sums = {}, []
+    for n, payload in zip(table.column("n").to_pylist(), table.column("payload").to_pylist()):
+        if n < 0:
+            (doc,), value = unpack(payload, -n, "<u4")
+            sums.append((doc, value.view(np.float64)))
+        else:
+            keys[n] = payload
+    every = [x[i:i + 32] for _, x in sorted(keys.items()) for i in range(0, len(x), 32)]
+    total = np.zeros(len(every))
+    for doc, value in sums:
+        total += np.bincount(doc, value, len(every))
+    return pa.table({"_q_k": pa.array(every, pa.binary()), "_q_s": total})
+
+
+# ---- all texts
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base statistics of every text; a task's most frequent words."""
+    names = ["_q_k", "_q_L", *STATISTICS, "top"]
+    hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        found = []
+        for w, ids, different, values in text_statistics(batch.column(2)):
+            found.append(values)
+            lower = pa.array([x.decode("utf-8", "replace").lower().encode() for x in different.to_pylist()], pa.large_binary())
+            (hashes,), counts = _summed([np.concatenate([hashes, _hashes(lower)])],
+                                        np.concatenate([counts, np.bincount(ids, minlength=len(different))])) if len(ids) else ([hashes], counts)
+            if len(hashes) > 8 * ESCAPE:
+                keep = np.sort(np.argsort(-counts, kind="stable")[:4 * ESCAPE])
+                hashes, counts = hashes[keep], counts[keep]
+        stats = [pa.array(np.concatenate(x).astype(np.int64)) if found else pa.array([], pa.int64()) for x in zip(*found)] if found else []
+        if found:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *stats, pa.nulls(batch.num_rows, pa.binary())], names)
+    top = np.argsort(-counts, kind="stable")[:ESCAPE // 2]
+    if len(top):
+        row = [pa.array([pack(hashes[top], counts[top])], pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.string()),
+                                          *[pa.array([len(top) if x == "n_words" else None], pa.int64()) for x in STATISTICS], *row], names)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            both, _ = unpack(payload, n, "<i8", "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["h", "n"])
+
+
+def _numbers(survey: DataFrame, total: int, cell_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words' hashes by number, and the parts of each."""
+    top = (survey.where(F.col("top").isNotNull()).select("top", "n_words").mapInArrow(_frequent, "h long, n long")
+           .groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ESCAPE - 2).toArrow())
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    # The marks stand where words of their number do: one of each a text.
+    book = np.concatenate([h, [BOS, EOS]])
+    parts = np.concatenate([np.maximum(n // (2 * cell_words), 1), [1, 1]])
+    return np.concatenate([book, np.zeros(ESCAPE + 1 - len(book), np.uint64)]), parts
+
+
+def perplexity(rows: DataFrame, survey: DataFrame, passes: tuple[int, int], cell_words: int) -> DataFrame:
+    """(_q_k, _q_s): each document's key and sum of log-probabilities, from
+    ``rows`` (_q_k, _q_L, lower-cased text)."""
+    spark = rows.sparkSession
+    total = survey.where("top IS NULL").agg(F.coalesce(F.sum(F.col("n_words") + 1), F.lit(0))).first()[0]
+    book, parts = _numbers(survey, total, cell_words)
+    key_cells = max(1, -(-total // cell_words))
+
+    def deal(count):
+        return spark.sparkContext.broadcast(Deal(book, parts, max(1, -(-total // (count * cell_words))), key_cells, count))
+
+    first, seen = deal(passes[0]), None
+    for k in range(passes[0]):
+        done = materialize(rows.mapInArrow(_read(first, k), _ROWS).groupBy("lang", "key").applyInArrow(_count(first), _ROWS)
+                           .groupBy("lang", "key").applyInArrow(_merge_pass, _ROWS), "lm-counts")
+        seen = done if seen is None else seen.unionByName(done)
+    unigrams = materialize(seen.where("key >= 0").groupBy("lang", "key").applyInArrow(_merge, _ROWS), "lm-unigrams")
+    sums = [F.sum(x).alias(x) for x in ("n", "s", "x1", "x2", "x3", "x4")]
+    model: dict[str, dict] = {}
+    for r in seen.where("key < 0").unionByName(unigrams.where("key < 0")).groupBy("lang", "key", "b").agg(*sums).collect():
+        m = model.setdefault(r["lang"], {"spread": {}})
+        n = [r["x1"], r["x2"], r["x3"], r["x4"]]
+        if r["key"] == -4:
+            m["spread"][r["b"]] = (r["s"], *n[:3])
+        else:
+            m[f"d{-r['key']}"] = _discounts(n)
+        if r["key"] == -1:
+            m["s1"], m["v"] = r["s"], r["n"]
+            m["free1"] = sum(d * x for d, x in zip(m["d1"], (n[0], n[1], r["n"] - n[0] - n[1])))
+    second, model = deal(passes[1]), spark.sparkContext.broadcast(model)
+    unigrams, out = unigrams.where("key >= 0"), None
+    by = ("lang", "key")
+
+    def ask(table: pa.Table) -> pa.Table:
+        lang, key = _key_of(table)
+        return _table(Cell(table, second.value, False).ask(lang, key) if key >= 0 else [])
+
+    for k in range(passes[1]):
+        trigrams = rows.mapInArrow(_read(second, k), _ROWS)
+        asked = trigrams.groupBy(*by).applyInArrow(ask, _ROWS)
+        answers = asked.groupBy(*by).cogroup(unigrams.groupBy(*by)).applyInArrow(_answer, _ROWS)
+        done = materialize(trigrams.groupBy(*by).cogroup(answers.groupBy(*by)).applyInArrow(_score(second, model), _ROWS)
+                           .groupBy("key").applyInArrow(_total, "_q_k binary, _q_s double")
+                           .groupBy("_q_k").agg(F.max("_q_s").alias("_q_s")), "lm-sums")
+        out = done if out is None else out.unionByName(done)
+    return out.groupBy("_q_k").agg(F.sum("_q_s").alias("_q_s"))
+
+
+def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = 3.0,
+                  passes: tuple[int, int] = (2, 4), cell_words: int = 500_000) -> DataFrame:
     """``docs`` with the base statistics, ``base_failed``, ``log_ppl``, the
-    band of its language (``low``, ``high``) and ``kept``."""
-    stats = base_statistics(F.col(f"`{text}`"))
-    outputs = [*stats, "base_failed", "log_ppl", "low", "high", "kept"]
+    band of its language (``low``, ``high``) and ``kept``.
+
+    ``passes``: how often all texts are read to count and to score; more need
+    less disk. ``cell_words``: about how many words a group of Spark's holds.
+    """
+    outputs = [*STATISTICS, "base_failed", "log_ppl", "low", "high", "kept"]
     rest = [c for c in docs.columns if c not in outputs]
     inner = {c: f"_q_c{i}" for i, c in enumerate(rest)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in rest],
-                       *[v.alias(k) for k, v in stats.items()],
-                       F.col(f"`{text}`").alias("_q_text"),
-                       F.coalesce(F.col(f"`{lang}`"), F.lit("\x00")).alias("_q_L"))
-    # Ids of the scan's rows: the same files give the same ids in every branch.
-    rows = (rows.withColumn("_q_r", F.monotonically_increasing_id())
-            .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
-    model = train(rows)
-    scored = rows.join(score(rows, model), "_q_r", "left")
+    t, name = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.col(f"`{lang}`"), F.lit("\x00"))
+    key = F.unhex(F.sha2(F.concat(F.length(name).cast("string"), F.lit(":"), name, t), 256)).alias("_q_k")
+    columns = "_q_k binary, _q_L string, " + ", ".join(f"{x} long" for x in STATISTICS) + ", top binary"
+    with freed_shuffles(docs.sparkSession):
+        survey = materialize(docs.select(key, name.alias("_q_L"), t.alias("_q_text")).mapInArrow(_survey, columns), "quality-base")
+        sums = perplexity(docs.select(key, name.alias("_q_L"), F.lower(t).alias("_q_text")), survey, passes, cell_words)
+        scored = materialize(survey.where("top IS NULL").drop("top").join(sums, "_q_k", "left")
+                             .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+                             .withColumn("log_ppl", -F.col("_q_s") / (F.col("n_words") + 1)), "quality-scored")
     fit = scored.where(~F.col("base_failed")).groupBy("_q_L").agg(
         F.percentile_approx("log_ppl", [0.25, 0.75], 10000).alias("_q_quartiles"))
     q1, q3 = F.col("_q_quartiles")[0], F.col("_q_quartiles")[1]
     bands = fit.select("_q_L", (q1 - width * (q3 - q1)).alias("low"), (q3 + width * (q3 - q1)).alias("high"))
-    out = scored.join(bands, "_q_L", "left")
     kept = (~F.col("base_failed")) & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
-    return out.select(*[F.col(inner[c]).alias(c) for c in rest], *stats, "base_failed", "log_ppl", "low", "high",
-                      kept.alias("kept"))
+    judged = scored.dropDuplicates(["_q_k"]).join(bands, "_q_L", "left").withColumn("kept", kept)
+    rows = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in rest], key)
+    return rows.join(judged, "_q_k").select(*[F.col(inner[c]).alias(c) for c in rest], *outputs)

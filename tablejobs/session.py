@@ -149,6 +149,19 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Inside, the shuffle files of a query go when it ends, not when the
+    driver collects its garbage: for jobs in passes that each write a result."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """Driver-side facts (statistics, schema rows) as a local relation, whose
     size the optimizer knows when it picks a join."""

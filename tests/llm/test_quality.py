@@ -4,12 +4,13 @@ import os
 import random
 import sys
 
+import numpy as np
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import quality_brute  # noqa: E402
-from tablejobs.llm import quality, queries  # noqa: E402
+from tablejobs.llm import quality, queries, words  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +62,32 @@ def test_gibberish_is_rejected_among_plain_prose(spark):
     out = {x.doc_id: x for x in quality.judge_quality(spark.createDataFrame(rows, DOCS)).collect()}
     assert not out[99]["kept"] and out[99]["log_ppl"] > out[99]["high"]
     assert sum(out[i]["kept"] for i in range(60)) >= 57
+
+
+def test_perplexity_in_passes_and_small_cells_matches_brute_force(spark):
+    """Spread middle words, several passes, cells and flushes: the same numbers."""
+    rows = [(i, t, lang, "s", None) for i, t, lang in odd_rows() if t is None or len(t) < 5000]
+    want = quality_brute.log_perplexities([(t, lang) for _, t, lang, _, _ in rows])
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for passes, cell_words in (((2, 3), 40), ((1, 1), 500_000)):
+        out = quality.judge_quality(df, passes=passes, cell_words=cell_words).collect()
+        got = sorted((r["doc_id"], r["log_ppl"]) for r in out)
+        assert len(got) == len(rows)
+        for (i, x), (j, y) in zip(got, sorted((r[0], v) for r, v in zip(rows, want))):
+            assert i == j and abs(x - y) < 1e-9
+
+
+def test_blocks_of_trigrams_are_small_and_read_back():
+    r = np.random.default_rng(5)
+    rank = np.minimum(r.zipf(1.2, 30_000), 40_000) - 1
+    book = np.concatenate([words.mix(np.arange(1, 65536, dtype=np.uint64)), np.zeros(1, np.uint64)])
+    deal = quality.Deal(book, np.ones(10, np.int64), 1, 1, 1)
+    hashes = [book[np.roll(rank, k)] ^ np.uint64(0) for k in (1, 0, 2)]
+    hashes[2][::50] += np.uint64(12345)  # words without a number
+    codes = [deal.codes(h) for h in hashes]
+    docs = np.arange(30_000, dtype=np.uint32) // 400
+    order = np.argsort(codes[0], kind="stable")
+    block = quality.pack_trigrams([c[order] for c in codes], [h[order] for h in hashes], docs[order])
+    back, back_docs = quality.unpack_trigrams(block, 30_000, book)
+    assert all((x == h[order]).all() for x, h in zip(back, hashes)) and (back_docs == docs[order]).all()
+    assert len(block) < 8 * 30_000  # less than one bare hash each
