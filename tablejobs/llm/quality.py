@@ -65,6 +65,7 @@ BOS, EOS = np.uint64(2**64 - 0x0B05), np.uint64(2**64 - 0x0E05)  # hashes of the
 DEFAULT_DISCOUNTS = (0.5, 1.0, 1.5)
 ESCAPE = 0xFFFF  # a word without a number
 HELD = 500_000  # trigrams a reading task holds
+SLICE_BYTES = 1 << 20  # of texts at a time
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _ROW = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("src", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()),
@@ -151,7 +152,7 @@ def text_statistics(texts: pa.Array) -> Iterator[tuple[words.Words, np.ndarray,
     plain = texts.cast(pa.large_binary()).fill_null(b"")
     symbol = np.zeros(256, dtype=bool)
     symbol[list(SYMBOLS)] = True
-    for w in words.slices(texts):
+    for w in words.slices(texts, limit=SLICE_BYTES):
         some = plain.slice(w.lo, w.hi - w.lo).to_pylist()
         bounds = np.cumsum([0, *map(len, some)])
         ids, different = _word_ids(w)
@@ -210,12 +211,12 @@ class Deal:
     def __init__(self, book: np.ndarray, parts: np.ndarray, cells: int, key_cells: int, passes: int):
         self.book, self.parts, self.cells, self.key_cells, self.passes = book, parts, cells, key_cells, passes
         self.sorted = np.argsort(book[:ESCAPE])
+        self.ranked = book[self.sorted]
         self.hot = np.sort(book[:len(parts)][parts > 1])
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
-        ranked = self.book[self.sorted]
-        at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
-        return np.where(ranked[at] == hashes, self.sorted[at], ESCAPE).astype(np.uint16)
+        at = np.minimum(np.searchsorted(self.ranked, hashes), len(self.ranked) - 1)
+        return np.where(self.ranked[at] == hashes, self.sorted[at], ESCAPE).astype(np.uint16)
 
     def pass_of(self, b: np.ndarray) -> np.ndarray:
         return (words.mix(b ^ words._M1) >> np.uint64(32)) % np.uint64(self.passes)
@@ -239,9 +240,9 @@ class Deal:
         return np.isin(b, self.hot) if len(self.hot) else np.zeros(len(b), dtype=bool)
 
 
-def _read(deal, k: int):
-    """A reading task's trigrams of pass ``k`` (their middle words' pass), and
-    the keys of its documents. ``deal``: broadcast."""
+def _read(deal, k: int, with_docs: bool):
+    """A reading task's trigrams of pass ``k`` (their middle words' pass) and,
+    if asked for, their documents and the keys of these. ``deal``: broadcast."""
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, task = deal.value, TaskContext.get().partitionId()
         langs: dict[str, int] = {}
@@ -262,25 +263,29 @@ def _read(deal, k: int):
             return pa.RecordBatch.from_pylist(rows, _ROW)
 
         for batch in batches:
-            keys = b"".join(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_pylist([{"lang": "", "key": -1 - task, "src": task, "n": base, "payload": keys}], _ROW)
+            if with_docs:
+                keys = b"".join(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_pylist([{"lang": "", "key": -1 - task, "src": task, "n": base, "payload": keys}], _ROW)
             lang = np.array([langs.setdefault(x, len(langs)) for x in batch.column(1).to_pylist()], dtype=np.int64)
-            for w in words.slices(batch.column(2)):
+            for w in words.slices(batch.column(2), limit=SLICE_BYTES):
                 ids, different = _word_ids(w)
                 hashes = np.concatenate([_hashes(different), [BOS, EOS]])
                 codes, mine = d.codes(hashes), d.pass_of(hashes) == k
                 texts = w.hi - w.lo
                 begins = w.first[:-1] + 3 * np.arange(texts)
-                line = np.full(len(ids) + 3 * texts, len(different) + 1)
+                line = np.full(len(ids) + 3 * texts, len(different) + 1, dtype=np.int32)
                 line[begins] = line[begins + 1] = len(different)
-                line[np.arange(len(ids)) + np.repeat(begins + 2 - w.first[:-1], w.counts)] = ids
+                word = np.ones(len(line), dtype=bool)
+                word[begins] = word[begins + 1] = False
                 last = np.zeros(len(line), dtype=bool)
                 last[begins + w.counts + 1] = last[begins + w.counts + 2] = True
+                word[begins + w.counts + 2] = False
+                line[word] = ids
                 at = np.flatnonzero(mine[line[1:]] & ~last[:-1])
-                text = np.searchsorted(begins, at, side="right") - 1
+                text = np.repeat(np.arange(texts), np.diff(np.searchsorted(at, np.append(begins, len(line)))))
                 bac = [line[at + 1], line[at], line[at + 2]]
                 h, c = [hashes[x] for x in bac], [codes[x] for x in bac]
-                held.append((lang[w.lo + text] * d.cells + d.cells_of(h[0], c[0], h[1]), (base + w.lo + text).astype(np.uint32), c, h))
+                held.append((lang[w.lo + text] * d.cells + d.cells_of(h[0], c[0], h[1]), (base + w.lo + text if with_docs else 0 * text).astype(np.uint32), c, h))
                 size += len(at)
                 if size >= HELD:
                     yield flush()
@@ -509,23 +514,33 @@ def _total(table: pa.Table) -> pa.Table:
 # ---- all texts
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base statistics of every text; a task's most frequent words."""
+    """Base statistics of every text; a task's most frequent words (as they
+    are written: the list need not be right)."""
     names = ["_q_k", "_q_L", *STATISTICS, "top"]
     hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    more, size = [], 0
+
+    def summed():
+        if not more:
+            return hashes, counts
+        (h,), n = _summed([np.concatenate([hashes, *[x for x, _ in more]])], np.concatenate([counts, *[x for _, x in more]]))
+        more.clear()
+        keep = np.argsort(-n, kind="stable")[:4 * ESCAPE]
+        return h[keep], n[keep]
+
     for batch in batches:
         found = []
         for w, ids, different, values in text_statistics(batch.column(2)):
             found.append(values)
-            lower = pa.array([x.decode("utf-8", "replace").lower().encode() for x in different.to_pylist()], pa.large_binary())
-            (hashes,), counts = _summed([np.concatenate([hashes, _hashes(lower)])],
-                                        np.concatenate([counts, np.bincount(ids, minlength=len(different))])) if len(ids) else ([hashes], counts)
-            if len(hashes) > 8 * ESCAPE:
-                keep = np.sort(np.argsort(-counts, kind="stable")[:4 * ESCAPE])
-                hashes, counts = hashes[keep], counts[keep]
+            more.append((_hashes(different), np.bincount(ids, minlength=len(different))))
+            size += len(different)
+            if size > 16 * ESCAPE:
+                (hashes, counts), size = summed(), 0
         stats = [pa.array(np.concatenate(x).astype(np.int64)) if found else pa.array([], pa.int64()) for x in zip(*found)] if found else []
         if found:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *stats, pa.nulls(batch.num_rows, pa.binary())], names)
-    top = np.argsort(-counts, kind="stable")[:ESCAPE // 2]
+    hashes, counts = summed()
+    top = np.arange(min(len(counts), ESCAPE // 2))  # the most frequent come first
     if len(top):
         row = [pa.array([pack(hashes[top], counts[top])], pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.string()),
@@ -563,7 +578,7 @@ def perplexity(rows: DataFrame, survey: DataFrame, passes: tuple[int, int], cell
 
     first, seen = deal(passes[0]), None
     for k in range(passes[0]):
-        done = materialize(rows.mapInArrow(_read(first, k), _ROWS).groupBy("lang", "key").applyInArrow(_count(first), _ROWS)
+        done = materialize(rows.mapInArrow(_read(first, k, False), _ROWS).groupBy("lang", "key").applyInArrow(_count(first), _ROWS)
                            .groupBy("lang", "key").applyInArrow(_merge_pass, _ROWS), "lm-counts")
         seen = done if seen is None else seen.unionByName(done)
     unigrams = materialize(seen.where("key >= 0").groupBy("lang", "key").applyInArrow(_merge, _ROWS), "lm-unigrams")
@@ -588,7 +603,7 @@ def perplexity(rows: DataFrame, survey: DataFrame, passes: tuple[int, int], cell
         return _table(Cell(table, second.value, False).ask(lang, key) if key >= 0 else [])
 
     for k in range(passes[1]):
-        trigrams = rows.mapInArrow(_read(second, k), _ROWS)
+        trigrams = rows.mapInArrow(_read(second, k, True), _ROWS)
         asked = trigrams.groupBy(*by).applyInArrow(ask, _ROWS)
         answers = asked.groupBy(*by).cogroup(unigrams.groupBy(*by)).applyInArrow(_answer, _ROWS)
         done = materialize(trigrams.groupBy(*by).cogroup(answers.groupBy(*by)).applyInArrow(_score(second, model), _ROWS)
