@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablejobs.session import materialize
 
 from .components import connected
-from .words import Words, mix, runs, signed, slices
+from .words import Words, mix, released, runs, signed, slices
 
 SKETCH = 64
 #: Ways to miss a pair, each with its share of the whole: sketches, runs, levels.
@@ -340,7 +340,7 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
     texts = docs.select(F.col(id_column).cast("long").alias("id"),
                         F.coalesce(F.hash(text_column), F.lit(0)).alias("k"), F.col(text_column).alias("text"))
     features = materialize(texts.mapInArrow(
-        _features(settings), "id long, k int, node long, paths array<long>, sketch binary"), "features")
+        released(_features(settings)), "id long, k int, node long, paths array<long>, sketch binary"), "features")
     sets = materialize(features.groupBy("node").agg(
         F.count("*").alias("copies"), F.min(F.struct("id", "k")).alias("one"), F.min("id").alias("low"),
         F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch")), "sets")
@@ -366,7 +366,7 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
     for level in range(1, settings.levels + 1):
         if level == 1 < settings.levels and not found.where(over).isEmpty():
             more = with_text(found.where(over).select("node").distinct()).mapInArrow(
-                _more_runs(settings), "path long, node long")
+                released(_more_runs(settings)), "path long, node long")
             # No path of one run is one of another's, so buckets stay as they are.
             found = found.unionByName(shared(materialize(more, "more-runs")))
         deepest = level == settings.levels or found.where(over).isEmpty()
@@ -375,10 +375,10 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
         if deepest:
             break
         large = found.where(over).groupBy("node").agg(F.collect_list("path").alias("paths"))
-        found = shared(materialize(with_text(large).mapInArrow(_deeper(settings), "path long, node long"), "deeper"))
+        found = shared(materialize(with_text(large).mapInArrow(released(_deeper(settings)), "path long, node long"), "deeper"))
     key = ["path", "i", "j"]
     ties = (buckets.join(sets.select("node", "sketch"), "node").select(*key, "node", "block", "sketch")
-            .repartition(*key).sortWithinPartitions(*key).mapInArrow(_ties(settings), "a long, b long"))
+            .repartition(*key).sortWithinPartitions(*key).mapInArrow(released(_ties(settings)), "a long, b long"))
     loose = materialize(connected(ties), "loose")
 
     # One text for each set that is tied to others; its whole set from here on.
@@ -396,7 +396,7 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings(), id_colum
                     ["node", "least", "copies", "n", "tokens"])
 
     group = ["least", "i", "j"]
-    members = with_text(tied).mapInArrow(whole, "node long, least long, copies long, n long, tokens array<long>")
+    members = with_text(tied).mapInArrow(released(whole), "node long, least long, copies long, n long, tokens array<long>")
     compared = materialize(_blocks(members, settings.block).groupBy(*group).applyInArrow(
         _exact(settings), "node long, links long, top long"), "links")
 

@@ -29,12 +29,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tablejobs.session import scratch_path
+from tablejobs.session import scratch_path, short_batches
+
+from .words import mix, release_memory, released
 
 BLOCK = 128
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 16
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
+RELEASE_BYTES = 1 << 22  # of texts after which freed memory goes back
 _WHOLE_BYTES = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 _SCHEMA = ("part int, seq int, first long, n_ids long, doc_ids array<long>, doc_tokens array<int>, "
@@ -184,6 +187,62 @@ def cut(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(starts), n)
 
 
+KEY_BYTES = 16
+
+
+class Pieces:
+    """Ids of short pieces, in arrays: less than 80 bytes each, fewer than a
+    dict of strings takes. Found by a hash, told apart by their bytes (``lo``,
+    ``hi``); of two with one hash only the first is kept."""
+
+    def __init__(self):
+        self.hash = self.lo = self.hi = np.zeros(0, np.uint64)
+        self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.dtype("<u4"))
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def find(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The place of each, -1 if it is not there."""
+        if not len(self):
+            return np.full(len(h), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self) - 1)
+        return np.where((self.lo[at] == lo) & (self.hi[at] == hi), at, -1)
+
+    def add(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        at = len(self.ids) + np.cumsum(n) - n
+        order = np.argsort(h, kind="stable")
+        spot = np.searchsorted(self.hash, h[order])
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        if len(self):
+            new &= self.hash[np.minimum(spot, len(self) - 1)] != h[order]
+        order, spot = order[new], spot[new]
+        self.hash, self.lo, self.hi, self.at, self.n = (
+            np.insert(have, spot, more[order]) for have, more in
+            ((self.hash, h), (self.lo, lo), (self.hi, hi), (self.at, at), (self.n, n)))
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def _keys(different: pa.Array) -> tuple[np.ndarray, ...]:
+    """Hash and bytes (two numbers) of each piece, and whether these say all of it."""
+    _, offsets, data = different.buffers()
+    offsets, data = np.frombuffer(offsets, np.int64)[:len(different) + 1], np.frombuffer(data, np.uint8)
+    lengths, byte = np.diff(offsets), np.arange(KEY_BYTES)
+    key = data[np.minimum(offsets[:-1, None] + byte, len(data) - 1)]
+    key[byte >= lengths[:, None]] = 0
+    lo, hi = (np.ascontiguousarray(x) for x in key.view("<u8").T)
+    return mix(lo ^ mix(hi)), lo, hi, np.count_nonzero(key, axis=1) == lengths
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches, one after another."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
 class Encoder:
     """Encodes with a byte-level BPE file, piece by piece.
 
@@ -192,7 +251,8 @@ class Encoder:
     finds the different pieces among them, each costs one look-up, and the ids
     are gathered by offsets. New pieces are encoded together. At most ``keep``
     pieces are kept (or those of one call), in two halves: the half used
-    longest ago goes. Pieces over ``longest`` characters are not kept.
+    longest ago goes. Pieces of up to 16 bytes are kept in arrays, longer ones
+    in dicts, those over ``longest`` characters not at all.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000, longest: int = 256):
@@ -203,6 +263,7 @@ class Encoder:
         self.keep, self.longest = keep, longest
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.short, self.older_short = Pieces(), Pieces()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -228,22 +289,35 @@ class Encoder:
         self._joined(spaced, "")
         self._joined(bare, "\n")
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of different pieces."""
-        found = list(map(self.known.get, pieces))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if not missing:
-            return found
-        new = [pieces[i] for i in missing if len(pieces[i]) <= self.longest]
-        if len(self.known) + len(new) > self.keep // 2:
-            self.known, self.older = {}, self.known
-        old = list(map(self.older.get, new))
-        self.known.update((p, ids) for p, ids in zip(new, old) if ids is not None)
-        self._learn([p for p, ids in zip(new, old) if ids is None])
-        for i in missing:
-            p = pieces[i]
-            found[i] = self.known[p] if len(p) <= self.longest else self._whole(p)
-        return found
+    def _look_up(self, different: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each piece start, how many there are, and the ids."""
+        h, lo, hi, is_short = _keys(different)
+        short, older_short, known, older = self.short, self.older_short, self.known, self.older
+        place = short.find(h, lo, hi)
+        here, rest = np.flatnonzero(is_short & (place >= 0)), np.flatnonzero(is_short & (place < 0))
+        before = older_short.find(h[rest], lo[rest], hi[rest])
+        new, long = rest[before < 0], np.flatnonzero(~is_short)
+        new_pieces, long_pieces = (different.take(pa.array(x)).to_pylist() for x in (new, long))
+        lost = [p for p in long_pieces if p not in known and len(p) <= self.longest]
+        more = len(rest) + len(lost)
+        if more and len(short) + len(known) + more > self.keep // 2:
+            self.short, self.older_short, self.known, self.older = Pieces(), short, {}, known
+        self.known.update((p, older[p]) for p in lost if p in older)
+        self._learn([*new_pieces, *(p for p in lost if p not in older)])
+        found = [self.known.pop(p) for p in new_pieces]
+        for p in long_pieces:
+            found.append(self.known[p] if p in self.known else known[p] if p in known else self._whole(p))
+        starts, sizes = np.zeros(len(different), np.int64), np.zeros(len(different), np.int64)
+        starts[here], sizes[here] = short.at[place[here]], short.n[place[here]]
+        old, base = rest[before >= 0], len(short.ids)
+        starts[old], sizes[old] = base + older_short.at[before[before >= 0]], older_short.n[before[before >= 0]]
+        learnt, base = np.concatenate([new, long]), base + len(older_short.ids)
+        sizes[learnt] = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts[learnt] = base + np.cumsum(sizes[learnt]) - sizes[learnt]
+        ids = np.concatenate([short.ids, older_short.ids, np.frombuffer(b"".join(found), dtype="<u4")])
+        if len(rest):
+            self.short.add(h[rest], lo[rest], hi[rest], sizes[rest], ids[_ragged(starts[rest], sizes[rest])])
+        return starts, sizes, ids
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
@@ -255,13 +329,10 @@ class Encoder:
         bounds = cut(data, docs)
         cuts = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
         which = cuts.indices.to_numpy()
-        ids = self._ids(cuts.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
+        starts, sizes, ids = self._look_up(cuts.dictionary)
         n = sizes[which]
         ends = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], n)
-        stream = np.frombuffer(b"".join(ids), dtype="<u4")[place].tobytes()
+        stream = ids[_ragged(starts[which], n)].tobytes()
         at = (4 * ends[np.searchsorted(bounds, docs)]).tolist()
         return [stream[a:b] for a, b in zip(at, at[1:])]
 
@@ -289,7 +360,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         part, state = TaskContext.get().partitionId(), {"seq": 0, "first": 0}
-        ids, lengths, parts, held = [], [], [], 0
+        ids, lengths, parts, held, seen = [], [], [], 0, 0
 
         def flush():
             stream = np.frombuffer(b"".join(parts), dtype="<u4")
@@ -318,14 +389,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     if held >= SEGMENT_IDS:
                         yield flush()
                         held = 0
+            seen += int(sizes.sum())
+            if seen >= RELEASE_BYTES:
+                release_memory()
+                seen = 0
         if ids:
             yield flush()
 
     order = ["_id", "_h"]
-    (docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"),
-                 F.xxhash64(text_column).alias("_h"))
-     .repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
-     .mapInArrow(segments, _SCHEMA).write.parquet(path))
+    with short_batches(docs.sparkSession, SLICE_BYTES):
+        (docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"),
+                     F.xxhash64(text_column).alias("_h"))
+         .repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
+         .mapInArrow(released(segments), _SCHEMA).write.parquet(path))
 
 
 def _arrow() -> pa.Schema:
@@ -361,7 +437,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     files = spark.read.schema(_SCHEMA).parquet(path)
     ids = ", ids array<long>" if with_ids else ""
     docs = files.select("part", "first", "doc_ids", "doc_tokens", "blocks", "payload").mapInArrow(
-        decode, "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ids)
+        released(decode), "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ids)
     # One row for each written part.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select(

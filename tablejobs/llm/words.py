@@ -8,7 +8,8 @@ one text is never split, so a slice is as large as its longest text at least.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,6 +60,25 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def release_memory() -> None:
+    """Give what this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.pythonapi, "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def released(work: Callable) -> Callable:
+    """``work`` for mapInArrow; memory it has freed goes back when its task
+    ends, as Spark keeps idle workers and their number is not the job's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+    return run
+
+
 @dataclass
 class Words:
     """The words of texts ``lo`` .. ``hi`` - 1 of a batch.

@@ -150,16 +150,28 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Inside, the shuffle files of a query go when it ends, not when the
-    driver collects its garbage: for jobs in passes that each write a result."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def freed_shuffles(spark: SparkSession):
+    """Inside, the shuffle files of a query go when it ends, not when the
+    driver collects its garbage: for jobs in passes that each write a result."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def short_batches(spark: SparkSession, n_bytes: int = 1 << 22):
+    """Inside, rows go to Python in Arrow batches of about so many bytes,
+    however long their texts are: both sides hold whole batches."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

@@ -285,6 +285,52 @@ def test_frequent_pieces_outlast_a_full_store():
     assert learnt["always"] == learnt[" there"] == 1
 
 
+def test_kept_pieces_take_little_memory():
+    """Two workers of an executor each keep a million pieces beside its heap."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    texts = [" ".join(word() for _ in range(500)) for _ in range(100)]
+    coder.encode(texts[:1])
+    tracemalloc.start()
+    for i in range(0, 100, 10):
+        coder.encode(texts[i:i + 10])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 80 * 50_000
+    assert coder.encode(texts[:10]) == [coder._whole(t) for t in texts[:10]]
+
+
+def test_short_batches_hold_few_bytes(spark):
+    from tablejobs.session import short_batches
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    texts = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 1000) AS text")
+    with short_batches(spark, 100_000):
+        got = [r["n"] for r in texts.mapInArrow(rows, "n long").collect()]
+    assert sum(got) == 2000 and max(got) < 200
+
+
+def test_pieces_of_equal_padding_or_hash_stay_apart():
+    import public_tokenizers
+
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), keep=60)
+    texts = ["a", "a\0", "a\0\0", "\0", "x" * 16, "x" * 17, "x" * 300, " " + "y" * 15, "é" * 8, "é" * 9]
+    for _ in range(3):
+        assert coder.encode(texts) == [coder._whole(t) for t in texts]
+    kept = tokens.Pieces()
+    one = np.array([7, 7], np.uint64)
+    kept.add(one, np.array([1, 2], np.uint64), one, np.array([1, 2]), np.array([5, 6, 6], "<u4"))
+    assert kept.find(one, np.array([1, 2], np.uint64), one).tolist() == [0, -1]
+
+
 def test_pieces_are_cut_on_bytes_as_the_pattern_cuts():
     r = random.Random(11)
     alphabet = list("ab sst'''rvelmd  \n\t\r 019 .,!?#é ñßÀªµ²¼ɏ")
