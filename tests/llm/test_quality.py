@@ -91,3 +91,40 @@ def test_blocks_of_trigrams_are_small_and_read_back():
     back, back_docs = quality.unpack_trigrams(block, 30_000, book)
     assert all((x == h[order]).all() for x, h in zip(back, hashes)) and (back_docs == docs[order]).all()
     assert len(block) < 8 * 30_000  # less than one bare hash each
+
+
+def test_texts_are_read_as_often_whatever_the_passes(spark):
+    """Passes read the encoded words, not the texts."""
+    rows = [(i, t, lang, "s", None) for i, t, lang in odd_rows()[:30]]
+
+    def reads(passes):
+        seen = spark.sparkContext.accumulator(0)
+
+        def read(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        docs = spark.createDataFrame(rows, DOCS)
+        out = quality.judge_quality(docs.mapInArrow(read, docs.schema), passes=passes)
+        return seen.value, out.count()
+
+    assert reads((1, 1)) == reads((3, 4)) == (2 * len(rows), len(rows))
+
+
+def test_hashes_of_words_know_all_bytes_and_lengths():
+    different = ["a", "a\0", "abcdefgh", "abcdefghi", "abcdefgh\0", "b" * 16, "b" * 17, "b" * 15 + "c", "é" * 40, "é" * 39 + "e"]
+    text = " ".join(different + different[::-1]).encode()
+    w = next(words.slices(quality.pa.array([text], quality.pa.large_binary())))
+    h = quality._hash_words(w.data, w.starts, w.ends)
+    assert len(set(h.tolist())) == len(different) and (h == h[::-1]).all()
+    assert (quality._hashes(quality.pa.array(different, quality.pa.large_string())) == h[:len(different)]).all()
+
+
+def test_repeated_words_of_one_text_only():
+    texts = ["x y z q", "x y z", "x y z x y z", "a b a b a b", " ", "q " * 70, "d e f g d e f h d e"]
+    w = next(words.slices(quality.pa.array(texts)))
+    ids, _ = quality._word_ids(w)
+    assert quality._repeated(ids, w).tolist() == [quality_brute.base(t)[4] for t in texts]
+    wide = quality._repeated(ids.astype(np.int64) + (1 << 21), w)  # too wide for one number
+    assert wide.tolist() == quality._repeated(ids, w).tolist()
