@@ -259,7 +259,9 @@ class Deal:
         return Deal, self.given
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.ranked, hashes), len(self.ranked) - 1)
+        order, at = np.argsort(hashes), np.empty(len(hashes), dtype=np.int64)
+        at[order] = np.searchsorted(self.ranked, hashes[order])  # sorted ones are found faster
+        at = np.minimum(at, len(self.ranked) - 1)
         return np.where(self.ranked[at] == hashes, self.sorted[at], ESCAPE).astype(np.uint32)
 
     def pass_of(self, b: np.ndarray) -> np.ndarray:
